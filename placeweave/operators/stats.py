@@ -73,7 +73,7 @@ def engagement(df: DataFrame, keys: list[str], parts: list[str], n: str = "post_
 def polarity(df: DataFrame, keys: list[str], sentiment: str = "sentiment", positive: str = "positive",
              negative: str = "negative", ratio: str = "pos_ratio") -> DataFrame:
     """Positive and negative counts per key as two columns, and pos / (pos + neg + 1)."""
-    wide = (df.groupBy(*keys).pivot(sentiment, ["positive", "negative"]).agg(F.count("*"))
+    wide = (df.groupBy(*keys).pivot(sentiment, ["positive", "negative"]).agg(F.count(F.lit(1)))
             .na.fill(0, ["positive", "negative"]))
     share = F.col("positive") / (F.col("positive") + F.col("negative") + 1)
     return wide.select(*keys, share.alias(ratio), F.col("positive").alias(positive),

@@ -9,13 +9,14 @@ from pyspark.sql.window import Window
 from placeweave import fixed
 from placeweave.functions.tokens import tokens, word_shaped
 from placeweave.operators.ranking import ordered_join, top_n
+from placeweave.sources.tables import small_table
 
 LITERAL_WORDS = 20_000
 RANK_DIGITS = 9
 
 
 def stopword_table(spark, words: list[str], lexicon: str) -> DataFrame:
-    return spark.createDataFrame([(w, lexicon) for w in words], "word string, lexicon string")
+    return small_table(spark, word=words, lexicon=[lexicon] * len(words))
 
 
 def word_rows(df: DataFrame, keys: list[str], text: str, stopwords: DataFrame | None = None,
@@ -24,7 +25,7 @@ def word_rows(df: DataFrame, keys: list[str], text: str, stopwords: DataFrame |
     rows = df.select(*keys, F.explode(tokens(text)).alias("word")).filter(word_shaped("word", shape))
     if stopwords is None:
         return rows
-    return rows.join(stopwords.select("word").distinct(), "word", "left_anti").select(*keys, "word")
+    return rows.join(stopwords.select("word"), "word", "left_anti").select(*keys, "word")
 
 
 def live_lexicon(lexicon: DataFrame, stopwords: DataFrame | None, shape: str = fixed.WORD_SHAPE) -> DataFrame:
@@ -33,7 +34,7 @@ def live_lexicon(lexicon: DataFrame, stopwords: DataFrame | None, shape: str = f
     live = lexicon.filter(word_shaped("word", shape))
     if stopwords is None:
         return live
-    return live.join(stopwords.select("word").distinct(), "word", "left_anti")
+    return live.join(stopwords.select("word"), "word", "left_anti")
 
 
 def lexicon_hits(df: DataFrame, keys: list[str], text: str, lexicon: DataFrame,
@@ -110,21 +111,27 @@ def ngrams(df: DataFrame, keys: list[str], text: str, stopwords: DataFrame | Non
 
 
 def phrase_counts(phrases: DataFrame, group: str) -> DataFrame:
-    return phrases.groupBy(group, "word", "n_words").agg(F.count("*").alias("n"))
+    """Occurrences per group and phrase. A row without a group is dropped here, so that every
+    later use of the counts has the same plan and Spark reuses its one shuffle."""
+    return (phrases.filter(F.col(group).isNotNull())
+            .groupBy(group, "word", "n_words").agg(F.count("*").alias("n")))
+
+
+def group_totals(counts: DataFrame, group: str) -> DataFrame:
+    return counts.groupBy(group).agg(F.sum("n").alias("_total"))
 
 
 def _with_idf(counts: DataFrame, group: str) -> DataFrame:
     """Groups holding the word come from a window on the word, which has at most one row per
-    group; the number of groups is a scalar subquery over the same counts."""
-    groups = counts.select(group).distinct().agg(F.count("*")).scalar()
+    group; the number of groups is a scalar subquery over the group totals."""
+    groups = group_totals(counts, group).agg(F.count("_total")).scalar()
     df_ = F.count("*").over(Window.partitionBy("word"))
     return counts.withColumn("df", df_).withColumn("idf", F.ln(groups / F.col("df")))
 
 
 def tf_idf(counts: DataFrame, group: str) -> DataFrame:
     """Every phrase of every group with tf, idf and their product."""
-    totals = counts.groupBy(group).agg(F.sum("n").alias("_total"))
-    return (_with_idf(counts, group).join(totals, group)
+    return (_with_idf(counts, group).join(group_totals(counts, group), group)
             .withColumn("tf", F.col("n") / F.col("_total"))
             .withColumn("tf_idf", F.col("tf") * F.col("idf")).drop("_total", "df"))
 
@@ -144,7 +151,7 @@ def distinctive_phrases(counts: DataFrame, group: str, candidates: int = fixed.C
     inside = F.exists("_longer", lambda t: t.contains(F.col("word")))
     apart = best.withColumn("_longer", longer).filter((F.col("n_words") == 3) | ~inside)
     final = top_n(apart, [group], order, kept, rank="rank")
-    totals = counts.groupBy(group).agg(F.sum("n").alias("_total"))
+    totals = group_totals(counts, group)
     tf = F.col("n") / F.col("_total")
     return final.join(totals, group).select(
         group, "rank", "word", "n", tf.alias("tf"), "idf", (tf * F.col("idf")).alias("tf_idf"))

@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from placeweave import fixed
-from placeweave.operators.checks import enforce, run_checks
+from placeweave.operators.checks import Check, enforce, row_count, run_checks
 from placeweave.operators.joins import merged_words
 from placeweave.operators.text import stopword_table
 from placeweave.plans import business, forum, listings, master
+from placeweave.session import cut_lineage
 from placeweave.sources import schemas
 from placeweave.sources.documents import read_posts, read_texts
 from placeweave.sources.regions import read_regions
@@ -33,6 +34,13 @@ class Inputs:
     review_partitions: int | None = None
 
 
+def _checked(df: DataFrame, checks: list[Check]) -> DataFrame:
+    """The frame, computed once and proven before anything is written from it."""
+    df = cut_lineage(df)
+    enforce(run_checks(df, checks))
+    return df
+
+
 def build(spark: SparkSession, inputs: Inputs, out: str, force: bool = False) -> DataFrame:
     """Write every stage under ``out`` and return the master table."""
     lookup = read_csv(spark, inputs.lookup, schemas.LOOKUP)
@@ -48,18 +56,18 @@ def build(spark: SparkSession, inputs: Inputs, out: str, force: bool = False) ->
         active = business.active_licences(read_csv(spark, inputs.licences, schemas.RAW_LICENCES))
         write_table(active, f"{out}/licences")
         done = business.business_profile(read_table(spark, f"{out}/licences"), lookup)
-        enforce(run_checks(done["summary"], master.business_checks(rows)))
-        write_bundle({"by_category": done["by_category"], "summary": done["summary"]}, f"{out}/business")
+        summary = _checked(done["summary"], master.business_checks(rows))
+        write_bundle({"by_category": done["by_category"], "summary": summary}, f"{out}/business")
 
     if missing("forum/scores"):
         posts, rejects = read_posts(spark, inputs.posts)
         write_table(rejects, f"{out}/forum/rejects")
         write_table(forum.clean_posts(posts), f"{out}/forum/posts")
         clean = read_table(spark, f"{out}/forum/posts")
-        done = forum.forum_profile(clean, lookup, inputs.valued_lexicon, inputs.polar_lexicon, words)
-        write_table(done["phrases"], f"{out}/forum/phrases")
-        write_table(done["scores"], f"{out}/forum/scores")
-        enforce(run_checks(read_table(spark, f"{out}/forum/scores"), master.score_checks(rows)))
+        write_table(forum.post_phrases(clean, words), f"{out}/forum/phrases")
+        phrases = read_table(spark, f"{out}/forum/phrases")
+        done = forum.forum_profile(clean, lookup, inputs.valued_lexicon, inputs.polar_lexicon, words, phrases)
+        write_table(_checked(done["scores"], master.score_checks(rows)), f"{out}/forum/scores")
 
     if inputs.regions and inputs.listings and missing("listings/summary"):
         done = listings.listing_profile(
@@ -67,14 +75,15 @@ def build(spark: SparkSession, inputs: Inputs, out: str, force: bool = False) ->
             read_snapshots(spark, inputs.reviews, schemas.REVIEWS, partitions=inputs.review_partitions),
             read_regions(spark, inputs.regions), lookup, inputs.valued_lexicon, words,
             merged_words(words, hospitality))
-        write_bundle({k: done[k] for k in ("by_room_type", "phrases", "summary")}, f"{out}/listings")
+        summary = _checked(done["summary"], [row_count(rows)])
+        write_bundle({"by_room_type": done["by_room_type"], "phrases": done["phrases"], "summary": summary},
+                     f"{out}/listings")
 
     summary = read_table(spark, f"{out}/business/summary")
     scores = read_table(spark, f"{out}/forum/scores")
     stays = read_optional(spark, f"{out}/listings/summary")
     texts = read_texts(spark, inputs.summaries) if inputs.summaries else None
     write_table(master.prompt_table(summary, scores, stays, texts), f"{out}/prompts")
-    write_table(master.master_profile(lookup, summary, scores, texts, stays), f"{out}/master")
-    profile = read_table(spark, f"{out}/master")
-    enforce(run_checks(profile, master.master_checks(profile, rows)))
-    return profile
+    profile = master.master_profile(lookup, summary, scores, texts, stays)
+    write_table(_checked(profile, master.master_checks(profile, rows)), f"{out}/master")
+    return read_table(spark, f"{out}/master")

@@ -49,7 +49,7 @@ def source_lists(landed: DataFrame, config: DataFrame, at_least: int = fixed.MIN
 def collected(landed: DataFrame, config: DataFrame, already: DataFrame | None = None,
               at_least: int = fixed.MIN_PRIMARY_POSTS) -> dict[str, DataFrame]:
     """``posts`` to store for keys not stored yet, and the ``log`` over all keys. ``already``
-    holds slug, name, post_count and sources of stored keys."""
+    holds slug, post_count and sources of stored keys."""
     todo = config if already is None else config.join(already.select("slug"), "slug", "left_anti")
     fresh = landed.join(todo.select("slug"), "slug", "left_semi")
     posts = collect_posts(fresh, at_least)
@@ -57,6 +57,6 @@ def collected(landed: DataFrame, config: DataFrame, already: DataFrame | None =
     stored = source_lists(fresh, todo, at_least).join(sizes, "slug", "left")
     log = collection_log(stored, "name", F.coalesce("n", F.lit(0)), F.array_join("sources", ","), F.lit(False))
     if already is not None:
-        old = config.select("slug").join(already, "slug")
+        old = config.select("slug", "name").join(already.drop("name"), "slug")
         log = log.unionByName(collection_log(old, "name", F.col("post_count"), F.col("sources"), F.lit(True)))
     return {"posts": posts, "log": log}

@@ -27,9 +27,10 @@ def post_phrases(clean: DataFrame, stopwords: DataFrame | None) -> DataFrame:
 
 
 def forum_profile(clean: DataFrame, lookup: DataFrame, valued: DataFrame, polar: DataFrame,
-                  stopwords: DataFrame | None) -> dict[str, DataFrame]:
-    """``scores``: one row per lookup area; ``phrases``: top phrases per area."""
-    phrases = post_phrases(clean, stopwords)
+                  stopwords: DataFrame | None, phrases: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``scores``: one row per lookup area; ``phrases``: top phrases per area, found here
+    unless a stored table of them is handed in."""
+    phrases = post_phrases(clean, stopwords) if phrases is None else phrases
     scores = two_lexicon_scores(clean, "slug", ["post_id"], "full_text", valued, polar, stopwords)
     posts = engagement(clean, ["slug"], ["score", "num_comments"])
     joined = chain_left(lookup.select("community_area_number", "name", "slug"),

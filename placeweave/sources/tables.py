@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,12 @@ def read_snapshots(spark: SparkSession, paths: dict[str, str], schema: str, **op
     return out
 
 
+def small_table(spark: SparkSession, **columns: list) -> DataFrame:
+    """A literal table. Built from Arrow it becomes a local relation, whose size Catalyst
+    knows, so that it may be broadcast; one built from Python rows would count as huge."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
