@@ -18,14 +18,14 @@ def _count(field: str) -> Column:
     return F.when(F.col(field).isNull(), 0).otherwise(to_int(field)).alias(field)
 
 
-def read_posts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_posts(spark: SparkSession, path: str, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """Post rows and rejected files of a folder with one JSON document per file.
 
     A document without posts yields no rows; a broken one goes to the rejects."""
-    raw = (spark.read.schema(schemas.POST_FILE + ", _bad string").option("multiLine", True)
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
-           .option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).json(path)
-           .withColumn("file", F.col("_metadata.file_path")))
+    raw = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path, wholetext=True)
+           .select(F.col("_metadata.file_path").alias("file"), F.from_json(
+               "value", schemas.POST_FILE + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("d"))
+           .select("file", "d.*"))
     posts = raw.filter(F.col("_bad").isNull()).select("slug", F.inline("posts")).select(
         "slug", F.col("id").alias("post_id"), _text("title"), _text("selftext"),
         _count("score"), _count("num_comments"), "subreddit")
@@ -73,7 +73,7 @@ def read_keyed_texts(spark: SparkSession, path: str, key: str = "slug", out: str
 
 
 def write_documents(df: DataFrame, path: str, key: str = "slug", mode: str = "overwrite") -> None:
-    """Nested documents as JSON, one folder per key; the parts of a large key are separate files."""
+    """Nested documents as JSON, one folder per key and one file per document."""
     spread = [key, "part"] if "part" in df.columns else [key]
     (df.withColumn("_folder", F.col(key)).repartition(*spread)
-     .write.mode(mode).partitionBy("_folder").json(path))
+     .write.mode(mode).option("maxRecordsPerFile", 1).partitionBy("_folder").json(path))

@@ -34,7 +34,8 @@ REVIEWS = "listing_id bigint, date date, reviewer_id bigint, comments string"
 POST = ("id string, title string, selftext string, score string, num_comments string, "
         "created_utc double, subreddit string, url string, permalink string, author string")
 POST_STRUCT = "struct<" + ", ".join(f.strip().replace(" ", ": ") for f in POST.split(",")) + ">"
-POST_FILE = f"slug string, name string, sources array<string>, posts array<{POST_STRUCT}>"
+POST_FILE = ("slug string, name string, sources array<string>, posts array<struct<id: string, title: string, "
+             "selftext: string, score: string, num_comments: string, subreddit: string>>")
 LISTING_PAYLOAD = f"data struct<children: array<struct<data: {POST_STRUCT}>>, after: string>"
 
 KEY_CONFIG = ("request_delay_seconds double, min_posts_threshold int, fallback_subreddit string, "
