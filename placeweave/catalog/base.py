@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from placeweave.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def heavy(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table about to be worked on hard row by row: spread over the cores if it is one small file."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def sql_rules(column: str, rules: list[tuple[str, str]], default: str) -> str:
     """The ordered rules as a SQL CASE."""
     cases = " ".join(f"WHEN regexp_matches(lower({column}), '{p}') THEN '{label}'" for label, p in rules)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
 from placeweave import fixed
-from placeweave.catalog.base import query, sql_rules, sql_values, sql_words, table
+from placeweave.catalog.base import heavy, query, sql_rules, sql_values, sql_words, table
 from placeweave.catalog.spatial import literal_edges
 from placeweave.catalog.text import (
     _SQL_CLEAN, POLAR, SQL_KEPT, SQL_SCORED, STOPWORDS, VALUED, _polar, _stop, _valued, sql_phrases, sql_tokens)
@@ -18,6 +18,7 @@ from placeweave.operators.checks import run_checks
 from placeweave.operators.joins import merged_words
 from placeweave.operators.text import stopword_table
 from placeweave.plans import business, feeds, forum, listings, master
+from placeweave.session import cut_lineage
 
 # area number -> rectangle of part size (x) and price remainder (y)
 AREAS = {n: [[(10 * i, 900), (10 * i + 10, 900), (10 * i + 10, 1400), (10 * i, 1400), (10 * i, 900)]]
@@ -98,13 +99,14 @@ def category_bar_feed(spark, sf):
 
 
 def _posts(spark, sf):
-    return table(spark, sf, "documents").select(
+    return heavy(spark, sf, "documents", "doc_id").select(
         col("source").alias("slug"), col("doc_id").cast("string").alias("post_id"), col("lang").alias("title"),
         col("text").alias("selftext"), F.length("text").alias("score"), F.lit(1).alias("num_comments"))
 
 
 def _forum(spark, sf):
-    return forum.forum_profile(forum.clean_posts(_posts(spark, sf)), _lookup(spark, sf), _valued(spark),
+    clean = cut_lineage(forum.clean_posts(_posts(spark, sf)), "posts")
+    return forum.forum_profile(clean, _lookup(spark, sf), _valued(spark),
                                _polar(spark), _stop(spark))
 
 
@@ -165,20 +167,27 @@ def _listings(spark, sf):
 def _reviews(spark, sf):
     """Every turn as a review of the part with the number of its conversation; the later
     snapshot repeats each with other words."""
-    turns = table(spark, sf, "conversations").select(
+    turns = heavy(spark, sf, "conversations", "conv_id").select(
         col("conv_id").alias("listing_id"), F.lit("2025-01-01").cast("date").alias("date"),
         col("turn").alias("reviewer_id"), col("text").alias("comments"))
     return turns.withColumn("snapshot_date", F.lit("2025-06-17")).unionByName(
         turns.withColumn("comments", F.lit("best best best best")).withColumn("snapshot_date", F.lit("2025-09-22")))
 
 
-def _stays(spark, sf):
-    stop = _stop(spark)
-    visitors = merged_words(stop, stopword_table(spark, fixed.HOSPITALITY_STOPWORDS, fixed.HOSPITALITY_LEXICON))
+def _placed(spark, sf):
     edges = literal_edges(spark, AREAS, "community_area_number").withColumn(
         "community_area_number", col("community_area_number").cast("int"))
+    return edges, listings.place_listings(listings.latest_listings(_listings(spark, sf)), edges, _lookup(spark, sf), 50.0)
+
+
+def _visitor_stop(spark):
+    return merged_words(_stop(spark), stopword_table(spark, fixed.HOSPITALITY_STOPWORDS, fixed.HOSPITALITY_LEXICON))
+
+
+def _stays(spark, sf):
+    edges, _ = _placed(spark, sf)
     return listings.listing_profile(_listings(spark, sf), _reviews(spark, sf), edges, _lookup(spark, sf),
-                                    _valued(spark), stop, visitors, cell=50.0)
+                                    _valued(spark), _stop(spark), _visitor_stop(spark), cell=50.0)
 
 
 _SQL_PLACED = f"""
@@ -226,7 +235,8 @@ WITH {_SQL_VISITOR}
 SELECT g AS slug, CAST(k AS INTEGER) AS rank, word, n, round(1e6 * tf * idf, 6) AS score FROM kept WHERE k <= 10
 """)
 def visitor_phrases(spark, sf):
-    return _stays(spark, sf)["phrases"].select(
+    reviews = listings.placed_reviews(_reviews(spark, sf), _placed(spark, sf)[1])
+    return listings.visitor_phrases(reviews, _visitor_stop(spark)).select(
         "slug", "rank", "word", "n", F.round(col("tf_idf") * 1e6, 6).alias("score"))
 
 
@@ -235,7 +245,7 @@ WITH {_SQL_PLACED}
 SELECT slug, 'NATION_' || (area - 1) AS neighborhood_name, room_type, count(*) AS n_listings FROM placed GROUP BY ALL
 """)
 def room_types(spark, sf):
-    return _stays(spark, sf)["by_room_type"]
+    return listings.room_types(_placed(spark, sf)[1])
 
 
 def _summaries(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql.functions import col
 from placeweave.catalog.base import query, table
 from placeweave.operators.spatial import centroids, points_in_areas
 from placeweave.operators.stats import with_median
+from placeweave.session import cut_lineage
 from placeweave.sources.regions import ring_edges
 from placeweave.sources.tables import small_table
 
@@ -62,7 +63,8 @@ FROM hit GROUP BY 1
 def region_stats(spark, sf):
     lines = table(spark, sf, "lineitem").select(
         col("l_quantity").alias("x"), F.round(col("l_discount") * 100).alias("y"), "l_extendedprice", "l_tax")
-    placed = points_in_areas(lines, literal_edges(spark, GRID), "x", "y", "area", cell=4.0)
+    placed = points_in_areas(lines, literal_edges(spark, GRID), "x", "y", "area", cell=1.0).drop("x", "y")
+    placed = cut_lineage(placed, "placed")
     stats = with_median(placed, ["area"], "l_extendedprice", "median_price", [
         F.count("*").alias("n"), F.round(F.avg("l_tax"), 8).alias("mean_tax")])
     return stats.withColumn("median_price", F.round("median_price", 4))

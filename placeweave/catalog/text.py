@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
 from placeweave import fixed
-from placeweave.catalog.base import query, sql_values, sql_words, table
+from placeweave.catalog.base import heavy, query, sql_values, sql_words, table
 from placeweave.functions.cleaning import clean_text, strip_edges
 from placeweave.functions.display import sentiment_label
 from placeweave.functions.tokens import tokens
@@ -76,7 +76,7 @@ kept AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY r) AS k FROM apart
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source", "text")
+    return heavy(spark, sf, "documents", "doc_id").select("doc_id", "source", "text")
 
 
 def _stop(spark):
@@ -110,7 +110,7 @@ SELECT kind, id, md5(clean) AS digest, CAST(length(clean) AS INTEGER) AS chars,
 def clean_texts(spark, sf):
     linked = F.concat(F.lit("See ["), "url", F.lit("]("), "url", F.lit(") and [page](/p/"),
                       col("page_id").cast("string"), F.lit(") *now*: "), "html")
-    pages = table(spark, sf, "pages").select(col("page_id").alias("id"), clean_text(linked).alias("clean"))
+    pages = heavy(spark, sf, "pages", "page_id").select(col("page_id").alias("id"), clean_text(linked).alias("clean"))
     docs = _docs(spark, sf).select(col("doc_id").alias("id"), clean_text("text").alias("clean"))
     both = union_layers({"page": pages, "document": docs}, "kind").filter(F.length("clean") > fixed.MIN_CLEAN_CHARS)
     return both.select("kind", "id", F.md5("clean").alias("digest"), F.length("clean").alias("chars"),
@@ -145,7 +145,7 @@ FROM (SELECT page_id, {sql_tokens('html')} AS a FROM pages)
 """)
 def page_tokens(spark, sf):
     marks = "[.,;'‘’·]"
-    pages = table(spark, sf, "pages").select("page_id", tokens("html").alias("a"))
+    pages = heavy(spark, sf, "pages", "page_id").select("page_id", tokens("html").alias("a"))
     return pages.select("page_id", F.size("a").alias("n"),
                         F.md5(F.regexp_replace(F.array_join("a", " "), marks, "?")).alias("digest"))
 
@@ -253,7 +253,7 @@ WITH {sql_phrases('conversations', 'role', 'text')}, {SQL_SCORED}, {SQL_KEPT}
 SELECT g AS role, string_agg(word, ', ' ORDER BY k) AS top_words FROM kept WHERE k <= 10 GROUP BY 1
 """)
 def phrase_strings(spark, sf):
-    turns = table(spark, sf, "conversations").select("role", "text")
+    turns = heavy(spark, sf, "conversations", "conv_id").select("role", "text")
     counts = phrase_counts(ngrams(turns, ["role"], "text", _stop(spark)), "role")
     return phrase_string(distinctive_phrases(counts, "role"), "role")
 
@@ -266,7 +266,7 @@ SELECT g AS lang, CAST(k AS INTEGER) AS bar, word, round(1e6 * tf * idf, 6) AS s
 WHERE k <= 10 AND g IN (SELECT lang FROM shown)
 """)
 def phrase_bar_feed(spark, sf):
-    docs = table(spark, sf, "documents").select("lang", "text")
+    docs = heavy(spark, sf, "documents", "doc_id").select("lang", "text")
     phrases = distinctive_phrases(phrase_counts(ngrams(docs, ["lang"], "text", _stop(spark)), "lang"), "lang")
     sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
     flags = sizes.withColumn("flag", F.when(col("n") == sizes.agg(F.min("n")).scalar(), fixed.FLAG_NO_POSTS)

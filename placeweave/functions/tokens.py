@@ -16,10 +16,11 @@ from placeweave.functions.cleaning import _col
 
 _LETTER = r"\p{L}\p{M}"
 _WORD = rf"{_LETTER}\p{{Nd}}"
+# possessive quantifiers: a run never gives characters back
 TOKEN_PATTERN = (
-    rf"_*[{_WORD}][{_WORD}_]*"
+    rf"_*+[{_WORD}][{_WORD}_]*+"
     rf"(?:(?:(?<=[{_LETTER}])[.'‘’·](?=\p{{L}})"
-    rf"|(?<=\p{{Nd}})[.,;'‘’](?=\p{{Nd}}))[{_WORD}_]+)*"
+    rf"|(?<=\p{{Nd}})[.,;'‘’](?=\p{{Nd}}))[{_WORD}_]++)*+"
 )
 
 

@@ -6,38 +6,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _side(e: Column, px: Column, py: Column) -> Column:
+    return (e["x2"] - e["x1"]) * (py - e["y1"]) - (px - e["x1"]) * (e["y2"] - e["y1"])
+
+
+def _odd_crossings(edges: str, px: Column, py: Column) -> Column:
+    """Whether a ray to the right meets an odd number of edges."""
+    return F.size(F.filter(edges, lambda e: ((e["y1"] > py) != (e["y2"] > py))
+                           & ((_side(e, px, py) > 0) == (e["y2"] > e["y1"])))) % 2 == 1
+
+
+def _on_edge(edges: str, px: Column, py: Column) -> Column:
+    return F.exists(edges, lambda e: (_side(e, px, py) == 0)
+                    & px.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
+                    & py.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
+
+
 def edge_cells(edges: DataFrame, area: str, cell: float) -> DataFrame:
     """Areas by grid cell: for each area and cell the edges a ray going right can meet.
 
     Edges are grouped per area and horizontal band, so one list is never longer than the
-    polygon it comes from, and the area's extent in the band limits its cells."""
+    polygon it comes from, and the area's extent in the band limits its cells. A cell that
+    no edge passes is wholly inside, kept without edges, or wholly outside and dropped."""
     band = F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell)))
     banded = edges.select(area, band.alias("_by"), "x1", "y1", "x2", "y2")
     per_band = banded.groupBy(area, "_by").agg(
         F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_e"),
         F.min(F.least("x1", "x2")).alias("_l"), F.max(F.greatest("x1", "x2")).alias("_r"))
-    cells = F.explode(F.sequence(F.floor(F.col("_l") / cell), F.floor(F.col("_r") / cell)))
-    return (per_band.select(area, "_by", cells.alias("_bx"), "_e")
-            .withColumn("_edges", F.filter("_e", lambda e: F.greatest(e["x1"], e["x2"]) >= F.col("_bx") * cell))
-            .drop("_e"))
-
-
-def _inside(x: str, y: str, boundary: bool) -> Column:
-    px, py = F.col(x).cast("double"), F.col(y).cast("double")
-
-    def side(e):
-        return (e["x2"] - e["x1"]) * (py - e["y1"]) - (px - e["x1"]) * (e["y2"] - e["y1"])
-
-    def crosses(e):
-        return ((e["y1"] > py) != (e["y2"] > py)) & ((side(e) > 0) == (e["y2"] > e["y1"]))
-
-    def touches(e):
-        return ((side(e) == 0) & px.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-                & py.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
-
-    odd = F.size(F.filter("_edges", crosses)) % 2 == 1
-    on_edge = F.exists("_edges", touches)
-    return (odd | on_edge) if boundary else (odd & ~on_edge)
+    columns = F.explode(F.sequence(F.floor(F.col("_l") / cell), F.floor(F.col("_r") / cell)))
+    cells = per_band.select(area, "_by", columns.alias("_bx"), "_e")
+    slack = cell * 1e-6
+    left, right = F.col("_bx") * cell - slack, (F.col("_bx") + 1) * cell + slack
+    cells = cells.withColumn("_edges", F.filter("_e", lambda e: F.greatest(e["x1"], e["x2"]) >= left))
+    passed = F.exists("_edges", lambda e: F.least(e["x1"], e["x2"]) <= right)
+    middle = _odd_crossings("_edges", (F.col("_bx") + 0.5) * cell, (F.col("_by") + 0.5) * cell)
+    return (cells.withColumn("_full", ~passed).filter(~F.col("_full") | middle)
+            .select(area, "_by", "_bx", "_full", F.when(~F.col("_full"), F.col("_edges")).alias("_edges")))
 
 
 def points_in_areas(points: DataFrame, edges: DataFrame, x: str, y: str, area: str, cell: float,
@@ -45,13 +49,17 @@ def points_in_areas(points: DataFrame, edges: DataFrame, x: str, y: str, area: s
     """Each point with every area it lies in; points in none are dropped.
 
     An equi-join on the grid cell; the crossing count is taken inside the row, so points
-    are not regrouped. Points on an edge are outside unless ``boundary`` is set. Edges are
-    straight in x and y. ``cell`` should be near the size of the smaller areas."""
+    are not regrouped, and only cells on a border count at all. Points on an edge are
+    outside unless ``boundary`` is set. Edges are straight in x and y. ``cell`` should be a
+    fraction of the size of the smaller areas."""
     located = (points.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
                .withColumn("_bx", F.floor(F.col(x).cast("double") / cell))
                .withColumn("_by", F.floor(F.col(y).cast("double") / cell)))
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    odd, touching = _odd_crossings("_edges", px, py), _on_edge("_edges", px, py)
+    inside = F.when(F.col("_full"), True).otherwise((odd | touching) if boundary else (odd & ~touching))
     return (located.join(edge_cells(edges, area, cell), ["_bx", "_by"])
-            .filter(_inside(x, y, boundary)).select(*points.columns, area))
+            .filter(inside).select(*points.columns, area))
 
 
 def centroids(edges: DataFrame, area: str) -> DataFrame:

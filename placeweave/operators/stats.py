@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from placeweave.operators.joins import with_group_value
+from placeweave.session import cut_lineage
 
 
 def shannon_entropy(count: Column | str) -> Column:
@@ -30,35 +31,30 @@ def diversity(counts: DataFrame, keys: list[str], n: str = "n", total: str = "to
     return counts.groupBy(*keys).agg(F.sum(n).alias(total), shannon_entropy(n).alias(index))
 
 
-def grouped_median(df: DataFrame, keys: list[str], value: str, out: str,
-                   accuracy: int = 10_000) -> DataFrame:
-    """Exact median per key without holding a group in one place.
+def with_median(df: DataFrame, keys: list[str], value: str, out: str, aggs: list[Column] = (),
+                accuracy: int = 10_000) -> DataFrame:
+    """Aggregates and the exact median per key, without holding a group in one place.
 
-    A quantile sketch brackets the middle ranks of each key. Values are counted per
-    (key, value), all below the bracket fold into one row and all above into another,
-    and only the few distinct values inside the bracket are ranked."""
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    A first pass takes the aggregates and brackets the middle ranks of each key with a
+    quantile sketch; its result, one row per key, is written so that its size is known. A
+    second pass folds all values of a key below its bracket into one row and all above
+    into another, in the map tasks, and only the distinct values inside are ranked."""
     margin = 3.0 / accuracy
-    bracket = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], accuracy).alias("_b"))
-    counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    bracket = F.percentile_approx(F.col(value).cast("double"), [0.5 - margin, 0.5 + margin], accuracy)
+    first = cut_lineage(df.groupBy(*keys).agg(*aggs, bracket.alias("_b")), "bracket")
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     zone = F.when(F.col("_v") < F.col("_b")[0], -1).when(F.col("_v") > F.col("_b")[1], 1).otherwise(0)
-    folded = (with_group_value(counted, bracket, keys, "inner")
-              .select(*keys, zone.alias("_z"), F.when(zone == 0, F.col("_v")).alias("_v"), "_n")
-              .groupBy(*keys, "_z", "_v").agg(F.sum("_n").alias("_n")))
+    folded = (with_group_value(rows, first.select(*keys, "_b"), keys, "inner")
+              .select(*keys, zone.alias("_z"), F.when(zone == 0, F.col("_v")).alias("_v"))
+              .groupBy(*keys, "_z", "_v").agg(F.count("*").alias("_n")))
     by_value = Window.partitionBy(*keys).orderBy("_z", "_v")
     ranked = (folded.withColumn("_hi", F.sum("_n").over(by_value.rowsBetween(Window.unboundedPreceding, 0)))
               .withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys))))
     low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
-    first = F.min(F.when(F.col("_hi") >= low, F.col("_v")))
-    second = F.min(F.when(F.col("_hi") >= high, F.col("_v")))
-    return ranked.groupBy(*keys).agg(((first + second) / 2).alias(out))
-
-
-def with_median(df: DataFrame, keys: list[str], value: str, out: str, aggs: list[Column]) -> DataFrame:
-    """Ordinary aggregates and the exact median side by side; NULL keys match themselves."""
-    plain = df.groupBy(*keys).agg(*aggs)
-    return with_group_value(plain, grouped_median(df, keys, value, out), keys)
+    lower = F.min(F.when(F.col("_hi") >= low, F.col("_v")))
+    upper = F.min(F.when(F.col("_hi") >= high, F.col("_v")))
+    median = ranked.groupBy(*keys).agg(((lower + upper) / 2).alias(out))
+    return with_group_value(first.drop("_b"), median, keys)
 
 
 def engagement(df: DataFrame, keys: list[str], parts: list[str], n: str = "post_count",

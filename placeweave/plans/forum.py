@@ -12,6 +12,7 @@ from placeweave.operators.joins import chain_left
 from placeweave.operators.stats import engagement
 from placeweave.operators.text import (
     distinctive_phrases, ngrams, phrase_counts, phrase_string, two_lexicon_scores)
+from placeweave.session import cut_lineage
 
 
 def clean_posts(posts: DataFrame, min_chars: int = fixed.MIN_CLEAN_CHARS) -> DataFrame:
@@ -30,7 +31,7 @@ def forum_profile(clean: DataFrame, lookup: DataFrame, valued: DataFrame, polar:
                   stopwords: DataFrame | None, phrases: DataFrame | None = None) -> dict[str, DataFrame]:
     """``scores``: one row per lookup area; ``phrases``: top phrases per area, found here
     unless a stored table of them is handed in."""
-    phrases = post_phrases(clean, stopwords) if phrases is None else phrases
+    phrases = cut_lineage(post_phrases(clean, stopwords), "phrases") if phrases is None else phrases
     scores = two_lexicon_scores(clean, "slug", ["post_id"], "full_text", valued, polar, stopwords)
     posts = engagement(clean, ["slug"], ["score", "num_comments"])
     joined = chain_left(lookup.select("community_area_number", "name", "slug"),

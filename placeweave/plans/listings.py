@@ -14,6 +14,7 @@ from placeweave.operators.spatial import points_in_areas
 from placeweave.operators.stats import with_median
 from placeweave.operators.text import (
     distinctive_phrases, lexicon_hits, ngrams, phrase_counts, phrase_string, post_sentiment)
+from placeweave.session import cut_lineage
 
 AREA = "community_area_number"
 CELL = 0.01
@@ -57,21 +58,31 @@ def review_sentiment(reviews: DataFrame, valued: DataFrame, stopwords: DataFrame
     return mean.withColumn("airbnb_sentiment_label", sentiment_label("airbnb_mean_sentiment"))
 
 
+def room_types(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("slug", "neighborhood_name", "room_type").agg(F.count("*").alias("n_listings"))
+
+
+def visitor_phrases(reviews: DataFrame, stopwords: DataFrame | None) -> DataFrame:
+    return distinctive_phrases(phrase_counts(ngrams(reviews, ["slug"], "text_clean", stopwords), "slug"), "slug")
+
+
+def listing_summary(placed: DataFrame, lookup: DataFrame, sentiment: DataFrame, phrases: DataFrame) -> DataFrame:
+    """One row per lookup area, with flag and labels filled in."""
+    base = complete_spine(lookup.select(AREA, "slug", "name"), listing_stats(placed).drop("neighborhood_name"),
+                          [AREA, "slug"], {"airbnb_listing_count": 0})
+    base = base.withColumn("airbnb_data_flag", listing_flag("airbnb_listing_count"))
+    summary = chain_left(base, [sentiment, phrase_string(phrases, "slug", "airbnb_top_words")], "slug")
+    return summary.withColumn("airbnb_sentiment_label", F.coalesce("airbnb_sentiment_label", F.lit(fixed.NEUTRAL)))
+
+
 def listing_profile(listings: DataFrame, reviews: DataFrame, edges: DataFrame, lookup: DataFrame,
                     valued: DataFrame, stopwords: DataFrame | None, phrase_stopwords: DataFrame | None,
                     cell: float = CELL) -> dict[str, DataFrame]:
     """``summary``: one row per lookup area; ``by_room_type``; ``phrases``. The hospitality words
-    belong in ``phrase_stopwords`` only."""
-    placed = place_listings(latest_listings(listings), edges, lookup, cell)
-    base = complete_spine(lookup.select(AREA, "slug", "name"), listing_stats(placed).drop("neighborhood_name"),
-                          [AREA, "slug"], {"airbnb_listing_count": 0})
-    base = base.withColumn("airbnb_data_flag", listing_flag("airbnb_listing_count"))
-    clean = placed_reviews(reviews, placed)
-    phrases = distinctive_phrases(
-        phrase_counts(ngrams(clean, ["slug"], "text_clean", phrase_stopwords), "slug"), "slug")
-    summary = chain_left(base, [review_sentiment(clean, valued, stopwords),
-                                phrase_string(phrases, "slug", "airbnb_top_words")], "slug")
-    summary = summary.withColumn("airbnb_sentiment_label",
-                                 F.coalesce("airbnb_sentiment_label", F.lit(fixed.NEUTRAL)))
-    rooms = placed.groupBy("slug", "neighborhood_name", "room_type").agg(F.count("*").alias("n_listings"))
-    return {"summary": summary, "by_room_type": rooms, "phrases": phrases}
+    belong in ``phrase_stopwords`` only. Placed listings and cleaned reviews are each used
+    several times, so they are written once."""
+    placed = cut_lineage(place_listings(latest_listings(listings), edges, lookup, cell), "placed")
+    clean = cut_lineage(placed_reviews(reviews, placed), "reviews")
+    phrases = cut_lineage(visitor_phrases(clean, phrase_stopwords), "phrases")
+    summary = listing_summary(placed, lookup, review_sentiment(clean, valued, stopwords), phrases)
+    return {"summary": summary, "by_room_type": room_types(placed), "phrases": phrases}
