@@ -10,6 +10,7 @@ from placeweave.catalog.base import heavy, query, sql_values, sql_words, table
 from placeweave.functions.cleaning import clean_text, strip_edges
 from placeweave.functions.display import sentiment_label
 from placeweave.functions.tokens import tokens
+from placeweave.operators.compute import computed_once
 from placeweave.operators.joins import keep_keys, merged_words, union_layers
 from placeweave.operators.stats import mean_and_sd, polarity
 from placeweave.operators.text import (
@@ -110,8 +111,9 @@ SELECT kind, id, md5(clean) AS digest, CAST(length(clean) AS INTEGER) AS chars,
 def clean_texts(spark, sf):
     linked = F.concat(F.lit("See ["), "url", F.lit("]("), "url", F.lit(") and [page](/p/"),
                       col("page_id").cast("string"), F.lit(") *now*: "), "html")
-    pages = heavy(spark, sf, "pages", "page_id").select(col("page_id").alias("id"), clean_text(linked).alias("clean"))
-    docs = _docs(spark, sf).select(col("doc_id").alias("id"), clean_text("text").alias("clean"))
+    pages = computed_once(heavy(spark, sf, "pages", "page_id").select(col("page_id").alias("id"), linked.alias("raw")),
+                          clean=clean_text("raw")).drop("raw")
+    docs = computed_once(_docs(spark, sf).select(col("doc_id").alias("id"), "text"), clean=clean_text("text")).drop("text")
     both = union_layers({"page": pages, "document": docs}, "kind").filter(F.length("clean") > fixed.MIN_CLEAN_CHARS)
     return both.select("kind", "id", F.md5("clean").alias("digest"), F.length("clean").alias("chars"),
                        F.substring("clean", 1, 60).alias("head"))
@@ -145,7 +147,7 @@ FROM (SELECT page_id, {sql_tokens('html')} AS a FROM pages)
 """)
 def page_tokens(spark, sf):
     marks = "[.,;'‘’·]"
-    pages = heavy(spark, sf, "pages", "page_id").select("page_id", tokens("html").alias("a"))
+    pages = computed_once(heavy(spark, sf, "pages", "page_id"), a=tokens("html"))
     return pages.select("page_id", F.size("a").alias("n"),
                         F.md5(F.regexp_replace(F.array_join("a", " "), marks, "?")).alias("digest"))
 

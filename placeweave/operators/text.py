@@ -79,10 +79,10 @@ def _stop_test(stopwords: DataFrame | None):
     """A column test when the words fit in a literal set, else the table to join."""
     if stopwords is None:
         return (lambda w: F.lit(False)), None
-    distinct = stopwords.select("word").distinct()
-    words = [r.word for r in distinct.limit(LITERAL_WORDS + 1).collect()]
-    if len(words) > LITERAL_WORDS:
-        return (lambda w: F.lit(False)), distinct
+    rows = stopwords.select("word").limit(LITERAL_WORDS + 1).collect()
+    if len(rows) > LITERAL_WORDS:
+        return (lambda w: F.lit(False)), stopwords.select("word").distinct()
+    words = sorted({r.word for r in rows})
     return (lambda w: w.isin(words) if words else F.lit(False)), None
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeweave import fixed
-from placeweave.functions.cleaning import clean_text, squish
+from placeweave.functions.cleaning import clean_text
 from placeweave.functions.display import post_flag, sentiment_label
+from placeweave.operators.compute import computed_once
 from placeweave.operators.joins import chain_left
 from placeweave.operators.stats import engagement
 from placeweave.operators.text import (
@@ -17,9 +18,8 @@ from placeweave.session import cut_lineage
 
 def clean_posts(posts: DataFrame, min_chars: int = fixed.MIN_CLEAN_CHARS) -> DataFrame:
     """Cleaned title and body, both as one text; posts that stay too short go."""
-    cleaned = (posts.withColumn("title_clean", clean_text("title"))
-               .withColumn("text_clean", clean_text("selftext"))
-               .withColumn("full_text", squish(F.concat_ws(" ", "title_clean", "text_clean"))))
+    cleaned = computed_once(posts, title_clean=clean_text("title"), text_clean=clean_text("selftext"))
+    cleaned = cleaned.withColumn("full_text", F.trim(F.concat_ws(" ", "title_clean", "text_clean")))
     return cleaned.filter(F.col("slug").isNotNull() & (F.length("full_text") > min_chars))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placeweave import fixed
 from placeweave.functions.cleaning import clean_text, strip_edges, to_price
 from placeweave.functions.display import listing_flag, sentiment_label
+from placeweave.operators.compute import computed_once
 from placeweave.operators.joins import chain_left, complete_spine
 from placeweave.operators.ranking import earliest_per_key, latest_per_key
 from placeweave.operators.spatial import points_in_areas
@@ -47,8 +48,8 @@ def placed_reviews(snapshots: DataFrame, placed: DataFrame) -> DataFrame:
     areas = placed.select(F.col("id").alias("listing_id"), AREA, "slug").distinct()
     long_enough = F.length(strip_edges("comments")) > fixed.MIN_REVIEW_CHARS
     joined = unique.filter(long_enough).join(areas, "listing_id")
-    return (joined.withColumn("text_clean", clean_text("comments"))
-            .filter(F.length("text_clean") > fixed.MIN_CLEAN_CHARS))
+    return computed_once(joined, text_clean=clean_text("comments")).filter(
+        F.length("text_clean") > fixed.MIN_CLEAN_CHARS)
 
 
 def review_sentiment(reviews: DataFrame, valued: DataFrame, stopwords: DataFrame | None) -> DataFrame:
