@@ -13,9 +13,9 @@ from placeweave import catalog  # noqa: E402
 from placeweave.session import local_session  # noqa: E402
 
 HEADLINE = [
-    "category_diversity", "top3_categories", "classify_rules", "latest_per_key_events", "first_per_composite_key",
-    "source_priority_dedup", "fallback_source", "group_stats", "join_variants", "clean_texts", "word_counts",
-    "sentiment_group", "two_lexicons", "ngram_counts", "tfidf", "distinctive", "point_in_polygon", "region_stats",
+    "category_diversity", "top3_categories", "classify_rules", "latest_per_key", "first_per_composite_key",
+    "source_priority_dedup", "fallback_source", "group_stats", "join_variants", "clean_text", "word_counts",
+    "sentiment_group", "two_lexicons", "ngram_counts", "tfidf", "distinctive_phrases", "point_in_polygon", "region_stats",
     "log_upsert", "key_sources", "business_profile", "forum_profile", "listing_profile", "master_profile",
 ]
 

@@ -12,12 +12,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a query under its function name, with the SQL it must agree with."""
+def query(sql: str, name: str | None = None):
+    """Register a query, under its function name unless told otherwise, with the SQL it must agree with."""
     def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
+        QUERIES[name or fn.__name__] = fn
+        ORACLES[name or fn.__name__] = sql
         return fn
     return add
 

@@ -7,10 +7,11 @@ from pyspark.sql.functions import col
 
 from placeweave.catalog.base import query, table
 from placeweave.operators.keys import nest_by_key
+from placeweave.plans.feeds import one_place
 from placeweave.session import scratch_path
 from placeweave.sources import schemas
 from placeweave.sources.documents import (
-    read_key_config, read_keyed_texts, read_posts, write_documents, write_texts)
+    read_key_config, read_keyed_texts, read_posts, read_texts, write_documents, write_texts)
 from placeweave.sources.regions import read_regions
 from placeweave.sources.tables import (
     read_csv, read_optional, read_snapshots, read_table, write_bundle, write_csv, write_table)
@@ -165,12 +166,14 @@ SELECT 'orders' AS part, o_orderstatus AS key, count(*) AS n FROM orders GROUP B
 UNION ALL SELECT 'priorities', o_orderpriority, count(*) FROM orders GROUP BY 2
 """)
 def stage_tables(spark, sf):
-    """A bundle of two datasets written, left alone by a second write, one absent, and read back."""
+    """A bundle of two datasets, one of them rebuilt by force and then left alone by a write
+    that skips what exists, and one absent; all read back."""
     root = scratch_path(spark, "stages")
     orders = table(spark, sf, "orders")
     by_status = orders.groupBy(col("o_orderstatus").alias("key")).agg(F.count("*").alias("n"))
     by_priority = orders.groupBy(col("o_orderpriority").alias("key")).agg(F.count("*").alias("n"))
-    write_bundle({"orders": by_status, "priorities": by_priority}, root)
+    write_bundle({"orders": by_priority, "priorities": by_priority}, root)
+    write_table(by_status, f"{root}/orders", mode="overwrite")
     write_table(by_status.filter(F.lit(False)), f"{root}/orders", mode="ignore")
     absent = read_optional(spark, f"{root}/nothing", "part string, key string, n bigint")
     parts = [read_table(spark, f"{root}/{name}").select(F.lit(name).alias("part"), "key", "n")
@@ -187,3 +190,30 @@ def partitioned_table(spark, sf):
     write_table(table(spark, sf, "documents").select("doc_id", "source", "text").repartition("source", F.pmod("doc_id", F.lit(4))),
                 path, partition_by=["source"])
     return read_table(spark, path).select("doc_id", "source", F.length("text").alias("chars"))
+
+
+@query("""
+SELECT o_orderpriority || ' ' || o_orderstatus || ': ' || count(*) || ' orders' AS ai_summary, CAST(1 AS BIGINT) AS files
+FROM orders GROUP BY o_orderpriority, o_orderstatus
+""")
+def text_files(spark, sf):
+    """One text file per priority and status, keyed by file name; every file has a name of its own."""
+    path = scratch_path(spark, "files")
+    groups = table(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
+    text = F.concat("o_orderpriority", F.lit("\n\n "), "o_orderstatus", F.lit(":  "), col("n").cast("string"),
+                    F.lit(" orders\n"))
+    groups.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    files = read_texts(spark, path)
+    names = files.groupBy("slug").agg(F.count("*").alias("files"))
+    return files.join(names, "slug").select("ai_summary", "files")
+
+
+@query("""
+SELECT doc_id, source, md5(text) AS digest FROM documents WHERE source = 'src3'
+""")
+def single_key(spark, sf):
+    """All rows of one key; the table is partitioned by key, so one folder is read."""
+    path = scratch_path(spark, "keyed")
+    write_table(table(spark, sf, "documents").select("doc_id", "source", F.md5("text").alias("digest"))
+                .repartition("source", F.pmod("doc_id", F.lit(4))), path, partition_by=["source"])
+    return one_place(read_table(spark, path).withColumnRenamed("source", "slug"), "src3").withColumnRenamed("slug", "source")

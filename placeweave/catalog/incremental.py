@@ -13,7 +13,7 @@ from placeweave.sources.documents import shred_listing
 
 @query("""
 SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')
-""")
+""", name="todo_keys")
 def keys_to_do(spark, sf):
     done = table(spark, sf, "orders").filter(col("o_orderstatus") == "F").select(col("o_custkey").alias("c_custkey"))
     return todo_keys(table(spark, sf, "customer"), done, "c_custkey")

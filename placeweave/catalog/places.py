@@ -110,7 +110,7 @@ def spine_complete(spark, sf):
 @query("""
 SELECT user_id, event_id, CAST(ts AS VARCHAR)[1:19] AS at, event_type FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
-""")
+""", name="latest_per_key")
 def latest_per_key_events(spark, sf):
     kept = latest_per_key(table(spark, sf, "events").drop("props", "value"), ["user_id"], "ts", [F.desc("event_id")])
     return kept.select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "event_type")
@@ -191,7 +191,7 @@ def mean_sd(spark, sf):
 @query("""
 SELECT p_partkey, regexp_replace(regexp_replace(lower(t), '[^a-z0-9]+', '_', 'g'), '(^_|_$)', '', 'g') AS slug
 FROM (SELECT p_partkey, '(' || p_name || ') & ' || p_brand || ' / ' || p_type || '!' AS t FROM part)
-""")
+""", name="make_slug")
 def make_slugs(spark, sf):
     text = F.concat(F.lit("("), "p_name", F.lit(") & "), "p_brand", F.lit(" / "), "p_type", F.lit("!"))
     return table(spark, sf, "part").select("p_partkey", make_slug(text).alias("slug"))
@@ -201,7 +201,7 @@ def make_slugs(spark, sf):
 SELECT user_id, count(*) AS post_count, CAST(sum(CAST(value * 100 AS BIGINT) + event_id) AS BIGINT) AS total_engagement,
        CASE WHEN count(*) < 66 THEN 'low_reddit' ELSE 'full' END AS data_quality_flag
 FROM events GROUP BY 1
-""")
+""", name="engagement")
 def engagement_flags(spark, sf):
     events = table(spark, sf, "events").withColumn("score", F.round(col("value") * 100).cast("long"))
     stats = engagement(events, ["user_id"], ["score", "event_id"])
@@ -212,7 +212,7 @@ def engagement_flags(spark, sf):
 SELECT l_orderkey, l_linenumber, l_returnflag,
        round(1e6 * l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_returnflag, l_linestatus), 6) AS share
 FROM lineitem
-""")
+""", name="share_in_group")
 def share_in_group_lines(spark, sf):
     shares = share_in_group(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", "share")
     return shares.select("l_orderkey", "l_linenumber", "l_returnflag", F.round(col("share") * 1e6, 6).alias("share"))
@@ -304,7 +304,7 @@ WITH s AS (SELECT s_nationkey AS k FROM supplier), c AS (SELECT c_nationkey AS k
 SELECT 'all' AS part, k, origin FROM u
 UNION ALL SELECT 'distinct', k, NULL FROM (SELECT DISTINCT k FROM u)
 UNION ALL SELECT 'difference', k, NULL FROM (SELECT DISTINCT k FROM s WHERE k NOT IN (SELECT k FROM c))
-""")
+""", name="union_layers")
 def union_layers_keys(spark, sf):
     sold = table(spark, sf, "supplier").select(col("s_nationkey").alias("k"))
     rich = table(spark, sf, "customer").filter(col("c_acctbal") > 9990).select(col("c_nationkey").alias("k"))

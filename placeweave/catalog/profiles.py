@@ -15,7 +15,7 @@ from placeweave.catalog.spatial import literal_edges
 from placeweave.catalog.text import (
     _SQL_CLEAN, POLAR, SQL_KEPT, SQL_SCORED, STOPWORDS, VALUED, _polar, _stop, _valued, sql_phrases, sql_tokens)
 from placeweave.operators.checks import run_checks
-from placeweave.operators.joins import merged_words
+from placeweave.operators.joins import merged_words, union_layers
 from placeweave.operators.text import stopword_table
 from placeweave.plans import business, feeds, forum, listings, master
 from placeweave.session import cut_lineage
@@ -174,10 +174,13 @@ def _reviews(spark, sf):
         turns.withColumn("comments", F.lit("best best best best")).withColumn("snapshot_date", F.lit("2025-09-22")))
 
 
-def _placed(spark, sf):
-    edges = literal_edges(spark, AREAS, "community_area_number").withColumn(
+def _areas(spark):
+    return literal_edges(spark, AREAS, "community_area_number").withColumn(
         "community_area_number", col("community_area_number").cast("int"))
-    return edges, listings.place_listings(listings.latest_listings(_listings(spark, sf)), edges, _lookup(spark, sf), 50.0)
+
+
+def _placed(spark, sf):
+    return listings.place_listings(listings.latest_listings(_listings(spark, sf)), _areas(spark), _lookup(spark, sf), 50.0)
 
 
 def _visitor_stop(spark):
@@ -185,8 +188,7 @@ def _visitor_stop(spark):
 
 
 def _stays(spark, sf):
-    edges, _ = _placed(spark, sf)
-    return listings.listing_profile(_listings(spark, sf), _reviews(spark, sf), edges, _lookup(spark, sf),
+    return listings.listing_profile(_listings(spark, sf), _reviews(spark, sf), _areas(spark), _lookup(spark, sf),
                                     _valued(spark), _stop(spark), _visitor_stop(spark), cell=50.0)
 
 
@@ -235,7 +237,7 @@ WITH {_SQL_VISITOR}
 SELECT g AS slug, CAST(k AS INTEGER) AS rank, word, n, round(1e6 * tf * idf, 6) AS score FROM kept WHERE k <= 10
 """)
 def visitor_phrases(spark, sf):
-    reviews = listings.placed_reviews(_reviews(spark, sf), _placed(spark, sf)[1])
+    reviews = listings.placed_reviews(_reviews(spark, sf), _placed(spark, sf))
     return listings.visitor_phrases(reviews, _visitor_stop(spark)).select(
         "slug", "rank", "word", "n", F.round(col("tf_idf") * 1e6, 6).alias("score"))
 
@@ -245,7 +247,7 @@ WITH {_SQL_PLACED}
 SELECT slug, 'NATION_' || (area - 1) AS neighborhood_name, room_type, count(*) AS n_listings FROM placed GROUP BY ALL
 """)
 def room_types(spark, sf):
-    return listings.room_types(_placed(spark, sf)[1])
+    return listings.room_types(_placed(spark, sf))
 
 
 def _summaries(spark, sf):
@@ -403,3 +405,13 @@ def stage_totals(spark, sf):
         return df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("stage"), col(n).alias("n")) for n in names])))
 
     return rows(first, "raw", "valid", "dropped").unionByName(rows(unique, "distinct"))
+
+
+@query(f"""
+SELECT 'subset' AS part, * FROM (SELECT * FROM ({_SQL_LOOKUP}) ORDER BY community_area_number LIMIT 10)
+UNION ALL SELECT 'all', * FROM ({_SQL_LOOKUP})
+""")
+def first_places(spark, sf):
+    """The report on the first ten places, and on all of them when the number is no true subset."""
+    lookup = _lookup(spark, sf)
+    return union_layers({"subset": feeds.subset(lookup, 10, rows=25), "all": feeds.subset(lookup, 0, rows=25)}, "part")

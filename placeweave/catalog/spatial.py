@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
-from placeweave.catalog.base import query, table
+from placeweave.catalog.base import heavy, query, table
 from placeweave.operators.spatial import centroids, points_in_areas
 from placeweave.operators.stats import with_median
 from placeweave.session import cut_lineage
@@ -61,7 +61,7 @@ SELECT CAST(area AS BIGINT) AS area, count(*) AS n, round(median(price), 4) AS m
 FROM hit GROUP BY 1
 """)
 def region_stats(spark, sf):
-    lines = table(spark, sf, "lineitem").select(
+    lines = heavy(spark, sf, "lineitem", "l_orderkey").select(
         col("l_quantity").alias("x"), F.round(col("l_discount") * 100).alias("y"), "l_extendedprice", "l_tax")
     placed = points_in_areas(lines, literal_edges(spark, GRID), "x", "y", "area", cell=1.0).drop("x", "y")
     placed = cut_lineage(placed, "placed")

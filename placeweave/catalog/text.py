@@ -107,7 +107,7 @@ WITH c AS (
   SELECT 'page' AS kind, page_id AS id, {_SQL_CLEAN.format(_SQL_LINKED)} AS clean FROM pages
   UNION ALL SELECT 'document', doc_id, {_SQL_CLEAN.format('text')} FROM documents)
 SELECT kind, id, md5(clean) AS digest, CAST(length(clean) AS INTEGER) AS chars, substr(clean, 1, 60) AS head FROM c WHERE length(clean) > 5
-""")
+""", name="clean_text")
 def clean_texts(spark, sf):
     linked = F.concat(F.lit("See ["), "url", F.lit("]("), "url", F.lit(") and [page](/p/"),
                       col("page_id").cast("string"), F.lit(") *now*: "), "html")
@@ -144,7 +144,7 @@ def document_words(spark, sf):
 SELECT page_id, CAST(len(a) AS INTEGER) AS n,
        md5(replace(array_to_string(a, ' '), chr(57344), '?')) AS digest
 FROM (SELECT page_id, {sql_tokens('html')} AS a FROM pages)
-""")
+""", name="tokens")
 def page_tokens(spark, sf):
     marks = "[.,;'‘’·]"
     pages = computed_once(heavy(spark, sf, "pages", "page_id"), a=tokens("html"))
@@ -243,7 +243,7 @@ def tfidf(spark, sf):
 WITH {sql_phrases('documents', 'source', 'text')}, {SQL_SCORED}, {SQL_KEPT}
 SELECT g AS source, CAST(k AS INTEGER) AS rank, word, n, round(1e6 * tf, 6) AS tf_millionths,
        round(idf, 9) AS idf, round(1e6 * tf * idf, 6) AS score FROM kept WHERE k <= 10
-""")
+""", name="distinctive_phrases")
 def distinctive(spark, sf):
     return distinctive_phrases(_counts(spark, sf), "source").select(
         "source", "rank", "word", "n", F.round(col("tf") * 1e6, 6).alias("tf_millionths"), F.round("idf", 9).alias("idf"),
@@ -253,7 +253,7 @@ def distinctive(spark, sf):
 @query(f"""
 WITH {sql_phrases('conversations', 'role', 'text')}, {SQL_SCORED}, {SQL_KEPT}
 SELECT g AS role, string_agg(word, ', ' ORDER BY k) AS top_words FROM kept WHERE k <= 10 GROUP BY 1
-""")
+""", name="phrase_string")
 def phrase_strings(spark, sf):
     turns = heavy(spark, sf, "conversations", "conv_id").select("role", "text")
     counts = phrase_counts(ngrams(turns, ["role"], "text", _stop(spark)), "role")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placeweave.session import cut_lineage
+
 
 def _side(e: Column, px: Column, py: Column) -> Column:
     return (e["x2"] - e["x1"]) * (py - e["y1"]) - (px - e["x1"]) * (e["y2"] - e["y1"])
@@ -49,8 +51,9 @@ def points_in_areas(points: DataFrame, edges: DataFrame, x: str, y: str, area: s
     """Each point with every area it lies in; points in none are dropped.
 
     An equi-join on the grid cell; the crossing count is taken inside the row, so points
-    are not regrouped, and only cells on a border count at all. Points on an edge are
-    outside unless ``boundary`` is set. Edges are straight in x and y. ``cell`` should be a
+    are not regrouped, and only cells on a border count at all. The cells are written first:
+    with their size known they are broadcast if small and shuffled by cell if not. Points
+    on an edge are outside unless ``boundary`` is set. Edges are straight in x and y. ``cell`` should be a
     fraction of the size of the smaller areas."""
     located = (points.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
                .withColumn("_bx", F.floor(F.col(x).cast("double") / cell))
@@ -58,7 +61,8 @@ def points_in_areas(points: DataFrame, edges: DataFrame, x: str, y: str, area: s
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     odd, touching = _odd_crossings("_edges", px, py), _on_edge("_edges", px, py)
     inside = F.when(F.col("_full"), True).otherwise((odd | touching) if boundary else (odd & ~touching))
-    return (located.join(edge_cells(edges, area, cell), ["_bx", "_by"])
+    cells = cut_lineage(edge_cells(edges, area, cell), "cells")
+    return (located.join(cells, ["_bx", "_by"])
             .filter(inside).select(*points.columns, area))
 
 

@@ -18,7 +18,7 @@ from placeweave.operators.text import (
 from placeweave.session import cut_lineage
 
 AREA = "community_area_number"
-CELL = 0.01
+CELL = 0.005
 REVIEW = ["listing_id", "date", "reviewer_id"]
 
 
