@@ -314,15 +314,15 @@ def map_feed(spark, sf):
 
 @query(f"""
 WITH {_SQL_MASTER}
-SELECT slug, name, coalesce(ai_summary, '_No AI summary available._') AS summary,
+SELECT slug, name, coalesce(ai_summary, '{fixed.MISSING_SUMMARY}') AS summary,
   format('{{:,}}', total_active_businesses) AS businesses,
   regexp_replace(CAST(round_even(business_diversity_index, 2) AS VARCHAR), '\\.0$', '') AS diversity,
   format('{{:,}}', airbnb_listing_count) AS listings,
   coalesce('$' || CAST(round_even(airbnb_median_price, 0) AS BIGINT), '—') AS price,
   sentiment_label AS badge, lower(sentiment_label) AS badge_class,
-  concat_ws('; ', CASE data_quality_flag WHEN 'low_reddit' THEN '⚠ limited Reddit data'
-                  WHEN 'business_only' THEN 'no Reddit data' END,
-            CASE airbnb_data_flag WHEN 'no_airbnb' THEN 'no Airbnb data' END) AS notices,
+  concat_ws('; ', CASE data_quality_flag WHEN 'low_reddit' THEN '{fixed.NOTICE_FEW_POSTS}'
+                  WHEN 'business_only' THEN '{fixed.NOTICE_NO_POSTS}' END,
+            CASE airbnb_data_flag WHEN 'no_airbnb' THEN '{fixed.NOTICE_NO_LISTINGS}' END) AS notices,
   data_quality_flag <> 'business_only' AS show_resident_phrases, airbnb_data_flag <> 'no_airbnb' AS show_visitor_phrases
 FROM master
 """)
@@ -355,29 +355,31 @@ def overview_feed(spark, sf):
     return labels.unionByName(places).unionByName(counts).unionByName(top)
 
 
+_SQL_PROMPT_FIELDS = {
+    "name": "name", "total": "total_active_businesses", "categories": "top_3_categories", "label": "sentiment_label",
+    "diversity": "regexp_replace(CAST(round_even(business_diversity_index, 2) AS VARCHAR), '\\.0$', '')",
+    "phrases": "coalesce(top_words, '')", "listings": "airbnb_listing_count",
+    "price": f"coalesce('$' || CAST(round_even(airbnb_median_price, 0) AS BIGINT), '{fixed.MISSING_PRICE_PROMPT}')",
+    "visitor_phrases": "coalesce(v.words, '')"}
+
+
+def _sql_lines(lines):
+    quoted = ", ".join("'" + line.replace("'", "''") + "'" for line in lines)
+    for field, expression in _SQL_PROMPT_FIELDS.items():
+        quoted = quoted.replace("{" + field + "}", f"' || {expression} || '")
+    return quoted
+
+
 @query(f"""
 WITH {_SQL_MASTER}
 SELECT community_area_number, slug, name, concat_ws(chr(10),
-  'You are writing a data-driven neighborhood profile for a public data journalism project.',
-  'Write a 3–4 sentence summary of the ' || name || ' neighborhood in Chicago based ONLY on the',
-  'following data. Do not use general knowledge about the neighborhood.',
-  'Do not begin with ''' || name || ' is...''',
-  'If the Airbnb visitor phrases and Reddit resident phrases differ noticeably,',
-  'briefly note what visitors seem to value that residents don''t often discuss.', '',
-  'Data for ' || name || ':',
-  '- Active business licenses: ' || total_active_businesses,
-  '- Top business categories: ' || top_3_categories,
-  '- Business diversity index (Shannon entropy): '
-    || regexp_replace(CAST(round_even(business_diversity_index, 2) AS VARCHAR), '\\.0$', ''),
-  CASE WHEN data_quality_flag = 'business_only' THEN '(No Reddit data available for this neighborhood.)' ELSE
-    '- Overall community sentiment: ' || sentiment_label || chr(10)
-    || '- Top phrases from Reddit discussions (resident voice): ' || coalesce(top_words, '') END,
-  'Airbnb visitor data:',
-  CASE WHEN airbnb_data_flag = 'no_airbnb' THEN '(No Airbnb listing data available for this neighborhood.)' ELSE
-    '- Active Airbnb listings: ' || airbnb_listing_count || chr(10) || '- Median nightly price: '
-    || coalesce('$' || CAST(round_even(airbnb_median_price, 0) AS BIGINT), 'N/A') || chr(10)
-    || '- Top phrases from Airbnb guest reviews (visitor voice): ' || coalesce(v.words, '') END,
-  '', 'Write the summary now:') AS prompt
+  {_sql_lines(fixed.PROMPT_HEAD + fixed.PROMPT_BUSINESS)},
+  CASE WHEN data_quality_flag = '{fixed.FLAG_NO_POSTS}' THEN '{fixed.PROMPT_NO_POSTS}'
+       ELSE concat_ws(chr(10), {_sql_lines(fixed.PROMPT_POSTS)}) END,
+  '{fixed.PROMPT_LISTINGS_TITLE}',
+  CASE WHEN airbnb_data_flag = '{fixed.FLAG_NO_LISTINGS}' THEN '{fixed.PROMPT_NO_LISTINGS}'
+       ELSE concat_ws(chr(10), {_sql_lines(fixed.PROMPT_LISTINGS)}) END,
+  {_sql_lines(fixed.PROMPT_TAIL)}) AS prompt
 FROM master LEFT JOIN (WITH {_SQL_VISITOR}
   SELECT g, string_agg(word, ', ' ORDER BY k) AS words FROM kept WHERE k <= 10 GROUP BY 1) v ON v.g = slug
 WHERE ai_summary IS NULL

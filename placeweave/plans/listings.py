@@ -44,7 +44,7 @@ def listing_stats(placed: DataFrame) -> DataFrame:
 
 def placed_reviews(snapshots: DataFrame, placed: DataFrame) -> DataFrame:
     """Each review once, from the oldest snapshot, with the slug of its listing; cleaned."""
-    unique = earliest_per_key(snapshots, REVIEW, "snapshot_date", ["comments"])
+    unique = earliest_per_key(snapshots, REVIEW, "snapshot_date", [F.asc_nulls_last("comments")])
     areas = placed.select(F.col("id").alias("listing_id"), AREA, "slug").distinct()
     long_enough = F.length(strip_edges("comments")) > fixed.MIN_REVIEW_CHARS
     joined = unique.filter(long_enough).join(areas, "listing_id")
