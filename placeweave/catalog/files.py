@@ -152,7 +152,7 @@ def key_config(spark, sf):
         F.concat(F.lower("n_name"), F.lit(" city")).alias("search_term"),
         F.when(n >= 10, F.array(F.lower("n_name"), F.lower("r_name"))).when(n >= 5, F.array().cast("array<string>"))
         .alias("search_terms"), F.when(n < 20, F.array("r_name")).alias("subreddits"))
-    document = F.struct(F.lit(15).alias("min_posts_threshold"), F.lit("chicago").alias("primary_subreddit"),
+    document = F.struct(F.lit(15).alias("min_posts_threshold"), F.lit("city").alias("primary_subreddit"),
                         F.array(key).alias("neighborhoods"))
     nations.select(F.to_json(document).alias("value"), "n_nationkey").repartition("n_nationkey").write.partitionBy(
         "n_nationkey").text(path)

@@ -20,7 +20,7 @@ def oracle(sf_dir: str):
 
 def _plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 9)
+        return None if math.isnan(value) else value
     if isinstance(value, (datetime.date, datetime.datetime)):
         return str(value)
     return value
