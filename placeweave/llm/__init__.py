@@ -2,11 +2,11 @@
 
 from pyspark import cloudpickle
 
-from placeweave.llm import bpe, quality, simhash
+from placeweave.llm import bpe, packing, quality, simhash, substring_dedup, topk
 from placeweave.llm.queries import ORACLES, QUERIES
 
 # functions for executors travel with the job, so the package need not be installed there
-for _module in (bpe, quality, simhash):
+for _module in (bpe, packing, quality, simhash, substring_dedup, topk):
     cloudpickle.register_pickle_by_value(_module)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -58,3 +58,31 @@ def numbered(df: DataFrame, order: str | Column, out: str, label: str) -> DataFr
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(order))
     return (parts.withColumn("_i", inside).join(ahead, "_part")
             .withColumn(out, F.col("_ahead") + F.col("_i") - 1).drop("_part", "_ahead", "_i"))
+
+
+def merged_spans(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans (start, end), end excluded, of each key, merged where they touch: one row per key with ``spans`` in order.
+
+    The spans of a key are those of one document, so its length bounds them."""
+    by_start = Window.partitionBy(*keys).orderBy("start", "end")
+    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
+    isles = rows.withColumn("_fresh", fresh).withColumn("_isle", F.sum("_fresh").over(by_start))
+    merged = isles.groupBy(*keys, "_isle").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return merged.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
+def later_occurrences(spans: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Spans of a repeated hash (h1, h2) after its first place, by id (NULL last), mark and start.
+
+    ``repeated`` holds one row per hash with the first place; it is a written table, so that Spark
+    can split the rows of a hash that fills a large part of the spans."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "start")
+    return spans.join(repeated, ["h1", "h2"]).filter(place > F.col("first")).select("doc_id", "mark", "start", "end").distinct()
+
+
+def first_places(spans: DataFrame) -> DataFrame:
+    """Per hash (h1, h2) met in more than one place its first place; places fold in the map tasks."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "start")
+    ends = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    return ends.filter(F.col("first") < F.col("last")).select("h1", "h2", "first")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm import bpe, exact_dedup, mixing, quality, simhash
+from placeweave.llm import (
+    bpe, exact_dedup, line_dedup, mixing, packing, pseudonyms, quality, simhash, substring_dedup, topk)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +29,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.drop_repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLES["op2_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 @query
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -106,6 +129,15 @@ FROM counted LEFT JOIN shards s USING (number, block)
 """
 
 
+#: The key of the registered query; a user of the operator brings a secret one.
+PSEUDONYM_KEY = "public example key"
+
+
+@query
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
@@ -120,6 +152,31 @@ FROM rows WINDOW g AS (PARTITION BY norm)
 """
 
 
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")).drop("spans")
+
+
+ORACLES["op8_line_dedup"] = r"""
+WITH rows AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+spots AS (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS i FROM rows WHERE len(lines) >= 3),
+windows AS (
+  SELECT doc_id, i, lines[i] AS a, lines[i + 1] AS b, lines[i + 2] AS c FROM spots
+  WHERE trim(lines[i]) <> '' OR trim(lines[i + 1]) <> '' OR trim(lines[i + 2]) <> ''),
+later AS (
+  SELECT doc_id, i FROM windows
+  QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM later),
+left_over AS (
+  SELECT r.doc_id, string_agg(r.line, chr(10) ORDER BY r.i) AS text, count(*) AS n
+  FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM rows) r
+  LEFT JOIN gone g ON r.doc_id = g.doc_id AND r.i = g.i WHERE g.i IS NULL GROUP BY r.doc_id)
+SELECT r.doc_id, coalesce(l.text, '') AS text, len(r.lines)::BIGINT AS n_lines,
+       len(r.lines)::BIGINT - coalesce(l.n, 0) AS n_removed
+FROM rows r LEFT JOIN left_over l USING (doc_id)
+"""
+
+
 @query
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = bpe.tokenizer_spec(spark, tokenizer_path())
@@ -127,3 +184,10 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decoded(rows, spec).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.joined_ids("ids"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_texts(table(spark, sf_dir, "documents"))
+    return packed.select("shard", "row", "n_ids", "doc_ids", "pieces", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"),
+                         F.sha2("position_ids", 256).alias("position_ids_sha256"))
