@@ -17,7 +17,7 @@ from placeweave.llm.common import text_of
 ROUNDS = 10
 _KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![.\d])",
+    "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     "iso_date": r"\d{4}[-/.]\d{2}[-/.]\d{2}(?!\d)",
     "day_first": r"\d{2}[-/.]\d{2}[-/.]\d{4}(?!\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?!\d)",

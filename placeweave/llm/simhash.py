@@ -162,6 +162,7 @@ def block_links(a: np.ndarray, b: np.ndarray, max_bits: int = MAX_BITS) -> tuple
     Leaves of 32 codes are pruned by their shared bits first. Links are folded into labels piece
     by piece, so a block of near copies yields as many rows as it has codes, not all its pairs."""
     codes, mine = np.concatenate([a, b]), len(a)
+    a, b = a.view(np.uint64), b.view(np.uint64)  # bits of signed numbers are counted by absolute value
     starts_a, starts_b = np.arange(0, len(a), LEAF), np.arange(0, len(b), LEAF)
     (mask_a, pattern_a), (mask_b, pattern_b) = _shared(a, starts_a), _shared(b, starts_b)
     apart = np.bitwise_count((pattern_a[:, None] ^ pattern_b[None, :]) & mask_a[:, None] & mask_b[None, :])
