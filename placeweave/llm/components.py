@@ -20,7 +20,8 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """One row (node, root) per node that has a link to another; root is the component's smallest node.
+    """One row (node, root) per node that has a link to another; root is the component's smallest node,
+    which has a row too.
 
     Nodes are any ordered values. A large star ties the neighbours above a node to its
     smallest neighbour, a small star those below it; after a logarithmic number of rounds
@@ -42,4 +43,5 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         before, state = state, _state(now)
         if state == before:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    tops = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(tops)

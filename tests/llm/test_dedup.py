@@ -74,9 +74,9 @@ def test_components(spark, seed):
         if a is not None and a != b:
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
-    want = {(x, find(x)) for x in root if find(x) != x}
+    want = {(x, find(x)) for x in root}
     found = connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
-    assert {(r.node, r.root) for r in found if r.node != r.root} == want and len({r.node for r in found}) == len(found)
+    assert {(r.node, r.root) for r in found} == want and len({r.node for r in found}) == len(found)
 
 
 # ---------------------------------------------------------------- SimHash
