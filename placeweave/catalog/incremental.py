@@ -7,8 +7,9 @@ from pyspark.sql.functions import col
 
 from placeweave.catalog.base import query, table
 from placeweave.operators.keys import drop_full_keys, nest_by_key, replace_keys, todo_keys
-from placeweave.plans.collection import collect_posts, collected
-from placeweave.sources.documents import shred_listing
+from placeweave.plans.collection import collect_posts, collected, collection_documents, stored_keys
+from placeweave.session import scratch_path
+from placeweave.sources.documents import shred_listing, write_documents
 
 
 @query("""
@@ -43,21 +44,27 @@ def recollect(spark, sf):
 
 def _landed(spark, sf):
     """Events as collected posts: purchases are the primary source, views the fallback, the
-    other types dedicated sources; a day is a post, so sources overlap."""
+    other types dedicated sources, in an order of their own; a day is a post, so sources overlap."""
     kind = F.when(col("event_type") == "purchase", "primary").when(
         col("event_type") == "view", "fallback").otherwise("dedicated")
     return table(spark, sf, "events").select(
         col("user_id").cast("string").alias("slug"), kind.alias("source_kind"), col("event_type").alias("source_name"),
+        F.when(col("event_type") == "signup", 0).when(col("event_type") == "error", 1).otherwise(2).alias("source_no"),
         F.lit("new").alias("feed"), F.lit(1).alias("feed_no"), col("event_id").alias("position"),
         F.date_format("ts", "yyyy-MM-dd").alias("id"))
 
 
-_SQL_USED = """
-served AS (SELECT user_id FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING count(*) >= 13),
+# a cap that most users reach, and a threshold below it
+CAP, AT_LEAST = 13, 12
+
+_SQL_USED = f"""
+capped AS (SELECT * FROM events
+           QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) <= {CAP}),
+served AS (SELECT user_id FROM capped WHERE event_type = 'purchase' GROUP BY 1 HAVING count(*) >= {AT_LEAST}),
 used AS (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS id,
-           CASE event_type WHEN 'purchase' THEN 1 WHEN 'view' THEN 2 ELSE 0 END AS r FROM events
-         WHERE event_type <> 'view' OR user_id NOT IN (SELECT user_id FROM served)),
-kept AS (SELECT * FROM used QUALIFY row_number() OVER (PARTITION BY user_id, id ORDER BY r, event_type, event_id) = 1)"""
+           CASE event_type WHEN 'purchase' THEN 3 WHEN 'view' THEN 4 WHEN 'signup' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS r
+         FROM capped WHERE event_type <> 'view' OR user_id NOT IN (SELECT user_id FROM served)),
+kept AS (SELECT * FROM used QUALIFY row_number() OVER (PARTITION BY user_id, id ORDER BY r, event_id) = 1)"""
 
 
 @query(f"""
@@ -65,7 +72,7 @@ WITH {_SQL_USED}
 SELECT CAST(user_id AS VARCHAR) AS slug, id, event_type AS source_name, event_id AS position FROM kept
 """)
 def collected_posts(spark, sf):
-    return collect_posts(_landed(spark, sf), at_least=13).select("slug", "id", "source_name", "position")
+    return collect_posts(_landed(spark, sf), AT_LEAST, CAP).select("slug", "id", "source_name", "position")
 
 
 @query(f"""
@@ -73,27 +80,60 @@ WITH {_SQL_USED},
 stored AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 15),
 c AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS p FROM events GROUP BY 1),
 k AS (SELECT user_id, count(*) AS n FROM kept GROUP BY 1),
-heads AS (SELECT user_id, string_agg(DISTINCT 'r/' || event_type, ',' ORDER BY 'r/' || event_type) AS s
+heads AS (SELECT user_id, string_agg(DISTINCT 'r/' || event_type, ',' ORDER BY 'r/' || event_type DESC) AS s
           FROM events WHERE event_type IN ('click', 'signup') GROUP BY 1)
 SELECT CAST(c.user_id AS VARCHAR) AS slug, 'user ' || c.user_id AS name,
        coalesce(stored.n, k.n) AS post_count,
        CASE WHEN stored.n IS NOT NULL THEN 'r/stored' ELSE
-         heads.s || CASE WHEN p > 0 THEN ',r/purchase' ELSE '' END || CASE WHEN p < 13 THEN ',r/view' ELSE '' END END AS sources,
+         heads.s || CASE WHEN p > 0 THEN ',r/purchase' ELSE '' END || CASE WHEN p < {AT_LEAST} THEN ',r/view' ELSE '' END END AS sources,
        CASE WHEN stored.n IS NOT NULL THEN 'skipped' ELSE 'collected' END AS status
 FROM c LEFT JOIN k USING (user_id) LEFT JOIN heads USING (user_id) LEFT JOIN stored USING (user_id)
 """)
 def key_sources(spark, sf):
     events = table(spark, sf, "events")
     named = col("user_id").cast("string").alias("slug")
-    config = (events.groupBy("user_id").agg(F.sort_array(F.collect_set(
-        F.when(col("event_type").isin("click", "signup"), col("event_type")))).alias("subreddits"))
-        .select(named, F.concat(F.lit("user "), col("user_id").cast("string")).alias("name"), "subreddits",
-                F.lit("purchase").alias("primary_subreddit"), F.lit("view").alias("fallback_subreddit")))
     already = (events.filter(col("event_type") == "error").groupBy("user_id").agg(F.count("*").alias("post_count"))
                .filter(col("post_count") >= 15).select(
                    named, F.concat(F.lit("user "), col("user_id").cast("string")).alias("name"), "post_count",
                    F.lit("r/stored").alias("sources")))
-    return collected(_landed(spark, sf), config, already, 13)["log"]
+    return collected(_landed(spark, sf), _key_config(spark, sf), already)["log"]
+
+
+def _key_config(spark, sf):
+    """One row per user with its dedicated sources and the rules of collection."""
+    events = table(spark, sf, "events")
+    order = F.when(col("event_type") == "signup", 0).otherwise(1)
+    named = F.sort_array(F.collect_set(F.when(col("event_type").isin("click", "signup"), F.struct(order.alias("n"), "event_type"))))
+    return events.groupBy("user_id").agg(F.transform(named, lambda s: s["event_type"]).alias("subreddits")).select(
+        col("user_id").cast("string").alias("slug"), F.concat(F.lit("user "), col("user_id").cast("string")).alias("name"),
+        "subreddits", F.lit("purchase").alias("primary_subreddit"), F.lit("view").alias("fallback_subreddit"),
+        F.lit(AT_LEAST).alias("min_posts_threshold"), F.lit(CAP).alias("max_posts"))
+
+
+@query(f"""
+WITH {_SQL_USED},
+k AS (SELECT user_id, count(*) AS n FROM kept GROUP BY 1),
+p AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS p, bool_or(event_type = 'signup') AS s,
+             bool_or(event_type = 'click') AS c FROM events GROUP BY 1)
+SELECT CAST(user_id AS VARCHAR) AS slug, 'user ' || user_id AS name, n AS post_count,
+       concat_ws(',', CASE WHEN s THEN 'r/signup' END, CASE WHEN c THEN 'r/click' END, CASE WHEN p > 0 THEN 'r/purchase' END,
+                 CASE WHEN p < {AT_LEAST} THEN 'r/view' END) AS sources,
+       CASE WHEN user_id % 2 = 0 THEN 'skipped' ELSE 'collected' END AS status
+FROM p JOIN k USING (user_id)
+""")
+def collection_store(spark, sf):
+    """Collected in two runs over one store of documents: the second finds what the first has written."""
+    path, landed, config = scratch_path(spark, "store"), _landed(spark, sf), _key_config(spark, sf)
+
+    def store(done):
+        docs = collection_documents(done["posts"].withColumn("title", col("source_name")), done["sources"], ["id", "title"], per_document=7)
+        write_documents(docs, path, mode="append")
+
+    store(collected(landed, config.filter(col("slug").cast("long") % 2 == 0)))
+    second = collected(landed, config, stored_keys(spark, path))
+    store(second)
+    found = stored_keys(spark, path)
+    return found.join(second["log"].select("slug", "status"), "slug").select("slug", "name", "post_count", "sources", "status")
 
 
 @query("""

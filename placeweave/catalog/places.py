@@ -182,9 +182,8 @@ FROM events GROUP BY 1
 """)
 def mean_sd(spark, sf):
     events = table(spark, sf, "events")
-    stats = mean_and_sd(events, ["event_type"], "value", "mean_value", "sd_value")
-    counts = events.groupBy("event_type").agg(F.count("*").alias("n"))
-    return counts.join(stats, "event_type").select(
+    stats = mean_and_sd(events, ["event_type"], "value", "mean_value", "sd_value", [F.count("*").alias("n")])
+    return stats.select(
         "event_type", "n", F.round("mean_value", 6).alias("mean_value"), F.round("sd_value", 6).alias("sd_value"))
 
 
@@ -299,17 +298,17 @@ def join_variants(spark, sf):
 
 
 @query("""
-WITH s AS (SELECT s_nationkey AS k FROM supplier), c AS (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9990),
+WITH s AS (SELECT s_suppkey * 40 AS k FROM supplier), c AS (SELECT c_custkey AS k FROM customer),
  u AS (SELECT k, 'supplier' AS origin FROM s UNION ALL SELECT k, 'customer' FROM c)
 SELECT 'all' AS part, k, origin FROM u
 UNION ALL SELECT 'distinct', k, NULL FROM (SELECT DISTINCT k FROM u)
 UNION ALL SELECT 'difference', k, NULL FROM (SELECT DISTINCT k FROM s WHERE k NOT IN (SELECT k FROM c))
 """, name="union_layers")
 def union_layers_keys(spark, sf):
-    sold = table(spark, sf, "supplier").select(col("s_nationkey").alias("k"))
-    rich = table(spark, sf, "customer").filter(col("c_acctbal") > 9990).select(col("c_nationkey").alias("k"))
-    stacked = union_layers({"supplier": sold, "customer": rich}, "origin")
-    difference = keep_keys(sold.distinct(), rich, "k", negate=True)
+    sold = table(spark, sf, "supplier").select((col("s_suppkey") * 40).alias("k"))
+    bought = table(spark, sf, "customer").select(col("c_custkey").alias("k"))
+    stacked = union_layers({"supplier": sold, "customer": bought}, "origin")
+    difference = keep_keys(sold.distinct(), bought, "k", negate=True)
     return union_layers({"all": stacked, "distinct": stacked.select("k").distinct(), "difference": difference}, "part")
 
 

@@ -105,7 +105,7 @@ def _posts(spark, sf):
 
 
 def _forum(spark, sf):
-    clean = cut_lineage(forum.clean_posts(_posts(spark, sf)), "posts")
+    clean = cut_lineage(forum.clean_posts(_posts(spark, sf)).select(*forum.POST), "posts")
     return forum.forum_profile(clean, _lookup(spark, sf), _valued(spark),
                                _polar(spark), _stop(spark))
 

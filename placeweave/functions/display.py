@@ -33,8 +33,8 @@ def listing_flag(listings: Column | str) -> Column:
 
 def plain_number(c: Column | str, digits: int = 2) -> Column:
     """Rounded half to even and printed without trailing zeros: 1.2, 0, 3."""
-    text = F.bround(_col(c).cast("double"), digits).cast("string")
-    return F.regexp_replace(text, r"\.0$", "")
+    text = F.bround(_col(c).cast("double"), digits).cast(f"decimal(38,{digits})").cast("string")
+    return F.regexp_replace(text, r"\.0+$|(\.\d*[1-9])0+$", "$1")
 
 
 def comma(c: Column | str) -> Column:

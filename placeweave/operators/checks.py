@@ -33,7 +33,7 @@ def run_checks(df: DataFrame, checks: list[Check]) -> DataFrame:
     one = df.agg(*[c.measure.cast("long").alias(f"m{i}") for i, c in enumerate(checks)])
     rows = [F.struct(F.lit(c.name).alias("check"), F.lit(c.severity).alias("severity"),
                      F.lit(c.expected).cast("long").alias("expected"), F.col(f"m{i}").alias("observed"),
-                     (F.col(f"m{i}") == c.expected).alias("passed")) for i, c in enumerate(checks)]
+                     F.col(f"m{i}").eqNullSafe(F.lit(c.expected).cast("long")).alias("passed")) for i, c in enumerate(checks)]
     return one.select(F.inline(F.array(*rows)))
 
 

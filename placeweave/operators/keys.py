@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placeweave import fixed
 from placeweave.operators.joins import missing_keys, with_group_value
+from placeweave.session import cut_lineage
 
 
 def todo_keys(expected: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -23,7 +24,7 @@ def replace_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def drop_full_keys(store: DataFrame, key: str, at_least: int) -> DataFrame:
     """The store without keys that hold ``at_least`` rows or more, so that they are collected anew."""
     full = store.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= at_least).select(key)
-    return store.join(full, key, "left_anti")
+    return store.join(cut_lineage(full, "full"), key, "left_anti")
 
 
 def nest_by_key(df: DataFrame, keys: list[str], item: str, order: str, fields: list[str],
@@ -36,7 +37,7 @@ def nest_by_key(df: DataFrame, keys: list[str], item: str, order: str, fields: l
     sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / per_document).cast("int").alias("_parts"))
     part = F.pmod(F.xxhash64(item), F.col("_parts")).cast("int")
     rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*fields).alias("_f"))))
-    return (with_group_value(df, sizes, keys).withColumn("part", part)
+    return (with_group_value(df, cut_lineage(sizes, "sizes"), keys).withColumn("part", part)
             .groupBy(*keys, "part").agg(F.transform(rows, lambda r: r["_f"]).alias(out)))
 
 

@@ -1,20 +1,19 @@
 """Top-n and first-row-per-key, safe when one key holds a large share of the rows.
 
 ``row_number() <= n`` plans as a limit inside every map task before the shuffle, so a
-hot key sends at most n rows per task. When n itself is large the cut is made twice,
-first on a salted key, because a top-n of top-n parts is the top-n of the whole.
+hot key sends at most n rows per task. Where n itself is large the caller asks for ``salts``:
+the cut is then made twice, first on a salted key, because a top-n of top-n parts is the
+top-n of the whole.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
 from pyspark.sql.window import Window
 
 from placeweave import fixed
 
-SALT_FROM = 100
 SALTS = 64
 
 
@@ -23,14 +22,17 @@ def _asc(c: str | Column) -> Column:
 
 
 def top_n(df: DataFrame, keys: list[str], order: list, n: int, rank: str | None = None,
-          ties: bool = False) -> DataFrame:
+          ties: bool = False, salts: int = 0) -> DataFrame:
     """The first n rows of each key. ``order`` should end in a unique column, or the choice
-    between equal rows is open; ``ties=True`` keeps every row equal to the n-th."""
+    between equal rows is open; ``ties=True`` keeps every row equal to the n-th.
+    ``salts`` splits every key in so many parts by the order columns given by name; the result is
+    the same."""
+    salt_on = [c for c in order if isinstance(c, str)]
     order = [_asc(c) for c in order]
     number = F.rank() if ties else F.row_number()
     out = rank or "_rank"
-    if n > SALT_FROM and keys:
-        salt = F.pmod(F.xxhash64(*[f.name for f in df.schema if not isinstance(f.dataType, MapType)]), F.lit(SALTS))
+    if salts and keys:
+        salt = F.pmod(F.xxhash64(*salt_on), F.lit(salts))
         part = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = (df.withColumn("_salt", salt).withColumn("_part", number.over(part))
               .filter(F.col("_part") <= n).drop("_part", "_salt"))
@@ -54,9 +56,9 @@ def earliest_per_key(df: DataFrame, keys: list[str], by: str, tiebreak: list = (
 
 
 def cap_per_source(df: DataFrame, keys: list[str], position: str,
-                   cap: int = fixed.MAX_POSTS_PER_SOURCE) -> DataFrame:
-    """At most ``cap`` rows of each source, in collection order."""
-    return top_n(df, keys, [F.asc(position)], cap)
+                   cap: int | None = None) -> DataFrame:
+    """At most ``cap`` rows of each source, in collection order; all without a cap."""
+    return df if cap is None else top_n(df, keys, [position], cap, salts=SALTS)
 
 
 def priority_dedup(df: DataFrame, keys: list[str], item: str, priority: list) -> DataFrame:
@@ -72,9 +74,12 @@ def global_top(df: DataFrame, by: str, n: int, tiebreak: list = ()) -> DataFrame
 
 def global_top_ties(df: DataFrame, by: str, n: int) -> DataFrame:
     """The n largest rows and every row equal to the n-th: a heap finds the n-th value, a
-    filter keeps what reaches it, and nothing is ranked in one place."""
-    edge = df.select(by).orderBy(F.desc(by)).limit(n).agg(F.min(by)).scalar()
-    return df.filter(F.col(by) >= edge)
+    filter keeps what reaches it, and nothing is ranked in one place. NULLs come last and tie
+    with one another, so all of them stay where there are fewer than n values."""
+    best = df.select(by).orderBy(F.desc_nulls_last(by)).limit(n)
+    found = best.agg(F.min(by).alias("edge"), F.count(by).alias("values"))
+    edge, open_end = found.select("edge").scalar(), found.select(F.col("values") < n).scalar()
+    return df.filter((F.col(by) >= edge) | (F.col(by).isNull() & open_end) & (F.lit(n) > 0))
 
 
 def ordered_join(df: DataFrame, keys: list[str], word: str, rank: str, out: str, separator: str) -> DataFrame:

@@ -53,7 +53,10 @@ def with_median(df: DataFrame, keys: list[str], value: str, out: str, aggs: list
     low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
     lower = F.min(F.when(F.col("_hi") >= low, F.col("_v")))
     upper = F.min(F.when(F.col("_hi") >= high, F.col("_v")))
-    median = ranked.groupBy(*keys).agg(((lower + upper) / 2).alias(out))
+    below, within = F.sum(F.when(F.col("_z") < 0, F.col("_n")).otherwise(0)), F.sum(F.when(F.col("_z") == 0, F.col("_n")))
+    missed = (F.first(low) <= below) | (F.first(high) > below + F.coalesce(within, F.lit(0)))
+    median = ranked.groupBy(*keys).agg(F.when(missed, F.raise_error("a middle rank lies outside its bracket"))
+                                       .otherwise((lower + upper) / 2).alias(out))
     return with_group_value(first.drop("_b"), median, keys)
 
 
@@ -77,13 +80,13 @@ def polarity(df: DataFrame, keys: list[str], sentiment: str = "sentiment", posit
 
 
 def share_in_group(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Each row's share of its group total. Totals are summed apart and joined back, so a hot
-    group is never gathered in one window."""
-    totals = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
+    """Each row's share of its group total. Totals are summed apart, written, so that their size is
+    known, and joined back; a hot group is never gathered, nor the rows shuffled on it."""
+    totals = cut_lineage(df.groupBy(*keys).agg(F.sum(value).alias("_total")), "totals")
     return (with_group_value(df, totals, keys)
             .withColumn(out, F.col(value) / F.col("_total")).drop("_total"))
 
 
-def mean_and_sd(df: DataFrame, keys: list[str], value: str, mean: str, sd: str) -> DataFrame:
-    """Mean and sample deviation; one value alone has no deviation."""
-    return df.groupBy(*keys).agg(F.avg(value).alias(mean), F.stddev_samp(value).alias(sd))
+def mean_and_sd(df: DataFrame, keys: list[str], value: str, mean: str, sd: str, aggs: list[Column] = ()) -> DataFrame:
+    """Mean and sample deviation, and further aggregates; one value alone has no deviation."""
+    return df.groupBy(*keys).agg(F.avg(value).alias(mean), F.stddev_samp(value).alias(sd), *aggs)

@@ -9,9 +9,9 @@ from pyspark.sql.window import Window
 from placeweave import fixed
 from placeweave.functions.tokens import tokens, word_shaped
 from placeweave.operators.ranking import ordered_join, top_n
+from placeweave.session import cut_lineage
 from placeweave.sources.tables import small_table
 
-LITERAL_WORDS = 20_000
 RANK_DIGITS = 9
 
 
@@ -75,34 +75,23 @@ def two_lexicon_scores(df: DataFrame, group: str, post: list[str], text: str, va
         F.when(polar_seen, F.col("neg")).alias("bing_negative"))
 
 
-def _stop_test(stopwords: DataFrame | None):
-    """A column test when the words fit in a literal set, else the table to join."""
-    if stopwords is None:
-        return (lambda w: F.lit(False)), None
-    rows = stopwords.select("word").limit(LITERAL_WORDS + 1).collect()
-    if len(rows) > LITERAL_WORDS:
-        return (lambda w: F.lit(False)), stopwords.select("word").distinct()
-    words = sorted({r.word for r in rows})
-    return (lambda w: w.isin(words) if words else F.lit(False)), None
-
-
 def ngrams(df: DataFrame, keys: list[str], text: str, stopwords: DataFrame | None = None,
            shape: str = fixed.WORD_SHAPE) -> DataFrame:
     """Two- and three-word phrases of neighbours in the full word list.
 
     A rejected word becomes NULL and keeps its place, so it breaks a phrase and joins
-    nothing. The list is read next to itself shifted by one and two."""
-    is_stop, joined = _stop_test(stopwords)
-    listed = df.select(*keys, F.transform(
-        tokens(text), lambda w: F.when(word_shaped(w, shape) & ~is_stop(w), w)).alias("w"))
+    nothing. The list is read next to itself shifted by one and two. Stopwords are joined, however
+    many they are: a table of known small size is broadcast by Catalyst, and NULL words are ignored."""
+    listed = df.select(*keys, F.transform(tokens(text), lambda w: F.when(word_shaped(w, shape), w)).alias("w"))
     last = F.lit(2**31 - 1)
     rows = listed.select(*keys, F.inline(F.arrays_zip(
         F.col("w").alias("w1"), F.slice("w", 2, last).alias("w2"), F.slice("w", 3, last).alias("w3"))))
     rows = rows.filter(F.col("w1").isNotNull() & F.col("w2").isNotNull())
-    if joined is not None:
+    if stopwords is not None:
+        stop = stopwords.select("word").filter(F.col("word").isNotNull()).distinct()
         for w in ("w1", "w2"):
-            rows = rows.join(joined.select(F.col("word").alias(w)), w, "left_anti")
-        flag = joined.select(F.col("word").alias("w3"), F.lit(True).alias("_stop"))
+            rows = rows.join(stop.select(F.col("word").alias(w)), w, "left_anti")
+        flag = stop.select(F.col("word").alias("w3"), F.lit(True).alias("_stop"))
         rows = rows.join(flag, "w3", "left").withColumn("w3", F.when(F.col("_stop").isNull(), F.col("w3")))
     space = F.lit(" ")
     two = F.struct(F.concat("w1", space, "w2").alias("word"), F.lit(2).alias("n_words"))
@@ -130,8 +119,9 @@ def _with_idf(counts: DataFrame, group: str) -> DataFrame:
 
 
 def tf_idf(counts: DataFrame, group: str) -> DataFrame:
-    """Every phrase of every group with tf, idf and their product."""
-    return (_with_idf(counts, group).join(group_totals(counts, group), group)
+    """Every phrase of every group with tf, idf and their product. The totals, one row per group, are
+    written first, so that their size is known and the counts need not be shuffled on the group."""
+    return (_with_idf(counts, group).join(cut_lineage(group_totals(counts, group), "totals"), group)
             .withColumn("tf", F.col("n") / F.col("_total"))
             .withColumn("tf_idf", F.col("tf") * F.col("idf")).drop("_total", "df"))
 

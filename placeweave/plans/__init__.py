@@ -1 +1 @@
-"""Whole analyses composed from the operators; each returns lazy frames."""
+"""Whole analyses composed from the operators; each returns frames, some over tables written while it is set up."""

@@ -5,12 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from placeweave import fixed
 from placeweave.operators.checks import Check, enforce, row_count, run_checks
-from placeweave.operators.joins import merged_words
+from placeweave.operators.joins import keep_keys, merged_words, missing_keys
 from placeweave.operators.text import stopword_table
 from placeweave.plans import business, forum, listings, master
+from placeweave.plans.listings import CELL
 from placeweave.session import cut_lineage
 from placeweave.sources import schemas
 from placeweave.sources.documents import read_posts, read_texts
@@ -21,6 +23,9 @@ from placeweave.sources.tables import (
 
 @dataclass
 class Inputs:
+    """Files and tables to build from. ``keys`` keeps some areas only; ``area_range`` None takes any
+    area number; ``quoted_newlines`` False lets large licence and listing files be read in splits."""
+
     lookup: str
     licences: str
     posts: str
@@ -32,18 +37,28 @@ class Inputs:
     reviews: dict[str, str] = field(default_factory=dict)
     summaries: str | None = None
     review_partitions: int | None = None
+    quoted_newlines: bool = True
+    area_range: tuple[int, int] | None = fixed.AREA_RANGE
+    rules: list[tuple[str, str]] | None = None
+    cell: float = CELL
+    keys: list[str] | None = None
 
 
-def _checked(df: DataFrame, checks: list[Check]) -> DataFrame:
-    """The frame, computed once and proven before anything is written from it."""
+def _checked(df: DataFrame, checks: list[Check], stage: str, out: str) -> DataFrame:
+    """The frame, computed once and proven before anything is written from it. What the checks
+    found, warnings included, is written as ``checks/<stage>`` first."""
     df = cut_lineage(df)
-    enforce(run_checks(df, checks))
+    results = run_checks(df, checks).select(F.lit(stage).alias("stage"), "*")
+    write_table(results, f"{out}/checks/{stage}")
+    enforce(read_table(df.sparkSession, f"{out}/checks/{stage}"))
     return df
 
 
 def build(spark: SparkSession, inputs: Inputs, out: str, force: bool = False) -> DataFrame:
     """Write every stage under ``out`` and return the master table."""
     lookup = read_csv(spark, inputs.lookup, schemas.LOOKUP)
+    if inputs.keys is not None:
+        lookup = keep_keys(lookup, inputs.keys, "slug")
     rows = lookup.count()
     domain = stopword_table(spark, fixed.DOMAIN_STOPWORDS, fixed.DOMAIN_LEXICON)
     hospitality = stopword_table(spark, fixed.HOSPITALITY_STOPWORDS, fixed.HOSPITALITY_LEXICON)
@@ -53,29 +68,29 @@ def build(spark: SparkSession, inputs: Inputs, out: str, force: bool = False) ->
         return force or not table_exists(spark, f"{out}/{path}")
 
     if missing("business/summary"):
-        active = business.active_licences(read_csv(spark, inputs.licences, schemas.RAW_LICENCES))
+        active = business.active_licences(read_csv(spark, inputs.licences, schemas.RAW_LICENCES, inputs.quoted_newlines))
         write_table(active, f"{out}/licences")
-        done = business.business_profile(read_table(spark, f"{out}/licences"), lookup)
-        summary = _checked(done["summary"], master.business_checks(rows))
+        done = business.business_profile(read_table(spark, f"{out}/licences"), lookup, inputs.rules, inputs.area_range)
+        summary = _checked(done["summary"], master.business_checks(rows), "business", out)
         write_bundle({"by_category": done["by_category"], "summary": summary}, f"{out}/business")
 
     if missing("forum/scores"):
         posts, rejects = read_posts(spark, inputs.posts)
         write_table(rejects, f"{out}/forum/rejects")
-        write_table(forum.clean_posts(posts), f"{out}/forum/posts")
+        write_table(forum.clean_posts(posts).select(*forum.POST), f"{out}/forum/posts")
         clean = read_table(spark, f"{out}/forum/posts")
         write_table(forum.post_phrases(clean, words), f"{out}/forum/phrases")
         phrases = read_table(spark, f"{out}/forum/phrases")
         done = forum.forum_profile(clean, lookup, inputs.valued_lexicon, inputs.polar_lexicon, words, phrases)
-        write_table(_checked(done["scores"], master.score_checks(rows)), f"{out}/forum/scores")
+        write_table(_checked(done["scores"], master.score_checks(rows), "forum", out), f"{out}/forum/scores")
 
     if inputs.regions and inputs.listings and missing("listings/summary"):
         done = listings.listing_profile(
-            read_snapshots(spark, inputs.listings, schemas.LISTINGS),
+            read_snapshots(spark, inputs.listings, schemas.LISTINGS, quoted_newlines=inputs.quoted_newlines),
             read_snapshots(spark, inputs.reviews, schemas.REVIEWS, partitions=inputs.review_partitions),
             read_regions(spark, inputs.regions), lookup, inputs.valued_lexicon, words,
-            merged_words(words, hospitality))
-        summary = _checked(done["summary"], [row_count(rows)])
+            merged_words(words, hospitality), inputs.cell)
+        summary = _checked(done["summary"], [row_count(rows)], "listings", out)
         write_bundle({"by_room_type": done["by_room_type"], "phrases": done["phrases"], "summary": summary},
                      f"{out}/listings")
 
@@ -83,7 +98,9 @@ def build(spark: SparkSession, inputs: Inputs, out: str, force: bool = False) ->
     scores = read_table(spark, f"{out}/forum/scores")
     stays = read_optional(spark, f"{out}/listings/summary")
     texts = read_texts(spark, inputs.summaries) if inputs.summaries else None
+    if texts is not None:
+        write_table(missing_keys(lookup, texts, "slug"), f"{out}/missing_summaries")
     write_table(master.prompt_table(summary, scores, stays, texts), f"{out}/prompts")
     profile = master.master_profile(lookup, summary, scores, texts, stays)
-    write_table(_checked(profile, master.master_checks(profile, rows)), f"{out}/master")
+    write_table(_checked(profile, master.master_checks(profile, rows), "master", out), f"{out}/master")
     return read_table(spark, f"{out}/master")

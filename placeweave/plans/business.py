@@ -24,21 +24,24 @@ def active_licences(raw: DataFrame, status: str = fixed.ACTIVE_STATUS) -> DataFr
 
 
 def in_known_area(df: DataFrame, column: str = "community_area", out: str = AREA,
-                  valid: tuple[int, int] = fixed.AREA_RANGE) -> DataFrame:
-    """Rows whose area text is a number in range; spaces and leading zeros are fine."""
-    return df.filter(not_blank(column)).withColumn(out, to_int(column)).filter(F.col(out).between(*valid))
+                  valid: tuple[int, int] | None = fixed.AREA_RANGE) -> DataFrame:
+    """Rows whose area text is a number in range; spaces and leading zeros are fine. Without a
+    range any number will do."""
+    numbered = df.filter(not_blank(column)).withColumn(out, to_int(column))
+    return numbered.filter(F.col(out).isNotNull() if valid is None else F.col(out).between(*valid))
 
 
-def licence_categories(licences: DataFrame, rules=None) -> DataFrame:
+def licence_categories(licences: DataFrame, rules=None, valid: tuple[int, int] | None = fixed.AREA_RANGE) -> DataFrame:
     """Licences in a known area with description default and category."""
-    described = in_known_area(licences).withColumn("license_description", F.coalesce(
+    described = in_known_area(licences, valid=valid).withColumn("license_description", F.coalesce(
         "license_description", "business_activity", F.lit(fixed.DESCRIPTION_DEFAULT)))
     return described.withColumn("category", classify("license_description", rules))
 
 
-def business_profile(licences: DataFrame, lookup: DataFrame, rules=None) -> dict[str, DataFrame]:
+def business_profile(licences: DataFrame, lookup: DataFrame, rules=None,
+                     valid: tuple[int, int] | None = fixed.AREA_RANGE) -> dict[str, DataFrame]:
     """``summary``: one row per lookup area; ``by_category``: counts per area and category."""
-    counts = category_counts(licence_categories(licences, rules), [AREA], "category")
+    counts = category_counts(licence_categories(licences, rules, valid), [AREA], "category")
     leaders = top_n(counts, [AREA], [F.desc("n"), "category"], fixed.TOP_CATEGORIES, rank="rank")
     leaders = ordered_join(leaders, [AREA], "category", "rank", "top_3_categories", fixed.CATEGORY_SEPARATOR)
     index = diversity(counts, [AREA], "n", "total_active_businesses", "business_diversity_index")

@@ -1,7 +1,8 @@
 """Rules that turn landed posts of several sources into one stored document per key.
 
 ``landed`` holds one row per collected post: slug, source_kind (dedicated, primary or
-fallback), source_name, feed (sort order or search term), feed_no, position, and the post.
+fallback), source_name, source_no (place in the key's list), feed (sort order or search
+term), feed_no, position, and the post.
 """
 
 from __future__ import annotations
@@ -11,32 +12,54 @@ from pyspark.sql import functions as F
 
 from placeweave import fixed
 from placeweave.operators.joins import fallback_rows
-from placeweave.operators.keys import collection_log
+from placeweave.operators.keys import collection_log, nest_by_key
 from placeweave.operators.ranking import cap_per_source, priority_dedup
+from placeweave.session import cut_lineage
+from placeweave.sources import schemas
 
 DEDICATED, PRIMARY, FALLBACK = "dedicated", "primary", "fallback"
+FEED = ["slug", "source_kind", "source_name", "feed"]
 
 
 def _kind(kind: str):
     return F.col("source_kind") == kind
 
 
-def collect_posts(landed: DataFrame, at_least: int = fixed.MIN_PRIMARY_POSTS,
-                  cap: int = fixed.MAX_POSTS_PER_SOURCE) -> DataFrame:
-    """Capped per source and feed, fallback only where the primary source is thin, each post once."""
-    capped = cap_per_source(landed, ["slug", "source_kind", "source_name", "feed"], "position", cap)
+def rules_of(config: DataFrame) -> dict[str, int | None]:
+    """Threshold and cap as the key config has them; a config without a cap means none."""
+    named = [F.max(c).alias(c) if c in config.columns else F.lit(None).alias(c) for c in ("min_posts_threshold", "max_posts")]
+    row = config.agg(F.count("*"), *named).first()
+    at_least = fixed.MIN_PRIMARY_POSTS if row.min_posts_threshold is None else row.min_posts_threshold
+    return {"at_least": at_least, "cap": row.max_posts}
+
+
+def capped_posts(landed: DataFrame, cap: int | None) -> DataFrame:
+    """At most ``cap`` posts of each source and feed, in collection order."""
+    return cap_per_source(landed, FEED, "position", cap)
+
+
+def chosen_posts(capped: DataFrame, at_least: int) -> DataFrame:
+    """Fallback rows only where the primary source is thin, each post once: dedicated sources in the
+    order of the config, then the primary one, then the fallback."""
     used = fallback_rows(capped, ["slug"], _kind(PRIMARY), _kind(FALLBACK), at_least)
     rank = F.when(_kind(DEDICATED), 0).when(_kind(PRIMARY), 1).otherwise(2)
-    return priority_dedup(used, ["slug"], "id", [rank, "source_name", "feed_no", "position"])
+    return priority_dedup(used, ["slug"], "id", [rank, "source_no", "feed_no", "position"])
+
+
+def collect_posts(landed: DataFrame, at_least: int = fixed.MIN_PRIMARY_POSTS, cap: int | None = None) -> DataFrame:
+    """Capped per source and feed if a cap is given, then chosen."""
+    capped = capped_posts(landed, cap)
+    return chosen_posts(capped if cap is None else cut_lineage(capped, "capped"), at_least)
 
 
 def source_lists(landed: DataFrame, config: DataFrame, at_least: int = fixed.MIN_PRIMARY_POSTS,
-                 cap: int = fixed.MAX_POSTS_PER_SOURCE) -> DataFrame:
+                 cap: int | None = None) -> DataFrame:
     """Sources named per key: dedicated ones always, the primary one if it gave rows, the
-    fallback one if it was asked and the key has any rows at all."""
-    capped = cap_per_source(landed, ["slug", "source_kind", "source_name", "feed"], "position", cap)
-    counts = capped.groupBy("slug").agg(
-        F.count_if(_kind(PRIMARY)).alias("_primary"), F.count("*").alias("_any"))
+    fallback one if it was asked and the key has any rows at all. Counts need no ranking: a feed
+    counts at most its cap."""
+    n = F.count("*") if cap is None else F.least(F.count("*"), F.lit(cap).cast("long"))
+    feeds = landed.groupBy(*FEED).agg(n.alias("_n"))
+    counts = feeds.groupBy("slug").agg(F.sum(F.when(_kind(PRIMARY), F.col("_n")).otherwise(0)).alias("_primary"), F.sum("_n").alias("_any"))
     joined = config.join(counts, "slug", "left").na.fill(0, ["_primary", "_any"])
     dedicated = F.transform("subreddits", lambda s: F.concat(F.lit("r/"), s))
     primary = F.when(F.col("_primary") > 0, F.concat(F.lit("r/"), "primary_subreddit"))
@@ -47,16 +70,38 @@ def source_lists(landed: DataFrame, config: DataFrame, at_least: int = fixed.MIN
 
 
 def collected(landed: DataFrame, config: DataFrame, already: DataFrame | None = None,
-              at_least: int = fixed.MIN_PRIMARY_POSTS) -> dict[str, DataFrame]:
-    """``posts`` to store for keys not stored yet, and the ``log`` over all keys. ``already``
-    holds slug, post_count and sources of stored keys."""
+              at_least: int | None = None, cap: int | None = None) -> dict[str, DataFrame]:
+    """``posts`` to store for keys not stored yet, their ``sources``, and the ``log`` over all keys.
+
+    ``already`` holds slug, post_count and sources of stored keys, as ``stored_keys`` reads them.
+    Threshold and cap are those of the config unless given. The posts are written once."""
+    rules = rules_of(config)
+    at_least, cap = rules["at_least"] if at_least is None else at_least, rules["cap"] if cap is None else cap
     todo = config if already is None else config.join(already.select("slug"), "slug", "left_anti")
     fresh = landed.join(todo.select("slug"), "slug", "left_semi")
-    posts = collect_posts(fresh, at_least)
+    posts = cut_lineage(collect_posts(fresh, at_least, cap), "posts")
     sizes = posts.groupBy("slug").agg(F.count("*").alias("n"))
-    stored = source_lists(fresh, todo, at_least).join(sizes, "slug", "left")
+    sources = source_lists(fresh, todo, at_least, cap)
+    stored = sources.join(sizes, "slug", "left")
     log = collection_log(stored, "name", F.coalesce("n", F.lit(0)), F.array_join("sources", ","), F.lit(False))
     if already is not None:
         old = config.select("slug", "name").join(already.drop("name"), "slug")
         log = log.unionByName(collection_log(old, "name", F.col("post_count"), F.col("sources"), F.lit(True)))
-    return {"posts": posts, "log": log}
+    return {"posts": posts, "sources": sources, "log": log}
+
+
+def collection_documents(posts: DataFrame, sources: DataFrame, fields: list[str], order: str = "id",
+                         per_document: int = 10_000) -> DataFrame:
+    """Documents to store: slug, name, sources, part, posts. A key without posts has one empty document."""
+    nested = nest_by_key(posts, ["slug"], "id", order, fields, per_document=per_document)
+    whole = sources.join(nested, "slug", "left")
+    none = F.array().cast(nested.schema["posts"].dataType)
+    return whole.select("slug", "name", "sources", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("posts", none).alias("posts"))
+
+
+def stored_keys(spark, path: str) -> DataFrame:
+    """What a store of documents holds already: slug, name, post_count, sources (one string)."""
+    docs = spark.read.schema(schemas.POST_FILE).option("recursiveFileLookup", True).json(path)
+    return docs.groupBy("slug").agg(
+        F.first("name").alias("name"), F.sum(F.size("posts")).cast("long").alias("post_count"),
+        F.first(F.array_join("sources", ",")).alias("sources"))

@@ -16,6 +16,10 @@ from placeweave.operators.text import (
 from placeweave.session import cut_lineage
 
 
+#: What the profile reads of a cleaned post.
+POST = ["slug", "post_id", "full_text", "score", "num_comments"]
+
+
 def clean_posts(posts: DataFrame, min_chars: int = fixed.MIN_CLEAN_CHARS) -> DataFrame:
     """Cleaned title and body, both as one text; posts that stay too short go."""
     cleaned = computed_once(posts, title_clean=clean_text("title"), text_clean=clean_text("selftext"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from placeweave import fixed
 from placeweave.functions.cleaning import clean_text, strip_edges, to_price
@@ -23,9 +24,12 @@ REVIEW = ["listing_id", "date", "reviewer_id"]
 
 
 def latest_listings(snapshots: DataFrame) -> DataFrame:
-    """One row per listing, from the newest snapshot, with its price as a number."""
+    """One row per listing, from the newest snapshot, with its price as a number. The order ends in a
+    hash of the row, so that the survivor of equal ones is fixed."""
     priced = snapshots.withColumn("price_num", to_price("price"))
-    return latest_per_key(priced, ["id"], "snapshot_date", ["latitude", "longitude", "price"])
+    named = ["latitude", "longitude", "price", "room_type", "reviews_per_month"]
+    every = F.xxhash64(*[f.name for f in priced.schema if not isinstance(f.dataType, MapType)])
+    return latest_per_key(priced, ["id"], "snapshot_date", [*[c for c in named if c in priced.columns], every])
 
 
 def place_listings(listings: DataFrame, edges: DataFrame, lookup: DataFrame, cell: float = CELL) -> DataFrame:
@@ -43,13 +47,15 @@ def listing_stats(placed: DataFrame) -> DataFrame:
 
 
 def placed_reviews(snapshots: DataFrame, placed: DataFrame) -> DataFrame:
-    """Each review once, from the oldest snapshot, with the slug of its listing; cleaned."""
-    unique = earliest_per_key(snapshots, REVIEW, "snapshot_date", [F.asc_nulls_last("comments")])
+    """Each review once, from the oldest snapshot, with the slug of its listing; cleaned. Reviews of
+    listings that were not placed go first, before any text is ranked."""
     areas = placed.select(F.col("id").alias("listing_id"), AREA, "slug").distinct()
+    ours = snapshots.select(*REVIEW, "snapshot_date", "comments").join(areas.select("listing_id"), "listing_id", "left_semi")
+    unique = earliest_per_key(ours, REVIEW, "snapshot_date", [F.asc_nulls_last("comments")])
     long_enough = F.length(strip_edges("comments")) > fixed.MIN_REVIEW_CHARS
     joined = unique.filter(long_enough).join(areas, "listing_id")
-    return computed_once(joined, text_clean=clean_text("comments")).filter(
-        F.length("text_clean") > fixed.MIN_CLEAN_CHARS)
+    cleaned = computed_once(joined, text_clean=clean_text("comments"))
+    return cleaned.filter(F.length("text_clean") > fixed.MIN_CLEAN_CHARS).select(*REVIEW, AREA, "slug", "text_clean")
 
 
 def review_sentiment(reviews: DataFrame, valued: DataFrame, stopwords: DataFrame | None) -> DataFrame:

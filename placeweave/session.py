@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+SPREAD_CONF = "placeweave.scan.partitions"
 
 
 def local_session(cpus: int | str = 8, app: str = "placeweave", **conf: str) -> SparkSession:
@@ -22,6 +24,7 @@ def local_session(cpus: int | str = 8, app: str = "placeweave", **conf: str) ->
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(SPREAD_CONF, str(cpus if cpus != "*" else 8))
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -31,7 +34,15 @@ def local_session(cpus: int | str = 8, app: str = "placeweave", **conf: str) ->
 
 
 def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """One JVM; ``local-cluster`` has executors of its own."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in any store that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -62,7 +73,10 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
-    """A plain scan dealt out over all cores before heavy work per row, but only when it has
-    fewer splits than there are cores; a scan of many files stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
+    """A plain scan dealt out before heavy work per row, if the session asks for it.
+
+    ``placeweave.scan.partitions`` is for tables of one file with one row group, as tests have
+    them. Without it nothing moves: on a cluster the scan's own splits are what is worked on, and
+    ``spark.sql.files.maxPartitionBytes`` sets their size."""
+    parts = df.sparkSession.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(parts), *by) if parts else df

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from placeweave.functions.cleaning import to_int, to_number
+from placeweave.session import path_exists
 
 
 def _struct(schema: str | StructType) -> StructType:
@@ -29,9 +31,15 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str | StructTyp
     """Declared columns of a CSV with a header, matched by name; empty and ``NA`` are NULL,
     a value that does not fit its type is NULL, a column the file lacks is NULL.
 
+    Each path has the header of its own files, so paths with other columns or another order go
+    in a list. Files under one path must agree: a differing header there fails the read.
+
     ``quoted_newlines`` and gzip both make a file one task: switch the former off where
     fields hold no line breaks, and set ``partitions`` to spread the rows after the read."""
-    raw = (spark.read.option("header", True).option("nullValue", "NA").option("escape", '"')
+    if not isinstance(path, str):
+        parts = [read_csv(spark, p, schema, quoted_newlines, partitions) for p in path]
+        return reduce(DataFrame.unionByName, parts) if parts else empty(spark, schema)
+    raw = (spark.read.option("header", True).option("enforceSchema", False).option("nullValue", "NA").option("escape", '"')
            .option("multiLine", quoted_newlines).option("ignoreLeadingWhiteSpace", True)
            .option("ignoreTrailingWhiteSpace", True).csv(path))
     if partitions:
@@ -43,7 +51,9 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str | StructTyp
 
 
 def read_snapshots(spark: SparkSession, paths: dict[str, str], schema: str, **options) -> DataFrame:
-    """Several dated copies of one CSV, stacked, each row tagged with its date."""
+    """Several dated copies of one CSV, stacked, each row tagged with its date; no copies, no rows."""
+    if not paths:
+        return empty(spark, schema).withColumn("snapshot_date", F.lit(None).cast("string"))
     out = None
     for date, path in sorted(paths.items()):
         df = read_csv(spark, path, schema, **options).withColumn("snapshot_date", F.lit(date))
@@ -66,11 +76,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+    """Whether a table was written to its end: its folder holds the mark that Spark's writers leave last."""
+    return path_exists(spark, f"{path}/_SUCCESS")
 
 
 def read_optional(spark: SparkSession, path: str | None, schema: str | None = None) -> DataFrame | None:
@@ -81,7 +88,8 @@ def read_optional(spark: SparkSession, path: str | None, schema: str | None = No
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    (df.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] = ()) -> None:

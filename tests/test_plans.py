@@ -179,13 +179,13 @@ def test_failed_checks_write_nothing(spark, inputs, tmp_path):
 
 def test_collection_rules(spark):
     def post(slug, kind, name, position, id, feed="new"):
-        return (slug, kind, name, feed, 1, position, id)
+        return (slug, kind, name, {"zeta": 0, "alpha": 1}.get(name, 0), feed, 1, position, id)
 
     landed = spark.createDataFrame(
         [post("a", "dedicated", "A", 1, "x"), post("a", "primary", "city", 1, "x"), post("a", "primary", "city", 2, "y"),
          post("a", "fallback", "ask", 1, "z"), post("b", "primary", "city", 1, "p"), post("b", "primary", "city", 2, ""),
          post("b", "primary", "city", 3, "q"), post("b", "fallback", "ask", 1, "r"), post("d", "primary", "city", 1, "w")],
-        "slug string, source_kind string, source_name string, feed string, feed_no int, position int, id string")
+        "slug string, source_kind string, source_name string, source_no int, feed string, feed_no int, position int, id string")
     config = spark.createDataFrame(
         [(s, s.upper(), subs, "city", "ask") for s, subs in (("a", ["A"]), ("b", []), ("c", ["C"]), ("d", []))],
         "slug string, name string, subreddits array<string>, primary_subreddit string, fallback_subreddit string")
@@ -200,3 +200,10 @@ def test_collection_rules(spark):
     assert sorted(r.id for r in capped.filter("slug = 'b'").collect()) == ["p", "r"]
     counted = done["posts"].agg(F.count("*")).first()[0]
     assert counted == 5
+    both = spark.createDataFrame([post("a", "dedicated", "alpha", 1, "x"), post("a", "dedicated", "zeta", 1, "x")], landed.schema)
+    assert [r.source_name for r in collection.collect_posts(both).collect()] == ["zeta"]
+    many = landed.filter("id = 'p'").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(1500)))).withColumn(
+        "id", F.col("n").cast("string")).withColumn("position", F.col("n")).drop("n")
+    assert collection.collect_posts(many).count() == 1500
+    ruled = config.withColumn("max_posts", F.lit(700)).withColumn("min_posts_threshold", F.lit(2))
+    assert {r.slug: r.post_count for r in collection.collected(many, ruled)["log"].collect()}["b"] == 700

@@ -22,13 +22,18 @@ def test_a_stopword_breaks_a_phrase(spark, stop):
         "best coffee", "best coffee shop", "coffee shop", "park coffee", "wicker park", "wicker park coffee"]
 
 
-def test_long_stopword_lists_are_joined(spark, stop, monkeypatch):
+def test_any_stopword_table_gives_the_same_phrases(spark, stop):
     df = spark.createDataFrame([("s", "one great two three the four five six and seven eight"), ("s", "ab cd"), ("t", "")],
                                "slug string, t string")
     want = grams(ops.ngrams(df, ["slug"], "t", stop))
-    monkeypatch.setattr(ops, "LITERAL_WORDS", 1)
-    assert grams(ops.ngrams(df, ["slug"], "t", stop)) == want == [
-        "five six", "four five", "four five six", "seven eight", "two three"]
+    assert want == ["five six", "four five", "four five six", "seven eight", "two three"]
+    unmatched = spark.range(30_000).selectExpr("concat('zz', id) AS word", "'x' AS lexicon")
+    null = spark.createDataFrame([(None, "x")], "word string, lexicon string")
+    for more in (unmatched, null, stop):
+        assert grams(ops.ngrams(df, ["slug"], "t", stop.unionByName(more))) == want
+    every = grams(ops.ngrams(df, ["slug"], "t"))
+    for none in (null, stop.filter("false")):
+        assert grams(ops.ngrams(df, ["slug"], "t", none)) == every
 
 
 def test_sentiment_counts_matched_words_only(spark, stop):
