@@ -24,15 +24,18 @@ SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_mktsegmen
 FROM customer
 """)
 def csv_round_trip(spark, sf):
-    """Quotes, commas and line breaks in fields; NA and empty as missing; a number that is none; a lacking column."""
-    path = scratch_path(spark, "csv")
+    """Quotes, commas and line breaks in fields; NA and empty as missing; a number that is none; a lacking
+    column; two folders whose headers have another order."""
+    paths = [scratch_path(spark, "csv"), scratch_path(spark, "csv")]
     people = table(spark, sf, "customer")
-    write_csv(people.select(
+    written = people.select(
         F.concat(F.lit('line one\nsaid "'), "c_name", F.lit('", twice')).alias("note"),
         F.when(col("c_mktsegment") == "BUILDING", "NA").otherwise(col("c_mktsegment")).alias("segment"),
         F.when(col("c_nationkey") < 3, "none").otherwise(col("c_nationkey").cast("string")).alias("nation"),
-        "c_acctbal", "c_custkey"), path)
-    return read_csv(spark, path, "c_custkey bigint, segment string, c_acctbal double, nation int, note string, "
+        "c_acctbal", "c_custkey")
+    write_csv(written.filter(col("c_custkey") % 2 == 0), paths[0])
+    write_csv(written.filter(col("c_custkey") % 2 == 1).select(*reversed(written.columns)), paths[1])
+    return read_csv(spark, paths, "c_custkey bigint, segment string, c_acctbal double, nation int, note string, "
                                  "absent string")
 
 
@@ -167,7 +170,7 @@ UNION ALL SELECT 'priorities', o_orderpriority, count(*) FROM orders GROUP BY 2
 """)
 def stage_tables(spark, sf):
     """A bundle of two datasets, one of them rebuilt by force and then left alone by a write
-    that skips what exists, and one absent; all read back."""
+    that skips what exists, one absent and one that was not written to its end; all read back."""
     root = scratch_path(spark, "stages")
     orders = table(spark, sf, "orders")
     by_status = orders.groupBy(col("o_orderstatus").alias("key")).agg(F.count("*").alias("n"))
@@ -176,9 +179,11 @@ def stage_tables(spark, sf):
     write_table(by_status, f"{root}/orders", mode="overwrite")
     write_table(by_status.filter(F.lit(False)), f"{root}/orders", mode="ignore")
     absent = read_optional(spark, f"{root}/nothing", "part string, key string, n bigint")
+    by_status.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{root}/half")
+    half = read_optional(spark, f"{root}/half", "part string, key string, n bigint")
     parts = [read_table(spark, f"{root}/{name}").select(F.lit(name).alias("part"), "key", "n")
              for name in ("orders", "priorities")]
-    return parts[0].unionByName(parts[1]).unionByName(absent)
+    return parts[0].unionByName(parts[1]).unionByName(absent).unionByName(half)
 
 
 @query("""

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
 from placeweave.catalog.base import query, table
+from placeweave.operators.checks import observed
 from placeweave.operators.keys import drop_full_keys, nest_by_key, replace_keys, todo_keys
+from placeweave.operators.ranking import latest_per_key
 from placeweave.plans.collection import collect_posts, collected, collection_documents, stored_keys
 from placeweave.session import scratch_path
 from placeweave.sources.documents import shred_listing, write_documents
+from placeweave.sources.tables import small_table, write_table
 
 
 @query("""
@@ -136,6 +139,29 @@ def collection_store(spark, sf):
     return found.join(second["log"].select("slug", "status"), "slug").select("slug", "name", "post_count", "sources", "status")
 
 
+@query("""
+WITH valid AS (SELECT * FROM orders WHERE o_orderstatus <> 'P')
+SELECT 'raw' AS stage, count(*) AS n FROM orders UNION ALL SELECT 'valid', count(*) FROM valid
+UNION ALL SELECT 'unique', count(DISTINCT o_custkey) FROM valid
+UNION ALL SELECT 'placed', count(DISTINCT o_custkey) FROM valid JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 20
+""")
+def stage_accounting(spark, sf):
+    """Rows in and out of the steps of one stage, counted while the stage is written, not apart."""
+    watches = []
+
+    def counted(df, stage):
+        df, watch = observed(df, stage, n=F.count(F.lit(1)))
+        watches.append((stage, watch))
+        return df
+
+    raw = counted(table(spark, sf, "orders"), "raw")
+    valid = counted(raw.filter(col("o_orderstatus") != "P"), "valid")
+    unique = counted(latest_per_key(valid, ["o_custkey"], "o_orderdate", ["o_orderkey"]), "unique")
+    homes = table(spark, sf, "customer").filter(col("c_nationkey") < 20).select(col("c_custkey").alias("o_custkey"))
+    write_table(counted(unique.join(homes, "o_custkey"), "placed"), scratch_path(spark, "counted"))
+    return small_table(spark, stage=[s for s, _ in watches], n=[w.get["n"] for _, w in watches])
+
+
 @query("""
 SELECT conv_id, turn, role, text, strlen(text) AS bytes FROM conversations
 """)

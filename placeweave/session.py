@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -46,13 +48,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local session may lack it, a cluster may not."""
+    """The folder named by ``spark.checkpoint.dir``; a local session may lack it, a cluster may not.
+
+    A local session's own folder goes when Python ends; in a shared one clean-up is its owner's."""
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
     if not is_local(spark):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
     root = tempfile.mkdtemp(prefix="placeweave-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(root)
     return spark.sparkContext.getCheckpointDir() or root
 

@@ -78,3 +78,12 @@ def test_display(value):
     assert value(dollars(F.lit(None).cast("double"), "N/A")) == "N/A"
     assert value(truncate(F.lit("x" * 81))) == "x" * 77 + "..."
     assert value(truncate(F.lit("x" * 80))) == "x" * 80
+
+
+def test_large_numbers_are_printed_in_full(value):
+    from pyspark.sql import functions as F
+
+    from placeweave.functions.display import plain_number
+
+    assert [value(plain_number(F.lit(x))) for x in (12345678.9, 1e9, 1.25, 0.0, -3.10, 100.0)] == [
+        "12345678.9", "1000000000", "1.25", "0", "-3.1", "100"]

@@ -62,3 +62,20 @@ def test_fallback_only_where_primary_is_thin(spark):
                                "k string, kind string")
     got = rows(fallback_rows(df, ["k"], F.col("kind") == "p", F.col("kind") == "f", 3).na.fill("-"))
     assert got == sorted([("a", "p")] * 3 + [("a", "-"), ("b", "p"), ("b", "f"), ("c", "f")])
+
+
+def test_ties_with_missing_values(spark):
+    from placeweave.operators.ranking import global_top_ties
+
+    df = spark.createDataFrame([(5,), (None,), (None,)], "v int")
+    assert [global_top_ties(df, "v", n).count() for n in (0, 1, 2, 10)] == [0, 1, 3, 3]
+
+
+def test_salted_cut_is_the_same(spark):
+    from pyspark.sql import functions as F
+
+    from placeweave.operators.ranking import top_n
+
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 1000).alias("v"))
+    want = sorted(map(tuple, top_n(df, ["k"], ["v"], 120).collect()))
+    assert sorted(map(tuple, top_n(df, ["k"], ["v"], 120, salts=8).collect())) == want and len(want) == 360

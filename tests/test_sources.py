@@ -11,7 +11,7 @@ from placeweave.sources import schemas
 from placeweave.sources.documents import (
     read_key_config, read_keyed_texts, read_posts, read_texts, shred_listing, write_documents, write_texts)
 from placeweave.sources.regions import read_regions
-from placeweave.sources.tables import read_csv, read_optional, read_snapshots, write_table
+from placeweave.sources.tables import read_csv, read_optional, read_snapshots, table_exists, write_csv, write_table
 
 
 def rows(df):
@@ -128,3 +128,31 @@ def test_lineage_is_cut_and_scans_are_spread(spark):
 def test_word_lists():
     assert len(fixed.DOMAIN_STOPWORDS) == 32 and len(fixed.HOSPITALITY_STOPWORDS) == 22
     assert len(fixed.CATEGORY_PATTERNS) == 9
+
+
+def test_headers_count_by_path(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "two.csv").write_text("b,a\ny,2\n")
+    got = read_csv(spark, [str(tmp_path / "one.csv"), str(tmp_path / "two.csv")], "a int, b string")
+    assert rows(got) == [(1, "x"), (2, "y")]
+    for multi in (True, False):
+        with pytest.raises(Exception, match="header|Header"):
+            read_csv(spark, str(tmp_path), "a int, b string", quoted_newlines=multi).collect()
+
+
+def test_written_spaces_stay(spark, tmp_path):
+    write_csv(spark.createDataFrame([("  pad  ", "x")], "a string, b string").coalesce(1), str(tmp_path / "c"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "c")).collect()] == ["a,b", "  pad  ,x"]
+
+
+def test_half_written_stage_is_not_there(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    assert not table_exists(spark, path) and read_optional(spark, path) is None
+    write_table(spark.range(3), path)
+    assert table_exists(spark, path) and read_optional(spark, path).count() == 3
+
+
+def test_no_snapshots_are_an_empty_table(spark):
+    got = read_snapshots(spark, {}, schemas.REVIEWS)
+    assert got.columns == ["listing_id", "date", "reviewer_id", "comments", "snapshot_date"] and got.count() == 0

@@ -71,3 +71,24 @@ def test_observed_rides_along(spark):
     df, watch = observed(spark.range(10), "stage", raw=F.count("*"), even=F.count_if(F.col("id") % 2 == 0))
     df.write.format("noop").mode("overwrite").save()
     assert watch.get == {"raw": 10, "even": 5}
+
+
+def test_a_missing_measure_fails_its_check(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from placeweave.operators.checks import Check, CheckFailed, enforce, run_checks
+
+    results = run_checks(spark.range(0), [Check("sum", F.sum("id"), 0)])
+    assert not results.first().passed
+    with pytest.raises(CheckFailed):
+        enforce(results)
+
+
+def test_median_of_a_key_with_a_million_values(spark):
+    from pyspark.sql import functions as F
+
+    from placeweave.operators.stats import with_median
+
+    df = spark.range(1_000_001).select(F.lit("hot").alias("k"), ((F.col("id") * 7919) % 1_000_001).alias("v"))
+    assert with_median(df, ["k"], "v", "m").first().m == 500_000.0
