@@ -24,11 +24,14 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """A join on keys where NULL equals NULL; the right side's keys are dropped."""
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", merge: bool = False) -> DataFrame:
+    """A join on keys where NULL equals NULL; the right side's keys are dropped.
+
+    ``merge`` asks for a sort-merge join: for lists that grow with the table, so that the plan that
+    a large table needs is the one that every table gets."""
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
     on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
-    out = left.join(renamed, on, how)
+    out = left.join(renamed.hint("merge") if merge else renamed, on, how)
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{k}" for k in keys])
 
 
@@ -36,12 +39,11 @@ def without_rows(docs: DataFrame, id_col: str, signature: Column, dropped: DataF
     """``docs`` without the rows named in ``dropped`` and with one of each row named in ``repeated``.
 
     A row is named by its id and a 128-bit signature of its content (columns doc_id and sig).
-    The lists are anti-joined: they are the small side, and only their size decides whether
-    the texts have to move. All columns of docs survive, whatever their names."""
+    The lists grow with the table, so they are anti-joined by sorting and never broadcast. All columns of docs survive, whatever their names."""
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("doc_id"), signature.alias("sig"))
     repeated = repeated.select("doc_id", "sig")
     gone = dropped.select("doc_id", "sig").unionByName(repeated)
-    kept = joined(rows, gone, ["doc_id", "sig"], "left_anti")
+    kept = joined(rows, gone, ["doc_id", "sig"], "left_anti", merge=True)
     if not repeated.isEmpty():
         kept = kept.unionByName(joined(rows, repeated, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"]))
     return kept.select("_row.*")

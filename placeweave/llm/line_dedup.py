@@ -42,7 +42,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     windows = cut_lineage(line_windows(lines.select("doc_id", "mark", "lines")), "windows")
     repeated = cut_lineage(first_places(windows), "repeated")
     covered = cut_lineage(merged_spans(later_occurrences(windows, repeated), ["doc_id", "mark"]), "covered")
-    found = joined(rows, covered, ["doc_id", "mark"], "left").withColumn("lines", F.split("text", "\n", -1))
+    found = joined(rows, covered, ["doc_id", "mark"], "left", merge=True).withColumn("lines", F.split("text", "\n", -1))
     spans, n = F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")), F.size("lines")
     before = F.transform(spans, lambda s, i: F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0))
     kept = F.flatten(F.zip_with(before, spans, lambda b, s: F.slice("lines", b + 1, s["start"] - b)))
