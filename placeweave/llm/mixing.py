@@ -88,7 +88,8 @@ class MixPlan:
     def placed(self, rows: DataFrame) -> DataFrame:
         """Adds what the plan says to rows with ``source`` and ``key``: source_size, target, passes, shards."""
         last = F.col("_block") == F.col("last_block")
-        partial = (F.col("_block") < F.col("last_block")) | (last & (F.col("key") <= F.col("last_key")))
+        chosen = (F.col("key") <= F.col("last_key")) | (F.col("key") == F.col("extra_key"))
+        partial = (F.col("_block") < F.col("last_block")) | (last & chosen)
         rows = (joined(rows, self.sources, ["source"]).withColumn("_block", _block("key", "n_blocks"))
                 .withColumn("passes", F.col("full") + F.coalesce(partial, F.lit(False)).cast("int")))
         shards = self.blocks.select(F.col("number").alias("_n"), F.col("block").alias("_k"), "shards")
@@ -102,8 +103,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
              seed: str = "mix") -> MixPlan:
     """Targets, passes and shards. Only ids, sources and sizes are kept while planning, no texts.
 
-    A source's words come as near its target as whole documents in random order allow: the last
-    document is taken if that brings the sum nearer. Rows that repeat an id lie side by side in the
+    The last pass over a source takes whole documents in random order while they fit, and one more of the
+    same block, the one whose size is nearest to what is left, if that brings the sum nearer. Rows that repeat an id lie side by side in the
     order and share their fate; a NULL id counts as an empty one. NULL sources are one source, the
     last; documents without words take part with no words. An empty table gives an empty plan."""
     sizes = cut_lineage(docs.select(
@@ -134,13 +135,16 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     upto = Window.partitionBy("number").orderBy("key")
     alike = (in_block.filter(F.col("size") > 0).join(cut, ["number", "block"])
              .groupBy("number", "block", "key", "room").agg(F.sum("size").alias("words")))
-    taken = alike.withColumn("_upto", F.sum("words").over(upto)).filter(F.col("_upto") - F.col("words") / 2 <= F.col("room"))
-    lasts = taken.groupBy("number").agg(F.max("key").alias("last_key"))
-    lasts = cut.join(lasts, "number", "left").select("number", F.col("block").alias("last_block"), "last_key")
+    alike = alike.withColumn("_upto", F.sum("words").over(upto)).withColumn("_fits", F.col("_upto") <= F.col("room"))
+    got = F.coalesce(F.max(F.when(F.col("_fits"), F.col("_upto"))).over(Window.partitionBy("number")), F.lit(0))
+    alike = alike.withColumn("_gap", F.col("room") - got).withColumn("_off", F.abs(F.col("words") - F.col("_gap")))
+    extra = F.min(F.when(~F.col("_fits") & (F.col("_off") < F.col("_gap")), F.struct("_off", "key")))["key"]
+    lasts = alike.groupBy("number").agg(F.max(F.when(F.col("_fits"), F.col("key"))).alias("last_key"), extra.alias("extra_key"))
+    lasts = cut.join(lasts, "number", "left").select("number", F.col("block").alias("last_block"), "last_key", "extra_key")
     sources = cut_lineage(sources.join(lasts, "number", "left").drop("rest"), "sources")
 
-    own = sources.select("number", "full", "last_block", "last_key")
-    more = (F.col("block") < F.col("last_block")) | ((F.col("block") == F.col("last_block")) & F.col("last_key").isNotNull())
+    own = sources.select("number", "full", "last_block", F.coalesce("last_key", "extra_key").alias("some"))
+    more = (F.col("block") < F.col("last_block")) | ((F.col("block") == F.col("last_block")) & F.col("some").isNotNull())
     draws = (blocks.join(own, "number")
              .withColumn("_draws", F.col("full") + F.coalesce(more, F.lit(False)).cast("int")).filter(F.col("_draws") > 0)
              .select("number", "block", F.explode(F.sequence(F.lit(0), F.col("_draws") - 1)).alias("pass")))

@@ -102,16 +102,22 @@ edges AS (
   SELECT number, max(block) FILTER (WHERE start < rest) AS last_block
   FROM (SELECT *, sum(words) OVER (PARTITION BY number ORDER BY block) - words AS start
         FROM (SELECT number, block, rest, sum(size) AS words FROM placed GROUP BY ALL)) WHERE words > 0 GROUP BY number),
+gaps AS (
+  SELECT r.*, e.last_block,
+         rest - coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY number), 0) AS gap
+  FROM running r JOIN edges e USING (number) WHERE rest > 0),
 lasts AS (
-  SELECT r.number, any_value(e.last_block) AS last_block,
-         max(key) FILTER (WHERE r.block = e.last_block AND upto - words / 2 <= rest) AS last_key
-  FROM running r JOIN edges e USING (number) WHERE rest > 0 GROUP BY r.number),
+  SELECT number, any_value(last_block) AS last_block, max(key) FILTER (WHERE block = last_block AND upto <= rest) AS last_key,
+         arg_min(key, [abs(words - gap), key::DOUBLE])
+           FILTER (WHERE block = last_block AND upto > rest AND abs(words - gap) < gap) AS extra_key
+  FROM gaps GROUP BY number),
 counted AS (
-  SELECT p.*, p.passes + CASE WHEN block < last_block OR (block = last_block AND key <= last_key) THEN 1 ELSE 0 END AS times
+  SELECT p.*, p.passes + CASE WHEN block < last_block OR (block = last_block AND (key <= last_key OR key = extra_key))
+                              THEN 1 ELSE 0 END AS times
   FROM placed p LEFT JOIN lasts l USING (number)),
 owned AS (
   SELECT DISTINCT p.number, p.block,
-         p.passes + CASE WHEN block < last_block OR (block = last_block AND last_key IS NOT NULL) THEN 1 ELSE 0 END AS draws
+         p.passes + CASE WHEN block < last_block OR (block = last_block AND coalesce(last_key, extra_key) IS NOT NULL) THEN 1 ELSE 0 END AS draws
   FROM placed p LEFT JOIN lasts l USING (number)),
 draws AS (SELECT number, block, unnest(range(0, draws)) AS pass FROM owned),
 bits AS (
