@@ -202,14 +202,16 @@ SELECT o_orderpriority || ' ' || o_orderstatus || ': ' || count(*) || ' orders'
 FROM orders GROUP BY o_orderpriority, o_orderstatus
 """)
 def text_files(spark, sf):
-    """One text file per priority and status, keyed by file name; every file has a name of its own."""
+    """One text file per priority and status, keyed by file name; the keys are held against the paths."""
     path = scratch_path(spark, "files")
     groups = table(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
     text = F.concat("o_orderpriority", F.lit("\n\n "), "o_orderstatus", F.lit(":  "), col("n").cast("string"),
                     F.lit(" orders\n"))
     groups.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     files = read_texts(spark, path)
-    names = files.groupBy("slug").agg(F.count("*").alias("files"))
+    listed = (spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+              .select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("slug")))
+    names = listed.groupBy("slug").agg(F.count("*").alias("files"))
     return files.join(names, "slug").select("ai_summary", "files")
 
 

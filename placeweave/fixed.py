@@ -74,7 +74,6 @@ POSITIVE, NEUTRAL, NEGATIVE = "Positive", "Neutral", "Negative"
 FLAG_NO_POSTS, FLAG_FEW_POSTS, FLAG_FULL = "business_only", "low_reddit", "full"
 FLAG_NO_LISTINGS = "no_airbnb"
 STATUS_COLLECTED, STATUS_SKIPPED = "collected", "skipped"
-SMOKE_KEYS = ["rogers_park", "hyde_park", "riverdale"]
 MISSING_PRICE_PROMPT = "N/A"
 MISSING_PRICE_CARD = "—"
 MISSING_SUMMARY = "_No AI summary available._"

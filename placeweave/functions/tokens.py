@@ -31,8 +31,3 @@ def tokens(c: Column | str) -> Column:
 
 def word_shaped(c: Column | str, shape: str = fixed.WORD_SHAPE) -> Column:
     return _col(c).rlike(shape)
-
-
-def word_count(c: Column | str) -> Column:
-    """Words in a space-joined phrase."""
-    return F.size(F.split(_col(c), " "))

@@ -31,11 +31,11 @@ def nest_by_key(df: DataFrame, keys: list[str], item: str, order: str, fields: l
                 out: str = "posts", per_document: int = 10_000) -> DataFrame:
     """Rows of a key as one document holding an ordered array, or as several when the key is large.
 
-    A key of N rows spreads over ceil(N / per_document) documents by a hash of the item, so
-    no array grows with the largest key. ``part`` numbers them; reading them back and
+    A key of N rows spreads over ceil(N / per_document) documents by a hash of the row, so
+    no array grows with the largest key, also where items lack an id or share one. ``part`` numbers them; reading them back and
     exploding gives the rows again."""
     sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / per_document).cast("int").alias("_parts"))
-    part = F.pmod(F.xxhash64(item), F.col("_parts")).cast("int")
+    part = F.pmod(F.xxhash64(item, order, *fields), F.col("_parts")).cast("int")
     rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*fields).alias("_f"))))
     return (with_group_value(df, cut_lineage(sizes, "sizes"), keys).withColumn("part", part)
             .groupBy(*keys, "part").agg(F.transform(rows, lambda r: r["_f"]).alias(out)))

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-SPREAD_CONF = "placeweave.scan.partitions"
+SPREAD_CONF = "spark.placeweave.scan.partitions"
 
 
 def local_session(cpus: int | str = 8, app: str = "placeweave", **conf: str) -> SparkSession:
@@ -80,7 +80,7 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """A plain scan dealt out before heavy work per row, if the session asks for it.
 
-    ``placeweave.scan.partitions`` is for tables of one file with one row group, as tests have
+    ``spark.placeweave.scan.partitions`` is for tables of one file with one row group, as tests have
     them. Without it nothing moves: on a cluster the scan's own splits are what is worked on, and
     ``spark.sql.files.maxPartitionBytes`` sets their size."""
     parts = df.sparkSession.conf.get(SPREAD_CONF, None)

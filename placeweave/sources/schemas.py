@@ -23,8 +23,6 @@ LICENCE_COLUMNS = [
     ("LONGITUDE", "longitude"),
 ]
 RAW_LICENCES = ", ".join(f"`{raw}` string" for raw, _ in LICENCE_COLUMNS)
-LICENCES = ", ".join(f"{name} {'double' if name in ('latitude', 'longitude') else 'string'}"
-                     for _, name in LICENCE_COLUMNS)
 
 LISTINGS = ("id bigint, latitude double, longitude double, price string, room_type string, "
             "reviews_per_month double")
@@ -45,6 +43,3 @@ KEY_CONFIG = ("request_delay_seconds double, min_posts_threshold int, fallback_s
 
 REGIONS = ("features array<struct<properties: struct<area_numbe: string, community_area_number: string>, "
            "geometry: struct<type: string, coordinates: string>>>")
-SUMMARY = "slug string, ai_summary string"
-PHRASES = "slug string, rank int, word string, n bigint, tf double, idf double, tf_idf double"
-COLLECTION_LOG = "slug string, name string, post_count bigint, sources string, status string"

@@ -16,7 +16,7 @@ from placeweave.sources.schemas import LICENCE_COLUMNS
 from placeweave.sources.tables import read_table
 
 NAMES = ["Rogers Park", "Hyde Park", "Riverdale"]
-SLUGS = fixed.SMOKE_KEYS
+SLUGS = ["rogers_park", "hyde_park", "riverdale"]
 
 
 def write_csv(path, header, lines, opener=open):

@@ -119,10 +119,10 @@ def test_lineage_is_cut_and_scans_are_spread(spark):
     df = cut_lineage(spark.range(10).selectExpr("id", "id % 2 = 0 as even", "array(id) as ids"))
     assert df.count() == 10 and "Range" not in df._jdf.queryExecution().analyzed().toString()
     assert spread(df.coalesce(1), "id").rdd.getNumPartitions() == 8
-    asked = spark.conf.get("placeweave.scan.partitions")
-    spark.conf.unset("placeweave.scan.partitions")
+    asked = spark.conf.get("spark.placeweave.scan.partitions")
+    spark.conf.unset("spark.placeweave.scan.partitions")
     assert spread(spark.range(0, 100, 1, 3), "id").rdd.getNumPartitions() == 3
-    spark.conf.set("placeweave.scan.partitions", asked)
+    spark.conf.set("spark.placeweave.scan.partitions", asked)
 
 
 def test_word_lists():
