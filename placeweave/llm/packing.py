@@ -81,14 +81,9 @@ def best_fit(lengths: list[int], length: int) -> list[list[int]]:
     return rows
 
 
-def byte_ids(text: str):
-    """A column of little-endian 16-bit ids: the UTF-8 bytes of the text and an end id. NULL counts as empty."""
-    @F.arrow_udf(T.BinaryType())
-    def ids(texts: pa.Array) -> pa.Array:
-        end = np.array([BYTE_END], dtype="<u2").tobytes()
-        return pa.array([np.frombuffer(t, dtype=np.uint8).astype("<u2").tobytes() + end
-                         for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
-    return ids(text_of(text))
+def byte_ids(text: bytes) -> bytes:
+    """Little-endian 16-bit ids of a UTF-8 text: its bytes and an end id."""
+    return np.append(np.frombuffer(text, dtype=np.uint8).astype("<u2"), BYTE_END).astype("<u2").tobytes()
 
 
 _PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()),
@@ -100,24 +95,28 @@ _ROWS = T.StructType([
     T.StructField("position_ids", T.BinaryType())])
 
 
-def _splitter(length: int):
+def _piece_rows(docs: list, pieces: list, parts: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pieces, pa.int32()), pa.array(parts, pa.binary())],
+                                      ["doc_id", "piece", "ids"])
+
+
+def _splitter(length: int, ids_of):
+    """Pieces of at most ``length`` ids, a few megabytes at a time."""
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = 2 * length
         for batch in batches:
             docs, pieces, parts, size = [], [], [], 0
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = ids.as_py() or b""
+            for doc, value in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
+                data = ids_of(value.as_py() or b"")
                 for i, at in enumerate(range(0, len(data), step)):
-                    docs.append(doc)
+                    docs.append(doc.as_py())
                     pieces.append(i)
                     parts.append(data[at:at + step])
                 size += len(data)
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pieces, pa.int32()), pa.array(parts, pa.binary())],
-                                                     ["doc_id", "piece", "ids"])
+                if size > 4 << 20:
+                    yield _piece_rows(docs, pieces, parts)
                     docs, pieces, parts, size = [], [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pieces, pa.int32()), pa.array(parts, pa.binary())],
-                                             ["doc_id", "piece", "ids"])
+            yield _piece_rows(docs, pieces, parts)
     return split
 
 
@@ -161,11 +160,10 @@ def pack(rows: DataFrame, ids_col: str, id_col: str = "doc_id", length: int = LE
     them. NULL and empty id columns have no piece; rows that repeat an id are packed each; an empty table gives no rows."""
     total = rows.agg(F.sum(F.octet_length(ids_col))).first()[0] or 0
     ids = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
-    return _packed(ids, max(1, -(-total // (2 * group_ids))), length, pad)
+    return _packed(ids.mapInArrow(_splitter(length, bytes), _PIECES), max(1, -(-total // (2 * group_ids))), length, pad)
 
 
-def _packed(rows: DataFrame, groups: int, length: int, pad: int) -> DataFrame:
-    pieces = rows.mapInArrow(_splitter(length), _PIECES)
+def _packed(pieces: DataFrame, groups: int, length: int, pad: int) -> DataFrame:
     shard = F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(groups))
     return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(_packer(length, pad), _ROWS)
 
@@ -177,8 +175,7 @@ def write_packed(packed: DataFrame, path: str) -> None:
 
 def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                group_ids: int = GROUP_IDS) -> DataFrame:
-    """Texts as byte ids with an end id each, packed. Sizes for the groups come from the texts' lengths."""
+    """Texts as byte ids with an end id each, packed. Sizes for the groups come from the texts' lengths; NULL counts as empty."""
     total = docs.agg(F.sum(F.octet_length(text_of(text_col)) + 1)).first()[0] or 0
-    groups = max(1, -(-total // group_ids))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), byte_ids(text_col).alias("ids"))
-    return _packed(rows, groups, length, 0)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    return _packed(texts.mapInArrow(_splitter(length, byte_ids), _PIECES), max(1, -(-total // group_ids)), length, 0)
