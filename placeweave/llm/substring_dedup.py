@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,58 +14,67 @@ from pyspark.sql import types as T
 from placeweave.llm.common import first_places, joined, later_occurrences, merged_spans, text_of
 from placeweave.session import cut_lineage
 
-#: A sentence ends with its marks and the white space after them, or with a line.
-_SENTENCE = re.compile(rb"[^\n.!?]*(?:[.!?]+|\n|\Z)\s*")
-_PIECE = re.compile(rb"\s*\S+\s*")
-#: Sentences of more words are cut after commas and after words chosen by their hash, one in four.
+#: Sentences of more words are cut after commas and after words chosen by their bytes, one in four.
 LONG = 12
 #: A span is the shortest run of this many sentences or more that has this many words or more.
 RUN_SENTENCES, RUN_WORDS = 2, 10
-
-
-def sentences(text: bytes) -> tuple[list[int], list[int]]:
-    """Ends of the sentences of a text, as byte offsets, and their words.
-
-    Where a long sentence is cut depends on its words alone, so a passage is cut alike wherever it stands."""
-    ends, words = [], []
-    at = 0
-    while at < len(text):
-        end = _SENTENCE.match(text, at).end()
-        pieces = text[at:end].split()
-        if len(pieces) <= LONG:
-            ends.append(end)
-            words.append(len(pieces))
-        else:
-            count = 0
-            for piece in _PIECE.finditer(text, at, end):
-                count += 1
-                word = piece.group().strip()
-                if word[-1:] in b",;:" or xxhash.xxh32_intdigest(word) % 4 == 0 or piece.end() == end:
-                    ends.append(piece.end())
-                    words.append(count)
-                    count = 0
-        at = end
-    return ends, words
-
-
-def text_spans(text: bytes) -> list[tuple[int, int, int, int]]:
-    """Spans (start, end, h1, h2) of a text: from every sentence on, the shortest run that is long enough.
-
-    The 128-bit hash is of the run's bytes without white space at its end."""
-    ends, words = sentences(text)
-    starts = [0, *ends[:-1]]
-    out = []
-    j, total = 0, 0
-    for i in range(len(ends)):
-        while j < len(ends) and (j - i < RUN_SENTENCES or total < RUN_WORDS):
-            total += words[j]
-            j += 1
-        if j - i < RUN_SENTENCES or total < RUN_WORDS:
-            break
-        digest = xxhash.xxh3_128_intdigest(text[starts[i]:ends[j - 1]].rstrip())
-        out.append((starts[i], ends[j - 1], digest >> 64, digest & 0xFFFFFFFFFFFFFFFF))
-        total -= words[i]
-    return out
+#: Bytes of text worked on at once.
+AT_ONCE = 1 << 20
+
+
+def _members(marks: bytes) -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    table[list(marks)] = True
+    return table
+
+
+_SPACE, _STOP, _PAUSE = _members(b" \t\n\r\x0b\x0c"), _members(b".!?"), _members(b",;:")
+
+
+def sentences(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, byte after the last word and number of words of each sentence.
+
+    A sentence ends after a word that ends in a stop, at a line break and with the text. Where a long one
+    is cut depends on its words alone, so a passage is cut alike wherever it stands."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    space = np.concatenate([[True], _SPACE[data], [True]])
+    starts = np.nonzero(space[:-2] & ~space[1:-1])[0]
+    ends = np.nonzero(~space[1:-1] & space[2:])[0] + 1
+    if not len(starts):
+        return starts, ends, starts
+    lines = np.cumsum(data == 10, dtype=np.int32)
+    last = data[ends - 1]
+    stop = _STOP[last]
+    stop[:-1] |= lines[starts[1:] - 1] > lines[ends[:-1] - 1]
+    stop[-1] = True
+    number = np.concatenate([[0], np.cumsum(stop)[:-1]])
+    long = np.bincount(number)[number] > LONG
+    chosen = np.add.reduceat(np.where(space[1:-1], 0, data).astype(np.uint32), starts) % 4 == 0
+    cut = np.nonzero(stop | long & (_PAUSE[last] | chosen))[0]
+    words = np.diff(cut, prepend=-1)
+    return starts[cut - words + 1], ends[cut], words
+
+
+def spans_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of texts: number of the text, first byte and byte after (up to the next sentence) in it, and a row of two
+    64-bit hashes for each.
+
+    From every sentence on it is the shortest run inside its text that is long enough; hashed are its bytes from the
+    first word to the last. Texts are worked on together, a line break between them."""
+    joined = b"\n".join(texts)
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    starts, ends, words = sentences(joined)
+    text = np.searchsorted(begin, starts, side="right") - 1
+    upto = np.cumsum(words)
+    after = np.searchsorted(upto, upto - words + RUN_WORDS) + 1
+    after = np.maximum(after, np.arange(len(words)) + RUN_SENTENCES)
+    whole = after <= len(words)
+    whole[whole] = text[after[whole] - 1] == text[:len(whole)][whole]
+    first, after, text = starts[whole], after[whole], text[whole]
+    digest = xxhash.xxh3_128_digest
+    hashes = b"".join([digest(joined[i:j]) for i, j in zip(first.tolist(), ends[after - 1].tolist(), strict=True)])
+    stop = np.minimum(np.append(starts, len(joined))[after], begin[text + 1] - 1)
+    return text, first - begin[text], stop - begin[text], np.frombuffer(hashes, dtype="<i8").reshape(-1, 2)
 
 
 _SPANS = T.StructType([T.StructField(n, t) for n, t in (
@@ -81,21 +89,16 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column(2).cast(pa.binary())
         lo = 0
         while lo < len(texts):
-            rows: list[tuple] = []
-            sizes: list[int] = []
-            hi = lo
-            while hi < len(texts) and len(rows) < 50_000:
-                spans = text_spans(texts[hi].as_py())
-                sizes.append(len(spans))
-                rows += spans
-                hi += 1
-            table = np.array(rows, dtype="u8").reshape(-1, 4)
-            at = np.repeat(np.arange(lo, hi), sizes)
+            some, size = [], 0
+            while lo + len(some) < len(texts) and size < AT_ONCE:
+                some.append(texts[lo + len(some)].as_py())
+                size += len(some[-1])
+            text, first, after, hashes = spans_of(some)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(at)), pa.array(marks[at], pa.int64()), pa.array(table[:, 0].astype("i4")),
-                 pa.array(table[:, 1].astype("i4")), pa.array(table[:, 2].view("i8")), pa.array(table[:, 3].view("i8"))],
+                [ids.take(pa.array(text + lo)), pa.array(marks[text + lo], pa.int64()), pa.array(first.astype("i4")),
+                 pa.array(after.astype("i4")), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy())],
                 ["doc_id", "mark", "start", "end", "h1", "h2"])
-            lo = hi
+            lo += len(some)
 
 
 @F.arrow_udf(T.StringType())
@@ -128,7 +131,7 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     again = cut_lineage(spans.join(often, "h1", "left_semi"), "spans")
     repeated = cut_lineage(first_places(again), "repeated")
     covered = cut_lineage(merged_spans(later_occurrences(again, repeated), ["doc_id", "mark"]), "covered")
-    found = joined(rows, covered, ["doc_id", "mark"], "left")
+    found = joined(rows, covered, ["doc_id", "mark"], "left", merge=True)
     removed = F.aggregate(F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")), F.lit(0).cast("long"),
                           lambda a, s: a + s["end"] - s["start"])
     left = F.when(F.col("spans").isNotNull(), _cut_out("text", "spans")).otherwise(F.col("text"))

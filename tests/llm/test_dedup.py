@@ -204,13 +204,14 @@ def slow_spans(rows):
     seen = {}
     spans = {}
     for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, xxh_signed(r[1] or ""))):
-        spans[(i, text or "")] = substring_dedup.text_spans((text or "").encode())
-        for start, _, h1, h2 in spans[(i, text or "")]:
-            seen.setdefault((h1, h2), (i, text or "", start))
+        _, first, after, hashes = substring_dedup.spans_of([(text or "").encode()])
+        spans[(i, text or "")] = [(int(a), int(b), tuple(h)) for a, b, h in zip(first, after, hashes.tolist(), strict=True)]
+        for start, _, h in spans[(i, text or "")]:
+            seen.setdefault(h, (i, text or "", start))
     out = []
     for i, text in rows:
         data = (text or "").encode()
-        gone = {k for start, end, h1, h2 in spans[(i, text or "")] if seen[(h1, h2)] != (i, text or "", start)
+        gone = {k for start, end, h in spans[(i, text or "")] if seen[h] != (i, text or "", start)
                 for k in range(start, end)}
         out.append((i, bytes(x for k, x in enumerate(data) if k not in gone).decode(), len(gone)))
     return sorted(out, key=repr)
@@ -232,8 +233,22 @@ def test_substring(docs, documents):
     assert substring_dedup.drop_repeated_spans(docs([])).count() == 0
 
 
-@pytest.mark.parametrize("text", ["", "a", "a.b", "One two. Three!\nFour", "word " * 50, "é ü.\n\n x? y", "...", "\n"])
-def test_sentences_cover_the_text(text):
+@pytest.mark.parametrize("text", ["", "a", "a.b c", "One two. Three!\nFour", "word " * 50, " é ü.\n\n x? y ", "...", "\n", "a, b c d " * 9])
+def test_sentences_cover_the_words(text):
     data = text.encode()
-    ends, words = substring_dedup.sentences(data)
-    assert ends == sorted(ends) and (ends[-1] if ends else 0) == len(data) and (sum(words) == len(data.split()) or text == "a.b")
+    starts, ends, words = substring_dedup.sentences(data)
+    parts = [data[i:j] for i, j in zip(starts, ends, strict=True)]
+    assert [len(p.split()) for p in parts] == words.tolist() and b" ".join(parts).split() == data.split()
+
+
+def test_sentence_ends():
+    text = b"One two. Three! Four\nfive 3.5 six? " + b"w1 w2 " * 10
+    starts, ends, _ = substring_dedup.sentences(text)
+    assert [text[i:j] for i, j in zip(starts, ends, strict=True)][:4] == [b"One two.", b"Three!", b"Four", b"five 3.5 six?"]
+
+
+def test_spans_are_the_shortest_long_enough_runs():
+    text = b"a b c. d e f g. h i j k l. m n. o."
+    texts, first, after, _ = substring_dedup.spans_of([b"x y.", text, b"", text])
+    assert texts.tolist() == [1, 1, 3, 3]
+    assert [text[i:j] for i, j in zip(first, after, strict=True)] == 2 * [text[:27], text[7:32]]
