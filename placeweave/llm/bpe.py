@@ -28,7 +28,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _SPACES = np.array([9, 10, 11, 12, 13, 32])
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Fragments remembered in one Python worker; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Words up to this many bytes are merged together and remembered.
 SHORT = 64
 #: Bytes of text worked on at once.
@@ -214,14 +214,26 @@ def tokenizer_spec(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
+def _ids_of(tokenizer: Tokenizer, texts: pa.Array) -> pa.ListArray:
+    """Ids of a batch. A few texts at a time leave Arrow, so that a batch is not held twice as objects."""
+    ids = []
+    for lo in range(0, len(texts), 256):
+        ids += tokenizer.encode_batch(texts.slice(lo, 256).cast(pa.binary()).to_pylist())
+    ends = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, "<i4")])))
+
+
+def _texts_of(tokenizer: Tokenizer, ids: pa.ListArray) -> pa.Array:
+    flat, ends = ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    ends = ends - ends[0]
+    return pa.array([tokenizer.decode(flat[i:j].tolist()) for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+
+
 def encoder(spec):
     """A column function text -> array of ids. NULL and empty texts have no ids."""
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        tokenizer = worker_tokenizer(spec)
-        ids = tokenizer.encode_batch(texts.cast(pa.binary()).to_pylist())
-        ends = np.cumsum([0, *map(len, ids)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, "<i4")])))
+        return _ids_of(worker_tokenizer(spec), texts)
     return lambda column: encode(text_of(column))
 
 
@@ -229,13 +241,22 @@ def decoder(spec):
     """A column function array of ids -> text. Bytes that are no UTF-8 become the replacement sign."""
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        tokenizer = worker_tokenizer(spec)
-        flat, ends = ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-        ends = ends - ends[0]
-        return pa.array([tokenizer.decode(flat[i:j].tolist()) for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+        return _texts_of(worker_tokenizer(spec), ids)
     return lambda column: decode(F.coalesce(F.col(column), F.array().cast("array<int>")))
 
 
+def round_trip(docs: DataFrame, spec, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and the text ``decoded`` from them, both from one Python worker per task.
+
+    The same as ``decoded(encoded(docs))``, which needs a second worker and a second copy of the ids."""
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(texts: pa.Array) -> pa.Array:
+        tokenizer = worker_tokenizer(spec)
+        ids = _ids_of(tokenizer, texts)
+        return pa.StructArray.from_arrays([ids, _texts_of(tokenizer, ids)], ["ids", "decoded"])
+    return docs.select("*", both(text_of(text_col)).alias("_both")).select("*", "_both.ids", "_both.decoded").drop("_both")
+
+
 def joined_ids(ids: str) -> Column:
     """Decimal ids with commas between."""
     return F.array_join(F.col(ids).cast("array<string>"), ",")

@@ -186,8 +186,7 @@ FROM rows r LEFT JOIN left_over l USING (doc_id)
 @query
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = bpe.tokenizer_spec(spark, tokenizer_path())
-    rows = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), spec)
-    return bpe.decoded(rows, spec).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), spec).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.joined_ids("ids"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 

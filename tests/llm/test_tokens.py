@@ -51,6 +51,8 @@ def test_documents(spark, docs, documents, tokenizer_file):
     for r in found:
         assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids and r.decoded == (r.text or "")
     assert bpe.encoded(docs([]), spec).count() == 0
+    together = bpe.round_trip(rows, spec).collect()
+    assert sorted(map(repr, together)) == sorted(map(repr, found))
 
 
 def test_best_fit():
