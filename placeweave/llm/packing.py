@@ -16,13 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placeweave.llm import bpe
 from placeweave.llm.common import text_of
+from placeweave.session import cut_lineage
 
 LENGTH = 4096
 #: Ids that one group holds on average; groups, not documents, are what a task packs at once.
 GROUP_IDS = 4 << 20
 #: Ids of the byte vocabulary: the 256 bytes and the end of a text.
 BYTE_END = 256
+#: The token that ends a text.
+TEXT_END = "<|endoftext|>"
 
 
 class FreeSpace:
@@ -86,6 +90,17 @@ def byte_ids(text: bytes) -> bytes:
     return np.append(np.frombuffer(text, dtype=np.uint8).astype("<u2"), BYTE_END).astype("<u2").tobytes()
 
 
+def token_ids(spec, end: str):
+    """A function from texts to their tokens' little-endian 16-bit ids, each with the id of the token ``end`` behind them."""
+    def all_ids(texts: list[bytes]) -> list[bytes]:
+        tokenizer = bpe.worker_tokenizer(spec)
+        if max(tokenizer.tokens) > 0xFFFF:
+            raise ValueError("the tokenizer has ids above 16 bits")
+        last = np.array([tokenizer.special[end.encode()]], dtype="<u2").tobytes()
+        return [ids.astype("<u2").tobytes() + last for ids in tokenizer.encode_batch(texts)]
+    return all_ids
+
+
 _PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()),
                         T.StructField("ids", T.BinaryType())])
 _ROWS = T.StructType([
@@ -100,22 +115,31 @@ def _piece_rows(docs: list, pieces: list, parts: list) -> pa.RecordBatch:
                                       ["doc_id", "piece", "ids"])
 
 
-def _splitter(length: int, ids_of):
-    """Pieces of at most ``length`` ids, a few megabytes at a time."""
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about a megabyte each."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // bpe.AT_ONCE
+    ends = [*(np.nonzero(np.diff(part))[0] + 1).tolist(), len(texts)]
+    return zip([0, *ends], ends, strict=False)
+
+
+def _splitter(length: int, all_ids):
+    """Pieces of at most ``length`` ids, a few megabytes at a time; ``all_ids`` makes the ids of a list of texts."""
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = 2 * length
         for batch in batches:
+            values = batch.column(1).cast(pa.binary())
             docs, pieces, parts, size = [], [], [], 0
-            for doc, value in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
-                data = ids_of(value.as_py() or b"")
-                for i, at in enumerate(range(0, len(data), step)):
-                    docs.append(doc.as_py())
-                    pieces.append(i)
-                    parts.append(data[at:at + step])
-                size += len(data)
-                if size > 4 << 20:
-                    yield _piece_rows(docs, pieces, parts)
-                    docs, pieces, parts, size = [], [], [], 0
+            for lo, hi in _slices(values):
+                some = [value or b"" for value in values.slice(lo, hi - lo).to_pylist()]
+                for doc, data in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), all_ids(some), strict=True):
+                    for i, at in enumerate(range(0, len(data), step)):
+                        docs.append(doc)
+                        pieces.append(i)
+                        parts.append(data[at:at + step])
+                    size += len(data)
+                    if size > 4 << 20:
+                        yield _piece_rows(docs, pieces, parts)
+                        docs, pieces, parts, size = [], [], [], 0
             yield _piece_rows(docs, pieces, parts)
     return split
 
@@ -160,7 +184,7 @@ def pack(rows: DataFrame, ids_col: str, id_col: str = "doc_id", length: int = LE
     them. NULL and empty id columns have no piece; rows that repeat an id are packed each; an empty table gives no rows."""
     total = rows.agg(F.sum(F.octet_length(ids_col))).first()[0] or 0
     ids = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
-    return _packed(ids.mapInArrow(_splitter(length, bytes), _PIECES), max(1, -(-total // (2 * group_ids))), length, pad)
+    return _packed(ids.mapInArrow(_splitter(length, list), _PIECES), max(1, -(-total // (2 * group_ids))), length, pad)
 
 
 def _packed(pieces: DataFrame, groups: int, length: int, pad: int) -> DataFrame:
@@ -178,4 +202,15 @@ def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Texts as byte ids with an end id each, packed. Sizes for the groups come from the texts' lengths; NULL counts as empty."""
     total = docs.agg(F.sum(F.octet_length(text_of(text_col)) + 1)).first()[0] or 0
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return _packed(texts.mapInArrow(_splitter(length, byte_ids), _PIECES), max(1, -(-total // group_ids)), length, 0)
+    return _packed(texts.mapInArrow(_splitter(length, lambda some: map(byte_ids, some)), _PIECES), max(1, -(-total // group_ids)), length, 0)
+
+
+def pack_tokens(docs: DataFrame, spec, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                group_ids: int = GROUP_IDS, end: str = TEXT_END) -> DataFrame:
+    """Texts as token ids of a tokenizer (``bpe.tokenizer_spec``) with its ``end`` token each, packed. NULL counts as empty.
+
+    Texts are encoded once, where they are split; the pieces are written, as the number of groups needs their number of ids."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    pieces = cut_lineage(texts.mapInArrow(_splitter(length, token_ids(spec, end)), _PIECES), "tokens")
+    total = pieces.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    return _packed(pieces, max(1, -(-total // (2 * group_ids))), length, 0)

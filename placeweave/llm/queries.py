@@ -193,6 +193,6 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_texts(table(spark, sf_dir, "documents"))
+    packed = packing.pack_tokens(table(spark, sf_dir, "documents"), bpe.tokenizer_spec(spark, tokenizer_path()))
     return packed.select("shard", "row", "n_ids", "doc_ids", "pieces", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"),
                          F.sha2("position_ids", 256).alias("position_ids_sha256"))

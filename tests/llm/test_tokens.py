@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
 
 from placeweave.llm import bpe, packing
+from placeweave.llm.queries import QUERIES
 
 PARTS = [*"aàb1²Ⅳ ~'!sdtmlvre\n\t\r\xa0 é漢字🙂‍\x00\x1c\x85", "<|endoftext|>", "'s", "  ", "\n\n", "'ll", " the", "ing", "ñ."]
 
@@ -101,3 +102,28 @@ def test_pack_ids_column(spark, tmp_path):
     packing.write_packed(packed, str(tmp_path / "packed"))
     back = spark.read.parquet(str(tmp_path / "packed"))
     assert back.select(F.sum("n_ids")).first()[0] == 12
+
+
+def test_packed_tokens(spark, docs, tokenizer_file):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 90)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "long words " * 500)]
+    spec, library = bpe.tokenizer_spec(spark, tokenizer_file), Library.from_file(tokenizer_file)
+    packed = packing.pack_tokens(docs(rows), spec, length=128, group_ids=1000).collect()
+    assert len({r.shard for r in packed}) > 1
+    pieces = {}
+    for r in packed:
+        ids = np.frombuffer(r.ids, "<u2")
+        for doc, piece, lo, hi in zip(r.doc_ids, r.pieces, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
+            pieces[doc, piece] = ids[lo:hi].tolist()
+    end = library.token_to_id(packing.TEXT_END)
+    for doc, text in rows:
+        whole = [x for (d, _), p in sorted(pieces.items()) if d == doc for x in p]
+        assert whole == [*library.encode(text or "", add_special_tokens=False).ids, end]
+    assert packing.pack_tokens(docs([]), spec).count() == 0
+
+
+def test_packing_query_packs_tokens(spark, documents, tokenizer_file):
+    library = Library.from_file(tokenizer_file)
+    want = sum(len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in documents.select("text").collect())
+    assert QUERIES["op10_token_packing"](spark, "/root/testdata/sf0.001").agg(F.sum("n_ids")).first()[0] == want
