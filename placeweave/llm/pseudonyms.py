@@ -18,14 +18,16 @@ ROUNDS = 10
 _KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
-    "iso_date": r"\d{4}[-/.]\d{2}[-/.]\d{2}(?!\d)",
-    "day_first": r"\d{2}[-/.]\d{2}[-/.]\d{4}(?!\d)",
+    "iso_date": r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?!\d)",
+    "day_first": r"\d{1,2}[-/.]\d{1,2}[-/.]\d{4}(?!\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?!\d)",
-    "phone": r"\+\d{1,2} ?\(\d{3}\) ?\d{3}[ -]\d{4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
+    # with brackets, in groups of three, three and four, or behind a plus with 8 to 15 digits in any groups
+    "phone": r"\+\d{1,2} ?\(\d{3}\) ?\d{3}[ -]\d{4}(?!\d)|(?:1[-. ]?)?\(\d{3}\)[-. ]?\d{3}[-. ]\d{4}(?!\d)"
+             r"|(?:1[-. ])?\d{3}[-. ]\d{3}[-. ]\d{4}(?!\d)|\+\d(?:[-. ]?\(?\d\)?){7,14}(?!\d)",
     "card": r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?!\d)|\d{4}[ -]\d{6}[ -]\d{5}(?!\d)|\d{13,19}(?!\d)",
 }
-#: Candidates, longest formats first; one may not start inside a word or number.
-_ANY = r"(?<![A-Za-z0-9._%+-])(?:" + "|".join(_KINDS.values()) + ")"
+#: Candidates, longest formats first; one may not start inside a word or number, nor behind a point or hyphen of a number.
+_ANY = r"(?<![A-Za-z0-9])(?<![0-9][.-])(?:" + "|".join(_KINDS.values()) + ")"
 _FIRST_DAY, _DAYS = "1900-01-01", (17, 4297)  # 73,049 days to 2099-12-31, as two symbols
 
 
@@ -119,17 +121,21 @@ def _ssn(value: Column, key: str) -> Column:
 
 
 def _day(text: Column, layout: str) -> Column:
-    return F.to_date(F.try_to_timestamp(F.regexp_replace(text, "[/.]", "-"), F.lit(layout)))
+    padded = F.regexp_replace(text, r"(?<!\d)(\d)(?!\d)", "0$1")
+    return F.to_date(F.try_to_timestamp(F.regexp_replace(padded, "[/.]", "-"), F.lit(layout)))
 
 
 def _date(value: Column, layout: str, key: str) -> Column:
-    """The day number inside 1900-2099 is permuted; separators and order of the parts stay. NULL outside."""
+    """The day number inside 1900-2099 is permuted; separators and order of the parts stay, and where a part
+    had one digit no zero is put before. NULL outside."""
     day = F.datediff(_day(value, layout), F.lit(_FIRST_DAY).cast("date"))
     one, two = _DAYS
     new = permuted(F.array(_symbol(F.floor(day / two), one), _symbol(day % two, two)), f"{key}|date")
     written = F.date_format(F.date_add(F.lit(_FIRST_DAY).cast("date"), new[0] * two + new[1]), layout)
     mark = F.regexp_extract(value, "([-/.])", 1)
-    return F.when((day >= 0) & (day < one * two), F.regexp_replace(written, "-", mark))
+    parts = F.zip_with(F.split(written, "-"), F.split(value, "[-/.]"),
+                       lambda n, old: F.when(F.length(old) == 1, F.regexp_replace(n, "^0", "")).otherwise(n))
+    return F.when((day >= 0) & (day < one * two), F.regexp_replace(F.array_join(parts, "-"), "-", mark))
 
 
 def _valid_date(value: Column, layout: str) -> Column:
@@ -142,9 +148,9 @@ def pseudonym(value: Column, key: str) -> Column:
     octets = F.forall(F.split(value, r"\."), lambda o: o.cast("int") <= 255)
     area = F.split(value, "-")[0]
     social = ~area.isin("000", "666") & (area < "900") & (F.split(value, "-")[1] != "00") & (F.split(value, "-")[2] != "0000")
-    plus = F.regexp_extract(value, r"^(\+\d{1,2} ?)?", 0)
+    plus = F.regexp_extract(value, r"^(?:\+\d{1,3}(?=[-. (])|\+\d{1,2}|1(?=[-. (]))? ?", 0)
     phone = F.concat(plus, _by_character(F.substr(value, F.length(plus) + 1), f"{key}|phone"))
-    month_first = F.regexp_replace(value, r"^(\d{2})(.)(\d{2})(.)", "$3$2$1$4")
+    month_first = F.regexp_replace(value, r"^(\d{1,2})(.)(\d{1,2})(.)", "$3$2$1$4")
     return (F.when(_is("email", value), email)
             .when(_is("ip", value), F.when(octets, _ip(value, key)))
             .when(_is("iso_date", value), F.when(_valid_date(value, "yyyy-MM-dd"), _date(value, "yyyy-MM-dd", key)))
@@ -159,8 +165,9 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     """One row per document: doc_id, text with pseudonyms, found (values replaced).
 
     Replaced are e-mail names (the domain stays), IPv4 addresses, payment card numbers with a right check digit,
-    social security numbers in assigned ranges, phone numbers in bracket form (the country code stays) and calendar dates of
-    1900-2099 in ISO, day-first or, where only that is a date, month-first order. What is invalid stays as
+    social security numbers in assigned ranges, phone numbers with the area code in brackets, in groups of three,
+    three and four digits or behind a plus (a country code set apart stays; of one that is not, two digits) and calendar dates of
+    1900-2099, days and months of one or two digits, in ISO, day-first or, where only that is a date, month-first order. What is invalid stays as
     it is. A format's values are permuted under ``key``; no table of values is kept, so rows are independent.
     NULL texts come out empty with nothing found; ids and repeated rows pass as they are."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))

@@ -158,6 +158,26 @@ def test_pseudonyms_keep_formats(spark):
     assert found[8:] == [("", 0), ("", 0), ("nothing here", 0)]
 
 
+def test_pseudonyms_of_phones_and_short_dates(spark):
+    phones = ["(212) 555-0000", "212-555-0000", "212.555.0000", "212 555 0000", "1-212-555-0000", "+1-212-555-0000", "+44 20 7946 0958",
+              "+442079460958", "+49 (30) 1234567", "+353 1 234 5678", "(212)555.0000"]
+    found = changed(spark, [f"call {p}, or" for p in phones])
+    for phone, (text, n) in zip(phones, found, strict=True):
+        assert n == 1 and phone not in text and re.sub(r"\d", "0", text) == re.sub(r"\d", "0", f"call {phone}, or")
+    digits = [re.sub(r"\D", "", t)[-10:] for t, _ in found]
+    assert len({digits[i] for i in (0, 1, 2, 3, 4, 5, 10)}) == 1 and found[6][0].startswith("call +44 ") and found[9][0].startswith("call +353 ")
+    dates = changed(spark, ["3/5/2021", "03/05/2021", "2021-5-3", "1.12.1999", "5/31/2021", "31/2/2021"])
+    parts = [[int(x) for x in re.split(r"[-/.]", t)] for t, _ in dates]
+    assert [n for _, n in dates] == [1, 1, 1, 1, 1, 0] and parts[0] == parts[1] == parts[2][::-1] != [3, 5, 2021]
+    assert all(datetime.date(*reversed(p)) for p in (parts[0], parts[3])) and datetime.date(parts[4][2], *parts[4][:2])
+
+
+def test_pseudonyms_behind_marks(spark):
+    found = changed(spark, ["end.4111111111111111", "no-4111111111111111", "_4111111111111111", "%10.1.2.3", "+4111111111111111",
+                            "on.2024-02-29", "7.4111111111111111", "12-4111111111111111"])
+    assert [n for _, n in found] == [1] * 6 + [0] * 2 and "4111111111111111" not in "".join(t for t, _ in found[:6])
+
+
 def test_pseudonyms_are_permutations_under_a_key(spark):
     dates = [(datetime.date(1900, 1, 1) + datetime.timedelta(days=d)).isoformat() for d in range(0, 73049, 61)]
     for values in (dates, [f"{a}.0.0.{b}" for a in range(1, 20) for b in range(20)], [f"{a:03d}-01-{b:04d}" for a in (1, 665, 667, 899) for b in range(1, 60)]):
