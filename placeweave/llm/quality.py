@@ -161,14 +161,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The bound makes the sample small enough to broadcast to the texts and to bring to the driver
     (sample_docs x sample_passages x 132 bytes, 34 MB at most). Labels that are NULL or neither 0 nor 1, and ids without
-    a document are passed over; of several labels of one id the larger counts; of several texts each counts."""
+    a document are passed over; of several labels of one id the larger counts; of several texts the one whose sample has the smallest hash."""
     usable = (labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
               .groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
     rows = (docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
             .join(F.broadcast(usable), "doc_id")
-            .select("doc_id", "label", _sampler(sample_passages)("text").alias("counts")).limit(2 * sample_docs).collect())
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.counts)))
+            .select("doc_id", "label", _sampler(sample_passages)("text").alias("counts"))
+            .groupBy("doc_id", "label").agg(F.min_by("counts", F.sha2("counts", 256)).alias("counts")).collect())
+    rows.sort(key=lambda r: r.doc_id)
     bags = [encoded(np.frombuffer(r.counts, dtype="<u2").reshape(-1, _SIZE).astype(np.float64)) for r in rows]
     return fit(bags, np.array([r.label for r in rows], dtype=np.float64)) if rows else Model(0.5)
 

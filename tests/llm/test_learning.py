@@ -56,6 +56,19 @@ def test_quality_odd_input(spark, docs):
     assert quality.scored(docs([]), ones).count() == 0
 
 
+def test_repeated_ids_are_learned_once(spark, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, labels: seen.append((bags, labels)) or quality.Model(0.5))
+    rows = [(i, f"Text {i}. " + "word, " * k + "end" * (k + i)) for i in range(12) for k in range(6)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    for some in (rows, rows[::-1]):
+        quality.learn(docs(some), labels, sample_docs=12)
+    learned = labels.filter(~quality.held_out(F.col("doc_id"))).count()
+    (bags, truth), (again, same) = seen
+    assert len(bags) == len(again) == learned and truth.tolist() == same.tolist()
+    assert all(np.array_equal(a, b) for a, b in zip(bags, again, strict=True))
+
+
 def test_passages_read_whole_texts():
     text = b"word " * 5000
     counts = quality.passage_counts(text)
