@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave.llm import (
-    bpe, exact_dedup, line_dedup, mixing, packing, pseudonyms, quality, simhash, substring_dedup, topk)
+    bpe, exact_dedup, line_dedup, mixing, packing, pseudonyms, quality, simhash, spelling, substring_dedup, topk)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -196,3 +196,49 @@ def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_tokens(table(spark, sf_dir, "documents"), bpe.tokenizer_spec(spark, tokenizer_path()))
     return packed.select("shard", "row", "n_ids", "doc_ids", "pieces", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"),
                          F.sha2("position_ids", 256).alias("position_ids_sha256"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+# near words by equal words with one place masked, and by words that equal another with one letter left out
+ORACLES["op11_spelling_variants"] = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
+    FROM range(0, 256) r(i))),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+each_run AS (
+  SELECT run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS bytes
+  FROM runs WHERE len(run) >= 7 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, n, xor(list_reduce(
+    list_transform(range(1, len(bytes), 2), lambda i: ('0x' || substr(bytes, i, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h
+  FROM each_run, crc_table),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % len(run))::BIGINT) || substr(run, (h % len(run))::BIGINT + 2) ELSE run END AS word
+    FROM hashed) WHERE len(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+masks AS (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS mask FROM words, range(1, len(word) + 1) r(i)),
+shorter AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS other FROM masks),
+cut AS (SELECT s.word, s.n, w.word AS other, w.n AS m FROM shorter s JOIN words w ON s.other = w.word),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM masks a JOIN masks b ON a.mask = b.mask AND a.word <> b.word
+  UNION ALL SELECT word, other, m FROM cut UNION ALL SELECT other, word, n FROM cut),
+best AS (
+  SELECT word, count(*) AS n_near, max(m) AS m, min(other) FILTER (WHERE m = top) AS other
+  FROM (SELECT *, max(m) OVER (PARTITION BY word) AS top FROM near) GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+steps AS (
+  SELECT word, word AS root, 0 AS step FROM forms
+  UNION ALL SELECT s.word, f.form, step + 1 FROM steps s JOIN forms f ON s.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN (SELECT word, arg_max(root, step) AS root FROM steps GROUP BY word) r USING (word)
+"""
