@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave.llm import (
-    bpe, exact_dedup, line_dedup, mixing, packing, pseudonyms, quality, simhash, spelling, substring_dedup, topk)
+    bpe, exact_dedup, line_dedup, mixing, packing, pivots, pseudonyms, quality, simhash, spelling, substring_dedup, topk)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -242,3 +242,24 @@ steps AS (
 SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
 FROM forms f JOIN (SELECT word, arg_max(root, step) AS root FROM steps GROUP BY word) r USING (word)
 """
+
+
+@query
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+# all pairs, and what links reach; for tables as small as those it is run on
+ORACLES["op12_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS i, vec_id, CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         THEN list_transform(embedding, lambda x: x::DOUBLE) END AS v FROM embeddings),
+sized AS (SELECT *, sqrt(list_dot_product(v, v)) AS size FROM v WHERE len(v) > 0),
+links AS (
+  SELECT a.i AS a, b.i AS b FROM sized a JOIN sized b
+  ON a.i <> b.i AND a.size > 0 AND b.size > 0 AND list_dot_product(a.v, b.v) >= 0.9 * a.size * b.size),
+reach AS (SELECT i AS a, i AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+lowest AS (SELECT r.a, min(v.vec_id) AS component_id FROM reach r JOIN v ON r.b = v.i GROUP BY r.a)
+SELECT vec_id, (SELECT count(*) FROM links l WHERE l.a = v.i)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN lowest o ON o.a = v.i
+"""
