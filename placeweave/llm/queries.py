@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave.llm import (
-    bpe, exact_dedup, line_dedup, mixing, packing, pivots, pseudonyms, quality, simhash, spelling, substring_dedup, topk)
+    bpe, exact_dedup, line_dedup, mixing, packing, pivots, pseudonyms, quality, simhash, spelling, substring_dedup, topk, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -263,3 +263,8 @@ lowest AS (SELECT r.a, min(v.vec_id) AS component_id FROM reach r JOIN v ON r.b
 SELECT vec_id, (SELECT count(*) FROM links l WHERE l.a = v.i)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM v JOIN lowest o ON o.a = v.i
 """
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
