@@ -100,7 +100,7 @@ def test_regions(spark, tmp_path, name):
 def test_optional_tables_and_modes(spark, tmp_path):
     path = str(tmp_path / "t")
     assert read_optional(spark, path) is None
-    assert read_optional(spark, path, schemas.PHRASES).columns[0] == "slug"
+    assert read_optional(spark, path, "slug string, word string").columns == ["slug", "word"]
     write_table(spark.range(3), path)
     write_table(spark.range(9), path, mode="ignore")
     assert read_optional(spark, path).count() == 3
