@@ -119,9 +119,14 @@ def _with_idf(counts: DataFrame, group: str) -> DataFrame:
 
 
 def tf_idf(counts: DataFrame, group: str) -> DataFrame:
-    """Every phrase of every group with tf, idf and their product. The totals, one row per group, are
-    written first, so that their size is known and the counts need not be shuffled on the group."""
-    return (_with_idf(counts, group).join(cut_lineage(group_totals(counts, group), "totals"), group)
+    """Every phrase of every group with tf, idf and their product. The counts are written once: totals and the
+    number of groups come from the written table and the text is scanned for none of them. The totals, one row
+    per group, are written too, so that their size is known and the counts need not be shuffled on the group."""
+    counts = cut_lineage(counts, "counts")
+    totals = cut_lineage(group_totals(counts, group), "totals")
+    groups = totals.agg(F.count("_total")).scalar()
+    seen = counts.withColumn("df", F.count("*").over(Window.partitionBy("word")))
+    return (seen.join(totals, group).withColumn("idf", F.ln(groups / F.col("df")))
             .withColumn("tf", F.col("n") / F.col("_total"))
             .withColumn("tf_idf", F.col("tf") * F.col("idf")).drop("_total", "df"))
 

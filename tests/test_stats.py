@@ -1,12 +1,15 @@
 import math
 import random
 import statistics
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
+from placeweave.functions.ordering import ordered_bits
 from placeweave.operators.checks import Check, CheckFailed, enforce, no_nulls, observed, row_count, run_checks
-from placeweave.operators.stats import engagement, polarity, shannon_entropy, share_in_group, with_median
+from placeweave.operators.stats import (
+    _narrowed, _place_by_order, _place_by_width, engagement, polarity, shannon_entropy, share_in_group, with_median)
 
 
 def entropy(spark, counts):
@@ -32,8 +35,8 @@ def test_median_is_exact_with_a_hot_key(spark):
     data += [(f"k{i % 40}", float(rng.randint(0, 5))) for i in range(400)]
     data += [(None, 4.0), (None, 7.0), ("empty", None), ("one", 3.5), ("hot", None)]
     df = spark.createDataFrame(data, "k string, v double").repartition(7)
-    for accuracy in (50, 1000):
-        got = {r.k: (r.m, r.n) for r in with_median(df, ["k"], "v", "m", [F.count("*").alias("n")], accuracy).collect()}
+    for accuracy, parts in ((50, 4096), (1000, 4096), (50, 2)):
+        got = {r.k: (r.m, r.n) for r in with_median(df, ["k"], "v", "m", [F.count("*").alias("n")], accuracy, parts).collect()}
         for key in {k for k, _ in data}:
             values = [v for k, v in data if k == key and v is not None]
             want = statistics.median(values) if values else None
@@ -85,10 +88,40 @@ def test_a_missing_measure_fails_its_check(spark):
         enforce(results)
 
 
-def test_median_of_a_key_with_a_million_values(spark):
-    from pyspark.sql import functions as F
+def test_order_of_all_doubles(spark):
+    rng = random.Random(5)
+    edges = [math.ldexp(m, e) for e in range(-1074, 1024) for m in (1.0, 1.5, 1.9999999999999998) if m == 1.0 or e > -1022]
+    edges += [math.nextafter(x, 0.0) for x in edges[::7]] + [rng.uniform(-1e9, 1e9) for _ in range(300)]
+    values = sorted({x * s for x in edges for s in (1, -1)} | {math.inf, -math.inf, 0.0})
+    df = spark.createDataFrame([(v,) for v in [*values, -0.0, math.nan]], "v double").select("v", ordered_bits("v").alias("b"))
+    bits = [r.b for r in df.collect()]
+    assert all(a < b for a, b in zip(bits[:-2], bits[1:-2], strict=False))
+    assert bits[-2] == 0 and bits[-1] > max(bits[:-1])
+    raw = [struct.unpack(">q", struct.pack(">d", abs(v)))[0] for v in values]
+    assert bits[:-2] == [-r if v < 0 else r for v, r in zip(values, raw, strict=True)]
+
+
+def test_median_far_from_its_marks(spark):
+    """All scales of doubles, both signs, in one key: whatever the sketch says, the rounds find the middle."""
+    rng = random.Random(6)
+    values = [rng.choice([1, -1]) * math.ldexp(rng.random(), rng.randint(-1060, 1000)) for _ in range(801)] + [math.inf, -math.inf] * 3
+    df = spark.createDataFrame([("k", v) for v in values], "k string, v double")
+    for some in (df, df.filter("v > 0"), df.filter("v < 0")):
+        every = [r.v for r in some.collect()]
+        assert with_median(some, ["k"], "v", "m", accuracy=20, parts=3).first().m == statistics.median(every)
+
+
+def test_rounds_fold_a_hot_key_in_the_map_tasks(spark):
+    """No sort or window sees a key's values, and what a task sends on is bounded by the parts."""
+    df = spark.range(0, 300_000, numPartitions=4).select(F.lit("hot").alias("k"), F.hash("id").cast("double").alias("v"))
+    ranges = spark.createDataFrame([("hot", 300_000, -2.0 ** 31, 2.0 ** 31)], "k string, _n bigint, _l double, _h double")
+    for place in (_place_by_width, _place_by_order):
+        step = _narrowed(df.withColumnRenamed("v", "_v"), ranges.filter("_l < 0"), ["k"], 64, place)
+        assert step.count() == 1
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert plan.rindex("Window") < plan.index("functions=[partial_count(1)")
 
-    from placeweave.operators.stats import with_median
 
+def test_median_of_a_key_with_a_million_values(spark):
     df = spark.range(1_000_001).select(F.lit("hot").alias("k"), ((F.col("id") * 7919) % 1_000_001).alias("v"))
     assert with_median(df, ["k"], "v", "m").first().m == 500_000.0

@@ -89,3 +89,13 @@ def test_one_text_scan_for_phrases(spark, tmp_path):
 def test_merged_words(spark, stop):
     extra = ops.stopword_table(spark, ["and", "stay"], "more")
     assert sorted(r.word for r in merged_words(stop, extra, None).collect()) == ["and", "great", "stay", "the"]
+
+
+def test_tf_idf_reads_written_counts(spark, tmp_path):
+    """The text is scanned by the job that writes the counts, and by no other."""
+    spark.createDataFrame([("a", "one two three"), ("b", "one two")], "slug string, t string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    scored = ops.tf_idf(ops.phrase_counts(ops.ngrams(docs, ["slug"], "t"), "slug"), "slug")
+    assert str(tmp_path) not in scored._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.slug, r.word, r.n) for r in scored.collect()) == [
+        ("a", "one two", 1), ("a", "one two three", 1), ("a", "two three", 1), ("b", "one two", 1)]
