@@ -28,7 +28,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _SPACES = np.array([9, 10, 11, 12, 13, 32])
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Fragments remembered in one Python worker; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Words up to this many bytes are merged together and remembered.
 SHORT = 64
 #: Bytes of text worked on at once.
@@ -43,6 +43,77 @@ def byte_letters() -> dict[str, int]:
     return letters | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Memory:
+    """Ids of fragments of up to 15 bytes, looked up in bulk.
+
+    A fragment is two numbers, its bytes and its length, so two fragments are never taken for one another.
+    They lie in an open table; a place holds where in ``pool`` the ids begin and how many they are."""
+
+    LONGEST = 15
+
+    def __init__(self, entries: int):
+        self.entries, self.bits = entries, (2 * entries).bit_length()
+        self.pool = np.empty(4 * entries, dtype="<i4")
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = np.zeros((2, 1 << self.bits), dtype=np.uint64)
+        self.start, self.count = np.zeros(1 << self.bits, dtype=np.int32), np.zeros(1 << self.bits, dtype=np.int32)
+        self.held = self.used = 0
+
+    @staticmethod
+    def keys(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The two numbers of each fragment of ``data``."""
+        whole = np.ndarray((len(data) + 9,), dtype="<u8", buffer=data + bytes(16), strides=(1,))
+        masks = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+        tail = whole[starts + 8 * (lengths > 8)] & masks[np.clip(lengths - 8, 0, 7)]
+        return np.stack([whole[starts] & masks[np.minimum(lengths, 8)], tail | lengths.astype(np.uint64) << np.uint64(56)])
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        mixed = (keys[0] ^ (keys[1] << np.uint64(7)) ^ (keys[1] >> np.uint64(9))) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each fragment, -1 where it is not known."""
+        at = self._home(keys)
+        out = np.where((self.words[0][at] == keys[0]) & (self.words[1][at] == keys[1]), at, -1)
+        left = np.nonzero((out < 0) & (self.count[at] > 0))[0]
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            here = at[left]
+            same = (self.words[0][here] == keys[0][left]) & (self.words[1][here] == keys[1][left])
+            out[left[same]] = here[same]
+            left = left[~same & (self.count[here] > 0)]
+        return out
+
+    def write(self, ids: np.ndarray) -> int:
+        """Puts ids behind those in use, without keeping them; where they begin."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(len(self.pool) + len(ids), dtype="<i4")])
+        self.pool[self.used:self.used + len(ids)] = ids
+        return self.used
+
+    def learn(self, fragments: dict[bytes, bytes]) -> None:
+        """Keeps the ids of new fragments."""
+        lengths = np.fromiter(map(len, fragments), dtype=np.int64, count=len(fragments))
+        keys = self.keys(b"".join(fragments), np.cumsum(lengths) - lengths, lengths)
+        counts = np.fromiter(map(len, fragments.values()), dtype=np.int64, count=len(fragments)) // 4
+        first = self.write(np.frombuffer(b"".join(fragments.values()), dtype="<i4"))
+        starts = first + np.cumsum(counts) - counts
+        self.used += int(counts.sum())
+        self.held += len(fragments)
+        at, left = self._home(keys), np.arange(len(fragments))
+        while len(left):
+            free = left[self.count[at[left]] == 0]
+            places, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.words[:, places] = keys[:, put]
+            self.start[places], self.count[places] = starts[put], counts[put]
+            left = np.setdiff1d(left, put, assume_unique=True)
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+
 class Tokenizer:
     """Encodes and decodes by the vocabulary of a byte-level tokenizer file."""
 
@@ -73,10 +144,18 @@ class Tokenizer:
         cuts[_SPACES] = False
         cuts[:, ord("'")] = False
         cuts[:, 0x80:0xC0] = False
-        self.cuts = cuts
+        self.cuts, self._flat_cuts = cuts, cuts.ravel()
         self.cuts_after_ascii = cuts.copy()
         self.cuts_after_ascii[128:] = False
-        self.memory = {f: np.array([i], dtype="<i4").tobytes() for f, i in self.special.items()}
+        self.memory, self.long = Memory(REMEMBERED), {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Only the special tokens stay known."""
+        alone = {f: np.array([i], dtype="<i4").tobytes() for f, i in self.special.items()}
+        self.memory.clear()
+        self.memory.learn({f: ids for f, ids in alone.items() if len(f) <= Memory.LONGEST})
+        self.long = {f: ids for f, ids in alone.items() if len(f) > Memory.LONGEST}
 
     def _rank(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Ranks of neighbours, one past the last rank where they do not merge."""
@@ -154,36 +233,64 @@ class Tokenizer:
         out = {f: known[f] for f in plain}
         return out | {f: b"".join([known[w] for w in ws]) for f, ws in split.items()}
 
-    def _fragments(self, data: bytes) -> list[bytes]:
-        """A text cut at every certain boundary; special tokens stand by themselves."""
-        out: list[bytes] = []
-        for part in self._special.split(data) if self._special else [data]:
+    def _cut(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Texts one behind the other, where their fragments end, and how many fragments end with each text.
+
+        Every certain boundary is a cut, and so are the ends of texts; special tokens stand by themselves."""
+        parts = [self._special.split(t) if self._special else [t] for t in texts]
+        flat = [p for ps in parts for p in ps]
+        data = b"".join(flat)
+        codes = np.frombuffer(data, dtype=np.uint8)
+        cuts = np.zeros(len(data) + 1, dtype=bool)
+        cuts[1:-1] = self._flat_cuts[codes[:-1].astype(np.int64) << 8 | codes[1:]] if len(data) else False
+        end = 0
+        for part in flat:
+            start, end = end, end + len(part)
             if part in self.special:
-                out.append(part)
-            elif part:
-                cuts = self.cuts_after_ascii if _WIDE_SPACE.search(part) else self.cuts
-                codes = np.frombuffer(part, dtype=np.uint8)
-                at = (np.nonzero(cuts[codes[:-1], codes[1:]])[0] + 1).tolist()
-                out += [part[i:j] for i, j in zip([0, *at], [*at, len(part)], strict=True)]
-        return out
-
-    def _encode_some(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-            self.memory |= {f: np.array([i], dtype="<i4").tobytes() for f, i in self.special.items()}
-        memory, cut = self.memory, [self._fragments(t) for t in texts]
-        new = {f for fragments in cut for f in fragments if f not in memory}
-        learned = self._learn(new)
-        memory.update((f, ids) for f, ids in learned.items() if len(f) <= SHORT)
-        if any(len(f) > SHORT for f in new):
-            return [b"".join([memory[f] if f in memory else learned[f] for f in fragments]) for fragments in cut]
-        return [b"".join(map(memory.__getitem__, fragments)) for fragments in cut]
+                cuts[start + 1:end] = False
+            elif _WIDE_SPACE.search(part):
+                cuts[start + 1:end] = self.cuts_after_ascii[codes[start:end - 1], codes[start + 1:end]]
+            cuts[end] = True
+        cuts[0] = False
+        stops = np.cumsum([sum(map(len, ps)) for ps in parts])
+        return data, np.nonzero(cuts)[0], np.cumsum(cuts)[stops]
+
+    def _encode_some(self, texts: list[bytes]) -> list[np.ndarray]:
+        if self.memory.held > REMEMBERED or len(self.long) > REMEMBERED:
+            self._forget()
+        memory = self.memory
+        data, ends, last = self._cut(texts)
+        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        lengths = ends - starts
+        small = np.nonzero(lengths <= Memory.LONGEST)[0]
+        keys = memory.keys(data, starts[small], lengths[small])
+        at = memory.find(keys)
+        missed = np.nonzero(at < 0)[0]
+        bounds = zip(starts[small[missed]].tolist(), ends[small[missed]].tolist(), strict=True)
+        new = {data[i:j] for i, j in bounds}
+        large = np.nonzero(lengths > Memory.LONGEST)[0]
+        spelled = [data[i:j] for i, j in zip(starts[large].tolist(), ends[large].tolist(), strict=True)]
+        learned = self._learn(new | {f for f in spelled if f not in self.long})
+        if new:
+            memory.learn({f: learned[f] for f in new})
+            at[missed] = memory.find(keys[:, missed])
+        begin, count = np.empty(len(ends), dtype=np.int64), np.empty(len(ends), dtype=np.int64)
+        begin[small], count[small] = memory.start[at], memory.count[at]
+        if spelled:
+            self.long |= {f: ids for f, ids in learned.items() if Memory.LONGEST < len(f) <= SHORT}
+            found = [self.long[f] if f in self.long else learned[f] for f in spelled]
+            count[large] = [len(ids) // 4 for ids in found]
+            begin[large] = memory.write(np.frombuffer(b"".join(found), dtype="<i4")) + np.cumsum(count[large]) - count[large]
+        upto = np.cumsum(count)
+        ids = memory.pool[np.repeat(begin - upto + count, count) + np.arange(upto[-1] if len(upto) else 0)]
+        stops = np.concatenate([[0], upto])[last].tolist()
+        return [ids[i:j] for i, j in zip([0, *stops], stops, strict=False)]
 
     def encode_batch(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of UTF-8 texts; a special token's string in a text is that token.
 
         Texts are taken in slices of about a megabyte, so that their fragments stay few."""
-        out: list[bytes] = []
+        out: list[np.ndarray] = []
         some: list[bytes] = []
         size = 0
         for i, text in enumerate(texts):
@@ -192,7 +299,7 @@ class Tokenizer:
             if size >= AT_ONCE or i == len(texts) - 1:
                 out += self._encode_some(some)
                 some, size = [], 0
-        return [np.frombuffer(x, dtype="<i4") for x in out]
+        return out
 
     def encode(self, data: bytes) -> np.ndarray:
         return self.encode_batch([data])[0]
