@@ -181,14 +181,16 @@ def pack(rows: DataFrame, ids_col: str, id_col: str = "doc_id", length: int = LE
     named by its document and its piece number there; pieces in order give the document's ids again.
 
     Pieces, not documents, are dealt to groups by a hash, so one very long text spreads over
-    them. NULL and empty id columns have no piece; rows that repeat an id are packed each; an empty table gives no rows."""
+    them, and so do rows equal in all columns, by their place in the written pieces. NULL and empty id columns have no piece; rows that repeat an id are packed each; an empty table gives no rows."""
     total = rows.agg(F.sum(F.octet_length(ids_col))).first()[0] or 0
     ids = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
-    return _packed(ids.mapInArrow(_splitter(length, list), _PIECES), max(1, -(-total // (2 * group_ids))), length, pad)
+    pieces = cut_lineage(ids.mapInArrow(_splitter(length, list), _PIECES), "pieces")
+    return _packed(pieces, max(1, -(-total // (2 * group_ids))), length, pad)
 
 
 def _packed(pieces: DataFrame, groups: int, length: int, pad: int) -> DataFrame:
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(groups))
+    """Written pieces, packed in groups. The place in its file tells equal rows apart, so that many of them do not meet in one group."""
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids", "_metadata.row_index"), F.lit(groups))
     return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(_packer(length, pad), _ROWS)
 
 
@@ -202,7 +204,8 @@ def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Texts as byte ids with an end id each, packed. Sizes for the groups come from the texts' lengths; NULL counts as empty."""
     total = docs.agg(F.sum(F.octet_length(text_of(text_col)) + 1)).first()[0] or 0
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return _packed(texts.mapInArrow(_splitter(length, lambda some: map(byte_ids, some)), _PIECES), max(1, -(-total // group_ids)), length, 0)
+    pieces = cut_lineage(texts.mapInArrow(_splitter(length, lambda some: map(byte_ids, some)), _PIECES), "pieces")
+    return _packed(pieces, max(1, -(-total // group_ids)), length, 0)
 
 
 def pack_tokens(docs: DataFrame, spec, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
