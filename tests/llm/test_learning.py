@@ -140,6 +140,21 @@ def test_mix_rows_and_empty(docs):
     assert mixing.mix_sizes(docs([])).count() == 0 and mixing.mix(docs([])).count() == 0
 
 
+def test_rows_without_an_id_are_mixed(docs):
+    rows = [(None, f"a{i} " + "x " * 99, "a") for i in range(200)] + [(i, "y " * 100, "b") for i in range(200)]
+    taken = {}
+    for r in mixing.mix_sizes(docs(rows)).collect():
+        taken[r.target] = taken.get(r.target, 0) + r.taken
+    assert len(taken) == 2 and all(abs(t - n) <= 100 for t, n in taken.items())
+
+
+def test_more_words_make_more_shards(docs):
+    rows = [(i, "x " * 100, "a") for i in range(600)]
+    few, many = (mixing.mix_sizes(docs(rows), block_words=200, shard_words=w) for w in (10_000, 100))
+    top = lambda df: max(s for r in df.collect() for s in r.shards)
+    assert top(few) < 64 <= top(many) < 4096
+
+
 # ---------------------------------------------------------------- pseudonyms
 
 def luhn(digits):
@@ -213,12 +228,12 @@ def test_pseudonyms_over_documents(documents):
 # ---------------------------------------------------------------- top-k
 
 def slow_top(rows, k):
-    v = {i: np.floor(256 * np.array(x, dtype=float)).astype(int) for i, x in rows if i is not None and x and None not in x
-         and np.isfinite(np.array(x, dtype=float)).all()}
+    v = [(i, np.floor(256 * np.array(x, dtype=float)).astype(int)) for i, x in rows if i is not None and x and None not in x
+         and np.isfinite(np.array(x, dtype=float)).all()]
     out = []
-    for q in v:
+    for at, (q, x) in enumerate(v):
         if q % 50 == 0:
-            scores = sorted((-int(v[q] @ v[c]), c) for c in v if c != q and len(v[c]) == len(v[q]))[:k]
+            scores = sorted((-int(x @ y), c) for other, (c, y) in enumerate(v) if other != at and len(x) == len(y))[:k]
             out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scores)]
     return sorted(out)
 
