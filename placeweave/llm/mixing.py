@@ -22,7 +22,9 @@ from placeweave.session import cut_lineage
 WEIGHTS = (1, 2, 3)
 MAX_PASSES = 3
 BLOCK_WORDS = 100_000
-FANOUT, LEVELS = 8, 2
+FANOUT, LEAST_LEVELS = 8, 2
+#: Words of a shard at most on average; the depth of the tree follows from it.
+SHARD_WORDS = 1 << 20
 _BUCKET_BITS, _KEY_BITS, _SUPER_BITS = 10, 60, 10
 
 
@@ -31,8 +33,9 @@ def _key(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
 
 
-def _row_key(id_col: str, seed: str) -> Column:
-    return _key(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+def _row_key(id_col: str, text_col: str, seed: str) -> Column:
+    """By id and text, so that rows without an id lie apart."""
+    return _key(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text_of(text_col)))
 
 
 def _block(key: str, n_blocks: str) -> Column:
@@ -99,17 +102,17 @@ class MixPlan:
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-             weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, fanout: int = FANOUT, levels: int = LEVELS,
+             weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, fanout: int = FANOUT, shard_words: int = SHARD_WORDS,
              seed: str = "mix") -> MixPlan:
     """Targets, passes and shards. Only ids, sources and sizes are kept while planning, no texts.
 
     The last pass over a source takes whole documents in random order while they fit, and one more of the
-    same block, the one whose size is nearest to what is left, if that brings the sum nearer. Rows that repeat an id lie side by side in the
-    order and share their fate; a NULL id counts as an empty one. NULL sources are one source, the
+    same block, the one whose size is nearest to what is left, if that brings the sum nearer. Rows that repeat id and text lie side by side in the
+    order and share their fate; a NULL id counts as an empty one. The tree has as many levels as shards of ``shard_words`` words need. NULL sources are one source, the
     last; documents without words take part with no words. An empty table gives an empty plan."""
     sizes = cut_lineage(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-        F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"), _row_key(id_col, seed).alias("key")), "sizes")
+        F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"), _row_key(id_col, text_col, seed).alias("key")), "sizes")
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))
     sources = cut_lineage(numbered(totals, F.asc_nulls_last("source"), "number", "sources").withColumn("weight", weight), "sources")
@@ -148,6 +151,9 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     draws = (blocks.join(own, "number")
              .withColumn("_draws", F.col("full") + F.coalesce(more, F.lit(False)).cast("int")).filter(F.col("_draws") > 0)
              .select("number", "block", F.explode(F.sequence(F.lit(0), F.col("_draws") - 1)).alias("pass")))
+    words, levels = sources.agg(F.sum("source_size")).first()[0] or 0, LEAST_LEVELS
+    while fanout ** levels * shard_words < words:
+        levels += 1
     dealt = _split(draws, seed, fanout, levels)
     in_turn = F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"])
     shards = cut_lineage(dealt.groupBy("number", "block").agg(in_turn.alias("shards")), "shards")
@@ -161,11 +167,12 @@ def mix_sizes(docs: DataFrame, **options) -> DataFrame:
     return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "shards")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", shard_col: str | None = None, **options) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        shard_col: str | None = None, **options) -> DataFrame:
     """The mixed corpus: a row with all columns of docs for each time a document is taken, dealt out by
     shard and shuffled inside each shard; ``shard_col`` names a column for the shard."""
-    plan = plan_mix(docs, id_col=id_col, source_col=source_col, **options)
-    rows = docs.select(F.struct("*").alias("_row"), F.col(source_col).alias("source"), _row_key(id_col, plan.seed).alias("key"))
+    plan = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(source_col).alias("source"), _row_key(id_col, text_col, plan.seed).alias("key"))
     drawn = plan.placed(rows).select("_row", "key", F.posexplode("shards").alias("_pass", "_shard"))
     order = F.md5(F.concat_ws(":", F.lit(plan.seed), "_shard", "key", "_pass"))
     out = drawn.repartition("_shard").sortWithinPartitions("_shard", order)
