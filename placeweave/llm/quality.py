@@ -15,13 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from placeweave.llm.common import text_of
 
 #: Bytes in a passage.
 PASSAGE = 512
-#: Labelled documents to learn from at most, the first in hash order, and passages read of each, evenly spread.
-SAMPLE_DOCS, SAMPLE_PASSAGES = 4000, 64
+#: The labelled documents to learn from: at most so many, in hash order, of texts up to so many bytes, together up to so many.
+#: All passages of each are read.
+SAMPLE_DOCS, SAMPLE_TEXT, SAMPLE_BYTES = 4000, 1 << 20, 64 << 20
 ACCEPT = 0.7
 _KINDS = 8
 _STEPS = _KINDS * _KINDS
@@ -142,33 +145,28 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
 
-def _sampler(limit: int):
-    @F.arrow_udf("binary")
-    def sampled(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts.cast(pa.binary()).to_pylist():
-            counts = passage_counts(text)
-            if len(counts) > limit:
-                counts = counts[np.linspace(0, len(counts) - 1, limit).astype(int)]
-            out.append(counts.astype("<u2").tobytes())
-        return pa.array(out, pa.binary())
-    return sampled
+@F.arrow_udf(T.BinaryType())
+def _counts(texts: pa.Array) -> pa.Array:
+    return pa.array([passage_counts(text).astype("<u2").tobytes() for text in texts.cast(pa.binary()).to_pylist()], pa.binary())
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          sample_docs: int = SAMPLE_DOCS, sample_passages: int = SAMPLE_PASSAGES) -> Model:
-    """A model from at most ``sample_docs`` labelled documents that are not held out.
+          sample_docs: int = SAMPLE_DOCS, sample_text: int = SAMPLE_TEXT, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from all passages of a bounded sample of the labelled documents that are not held out.
 
-    The bound makes the sample small enough to broadcast to the texts and to bring to the driver
-    (sample_docs x sample_passages x 132 bytes, 34 MB at most). Labels that are NULL or neither 0 nor 1, and ids without
-    a document are passed over; of several labels of one id the larger counts; of several texts the one whose sample has the smallest hash."""
+    The bounds make the labels small enough to broadcast to the texts, and the sample to bring to the driver (a
+    passage of 512 bytes takes 132, so 17 MB at most). Labels that are NULL or neither 0 nor 1, and ids without a
+    document are passed over; of several labels of one id the larger counts; of several texts the one whose counts have the smallest hash."""
     usable = (labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
               .groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
-    rows = (docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    rows = (docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).filter(F.octet_length("text") <= sample_text)
             .join(F.broadcast(usable), "doc_id")
-            .select("doc_id", "label", _sampler(sample_passages)("text").alias("counts"))
-            .groupBy("doc_id", "label").agg(F.min_by("counts", F.sha2("counts", 256)).alias("counts")).collect())
+            .select("doc_id", "label", F.octet_length("text").cast("long").alias("size"), _counts("text").alias("counts"))
+            .groupBy("doc_id", "label").agg(F.min_by(F.struct("counts", "size"), F.sha2("counts", 256)).alias("c")))
+    upto = F.sum("c.size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = (rows.withColumn("upto", upto).filter(F.col("upto") <= sample_bytes)
+            .select("doc_id", "label", F.col("c.counts").alias("counts")).collect())
     rows.sort(key=lambda r: r.doc_id)
     bags = [encoded(np.frombuffer(r.counts, dtype="<u2").reshape(-1, _SIZE).astype(np.float64)) for r in rows]
     return fit(bags, np.array([r.label for r in rows], dtype=np.float64)) if rows else Model(0.5)

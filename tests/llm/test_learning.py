@@ -69,6 +69,17 @@ def test_repeated_ids_are_learned_once(spark, docs, monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(bags, again, strict=True))
 
 
+def test_all_passages_of_the_sample_are_learned(spark, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, labels: seen.append(bags) or quality.Model(0.5))
+    rows = [(i, f"{i} " + "word " * 20_000) for i in range(20)] + [(99, "far too long " * 90_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    learned = [i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2]
+    quality.learn(docs(rows), labels)
+    quality.learn(docs(rows), labels, sample_bytes=250_000)
+    assert [len(b) for b in seen[0]] == [-(-(100_000 + len(str(i))) // 512) for i in learned] and len(seen[1]) == 2
+
+
 def test_passages_read_whole_texts():
     text = b"word " * 5000
     counts = quality.passage_counts(text)
@@ -251,7 +262,12 @@ def test_top_k(spark):
     frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string")
     want = slow_top([(i, None if x is None else [None if c is None else float(np.float32(c)) for c in x]) for i, x in rows], 5)
     assert run_top(frame) == want and run_top(frame, block=50, batch=3) == want
-    assert run_top(frame.unionByName(frame)) == want
+    twice = rows + rows
+    assert run_top(frame.unionByName(frame)) == slow_top([(i, None if x is None else [None if c is None else float(np.float32(c)) for c in x])
+                                                          for i, x in twice], 5)
+    several = [(50, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.9, 0.0]), (2, [0.1, 0.0]), (50, [2.0, 0.0])]
+    found = run_top(spark.createDataFrame(several, "vec_id long, embedding array<double>"))
+    assert found == slow_top(several, 5) and found[0][2:] == (50, 131072) and (50, 2, 1, 58880) in found
     assert run_top(frame.filter("false")) == []
 
 
@@ -259,7 +275,7 @@ def test_top_k_of_large_numbers_and_skewed_data(spark):
     rows = [(i, [float(2 ** 21 + i), -1.0]) for i in range(120)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert run_top(frame) == slow_top(rows, 5)
-    lists = topk.Lists(np.arange(5000), np.outer(np.arange(5000), np.ones(4)).astype(float))
+    lists = topk.Lists(np.arange(5000), np.arange(5000), np.outer(np.arange(5000), np.ones(4)).astype(float))
     ids, scores = lists.top(-1, np.ones(4), 3)
     assert ids.tolist() == [4999, 4998, 4997]
 
