@@ -13,6 +13,7 @@ from placeweave.sources import schemas
 from placeweave.sources.documents import (
     read_key_config, read_keyed_texts, read_posts, read_texts, write_documents, write_texts)
 from placeweave.sources.regions import read_regions
+from placeweave.sources.store import KeyedStore
 from placeweave.sources.tables import (
     read_csv, read_optional, read_snapshots, read_table, write_bundle, write_csv, write_table)
 
@@ -219,7 +220,17 @@ def text_files(spark, sf):
 SELECT doc_id, source, md5(text) AS digest FROM documents WHERE source = 'src3'
 """)
 def single_key(spark, sf):
-    """All rows of one key; the table is partitioned by key, so one folder is read."""
+    """All rows of one key out of a store: one bucket is opened, however many keys there are."""
+    store = KeyedStore(spark, scratch_path(spark, "keyed"), "doc_id bigint, source string, digest string", "source", buckets=16, order=["doc_id"])
+    store.replace(table(spark, sf, "documents").select("doc_id", "source", F.md5("text").alias("digest")))
+    return store.read(["src3"])
+
+
+@query("""
+SELECT doc_id, source, md5(text) AS digest FROM documents WHERE source = 'src3'
+""")
+def single_folder(spark, sf):
+    """The same from a table partitioned by key, for few keys: one folder is read."""
     path = scratch_path(spark, "keyed")
     write_table(table(spark, sf, "documents").select("doc_id", "source", F.md5("text").alias("digest"))
                 .repartition("source", F.pmod("doc_id", F.lit(4))), path, partition_by=["source"])

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
 from placeweave.catalog.base import query, table
-from placeweave.operators.checks import observed
-from placeweave.operators.keys import drop_full_keys, nest_by_key, replace_keys, todo_keys
+from placeweave.operators.checks import Accounting
+from placeweave.operators.keys import drop_full_keys, full_keys, nest_by_key, replace_keys, todo_keys
 from placeweave.operators.ranking import latest_per_key
-from placeweave.plans.collection import collect_posts, collected, collection_documents, stored_keys
+from placeweave.plans.collection import collect_posts, collected, collection_documents, keys_in
 from placeweave.session import scratch_path
-from placeweave.sources.documents import shred_listing, write_documents
-from placeweave.sources.tables import small_table, write_table
+from placeweave.sources.documents import shred_listing
+from placeweave.sources.store import KeyedStore
+from placeweave.sources.tables import read_table, write_table
 
 
 @query("""
@@ -29,6 +30,25 @@ WITH new AS (SELECT o_custkey, count(*) AS post_count, 'new' AS status FROM orde
 SELECT * FROM old WHERE o_custkey NOT IN (SELECT o_custkey FROM new) UNION ALL SELECT * FROM new
 """)
 def log_upsert(spark, sf):
+    """A log kept in a store: the second batch replaces its own keys there, and readers get the whole."""
+    orders = table(spark, sf, "orders")
+    store = KeyedStore(spark, scratch_path(spark, "log"), "o_custkey bigint, post_count bigint, status string", "o_custkey", buckets=8)
+
+    def log(df, status):
+        return df.groupBy("o_custkey").agg(F.count("*").alias("post_count")).withColumn("status", F.lit(status))
+
+    store.replace(log(orders, "old"))
+    store.replace(log(orders.filter(col("o_orderpriority") == "1-URGENT"), "new"))
+    return store.read()
+
+
+@query("""
+WITH new AS (SELECT o_custkey, count(*) AS post_count, 'new' AS status FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
+     old AS (SELECT o_custkey, count(*) AS post_count, 'old' AS status FROM orders GROUP BY 1)
+SELECT * FROM old WHERE o_custkey NOT IN (SELECT o_custkey FROM new) UNION ALL SELECT * FROM new
+""")
+def log_merge(spark, sf):
+    """The same on frames, nothing stored."""
     orders = table(spark, sf, "orders")
 
     def log(df, status):
@@ -42,6 +62,19 @@ SELECT o_orderkey, o_custkey FROM orders
 WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) < 12)
 """)
 def recollect(spark, sf):
+    """Full keys removed from a store, so that they are collected anew; what is left is also what a frame without them holds."""
+    store = KeyedStore(spark, scratch_path(spark, "full"), "o_orderkey bigint, o_custkey bigint", "o_custkey", buckets=8)
+    store.replace(table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
+    store.remove(full_keys(store.read(), "o_custkey", 12))
+    return store.read()
+
+
+@query("""
+SELECT o_orderkey, o_custkey FROM orders
+WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) < 12)
+""")
+def recollect_rows(spark, sf):
+    """The same on a frame."""
     return drop_full_keys(table(spark, sf, "orders"), "o_custkey", 12).select("o_orderkey", "o_custkey")
 
 
@@ -126,16 +159,17 @@ FROM p JOIN k USING (user_id)
 """)
 def collection_store(spark, sf):
     """Collected in two runs over one store of documents: the second finds what the first has written."""
-    path, landed, config = scratch_path(spark, "store"), _landed(spark, sf), _key_config(spark, sf)
+    landed, config = _landed(spark, sf), _key_config(spark, sf)
+    kept = KeyedStore(spark, scratch_path(spark, "store"), "slug string, name string, sources array<string>, part int, "
+                      "posts array<struct<id: string, title: string>>", "slug", buckets=8, order=["part"])
 
     def store(done):
-        docs = collection_documents(done["posts"].withColumn("title", col("source_name")), done["sources"], ["id", "title"], per_document=7)
-        write_documents(docs, path, mode="append")
+        kept.replace(collection_documents(done["posts"].withColumn("title", col("source_name")), done["sources"], ["id", "title"], per_document=7))
 
     store(collected(landed, config.filter(col("slug").cast("long") % 2 == 0)))
-    second = collected(landed, config, stored_keys(spark, path))
+    second = collected(landed, config, keys_in(kept.read()))
     store(second)
-    found = stored_keys(spark, path)
+    found = keys_in(kept.read())
     return found.join(second["log"].select("slug", "status"), "slug").select("slug", "name", "post_count", "sources", "status")
 
 
@@ -146,20 +180,17 @@ UNION ALL SELECT 'unique', count(DISTINCT o_custkey) FROM valid
 UNION ALL SELECT 'placed', count(DISTINCT o_custkey) FROM valid JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 20
 """)
 def stage_accounting(spark, sf):
-    """Rows in and out of the steps of one stage, counted while the stage is written, not apart."""
-    watches = []
-
-    def counted(df, stage):
-        df, watch = observed(df, stage, n=F.count(F.lit(1)))
-        watches.append((stage, watch))
-        return df
-
+    """Rows in and out of the steps of one stage, counted while the stage is written, not apart, and kept as a table."""
+    steps = Accounting("orders")
+    counted = steps.count
     raw = counted(table(spark, sf, "orders"), "raw")
     valid = counted(raw.filter(col("o_orderstatus") != "P"), "valid")
     unique = counted(latest_per_key(valid, ["o_custkey"], "o_orderdate", ["o_orderkey"]), "unique")
     homes = table(spark, sf, "customer").filter(col("c_nationkey") < 20).select(col("c_custkey").alias("o_custkey"))
     write_table(counted(unique.join(homes, "o_custkey"), "placed"), scratch_path(spark, "counted"))
-    return small_table(spark, stage=[s for s, _ in watches], n=[w.get["n"] for _, w in watches])
+    path = scratch_path(spark, "accounting")
+    write_table(steps.table(spark), path)
+    return read_table(spark, path).select(col("step").alias("stage"), col("rows").alias("n"))
 
 
 @query("""

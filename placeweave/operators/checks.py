@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from placeweave.sources.tables import small_table
+
 FAIL, WARN = "fail", "warn"
 
 
@@ -54,3 +56,22 @@ def observed(df: DataFrame, stage: str, **measures: Column) -> tuple[DataFrame,
     """Row accounting that rides along with whatever action runs the frame."""
     watch = Observation(stage)
     return df.observe(watch, *[m.alias(k) for k, m in measures.items()]), watch
+
+
+class Accounting:
+    """How many rows the steps of a stage handle, counted by whatever action runs them.
+
+    A step counted here has to run once, and be read by a job at all, before ``table`` is asked for."""
+
+    def __init__(self, stage: str):
+        self.stage, self.watches = stage, []
+
+    def count(self, df: DataFrame, step: str) -> DataFrame:
+        df, watch = observed(df, f"{self.stage} {step}", n=F.count(F.lit(1)))
+        self.watches.append((step, watch))
+        return df
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """Columns: stage, step, rows; one row per step, in the order of the steps."""
+        return small_table(spark, stage=[self.stage] * len(self.watches), step=[s for s, _ in self.watches],
+                           rows=[w.get["n"] for _, w in self.watches])

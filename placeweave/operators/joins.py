@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placeweave.session import cut_lineage
+
 
 def same_keys(keys: list[str], left: str, right: str) -> Column:
     """Equality of aliased sides on all keys, NULL matching NULL as it does in a grouping."""
@@ -59,9 +61,10 @@ def fallback_rows(df: DataFrame, keys: list[str], is_primary: Column, is_fallbac
                   at_least: int) -> DataFrame:
     """Drop fallback rows of every key that has ``at_least`` primary rows.
 
-    Counts combine in the map tasks; only keys that must lose rows travel back."""
-    served = (df.filter(is_primary).groupBy(*keys).agg(F.count("*").alias("_n"))
-              .filter(F.col("_n") >= at_least).select(*keys))
+    Counts combine in the map tasks. The keys that must lose rows are written first, so that their size is known:
+    a few are broadcast and the fallback rows stay where they are."""
+    served = cut_lineage(df.filter(is_primary).groupBy(*keys).agg(F.count("*").alias("_n"))
+                         .filter(F.col("_n") >= at_least).select(*keys), "served")
     rest = df.filter(F.coalesce(~is_fallback, F.lit(True)))
     return rest.unionByName(df.filter(is_fallback).join(served, keys, "left_anti"))
 

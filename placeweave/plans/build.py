@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave import fixed
-from placeweave.operators.checks import Check, enforce, row_count, run_checks
+from placeweave.operators.checks import Accounting, Check, enforce, row_count, run_checks
 from placeweave.operators.joins import keep_keys, merged_words, missing_keys
 from placeweave.operators.text import stopword_table
 from placeweave.plans import business, forum, listings, master
@@ -68,16 +68,21 @@ def build(spark: SparkSession, inputs: Inputs, out: str, force: bool = False) ->
         return force or not table_exists(spark, f"{out}/{path}")
 
     if missing("business/summary"):
-        active = business.active_licences(read_csv(spark, inputs.licences, schemas.RAW_LICENCES, inputs.quoted_newlines))
-        write_table(active, f"{out}/licences")
+        steps = Accounting("business")
+        raw = steps.count(read_csv(spark, inputs.licences, schemas.RAW_LICENCES, inputs.quoted_newlines), "licences raw")
+        write_table(steps.count(business.active_licences(raw), "licences active"), f"{out}/licences")
+        write_table(steps.table(spark), f"{out}/accounting/business")
         done = business.business_profile(read_table(spark, f"{out}/licences"), lookup, inputs.rules, inputs.area_range)
         summary = _checked(done["summary"], master.business_checks(rows), "business", out)
         write_bundle({"by_category": done["by_category"], "summary": summary}, f"{out}/business")
 
     if missing("forum/scores"):
+        steps = Accounting("forum")
         posts, rejects = read_posts(spark, inputs.posts)
-        write_table(rejects, f"{out}/forum/rejects")
-        write_table(forum.clean_posts(posts).select(*forum.POST), f"{out}/forum/posts")
+        write_table(steps.count(rejects, "files rejected"), f"{out}/forum/rejects")
+        kept = forum.clean_posts(steps.count(posts, "posts raw")).select(*forum.POST)
+        write_table(steps.count(kept, "posts kept"), f"{out}/forum/posts")
+        write_table(steps.table(spark), f"{out}/accounting/forum")
         clean = read_table(spark, f"{out}/forum/posts")
         write_table(forum.post_phrases(clean, words), f"{out}/forum/phrases")
         phrases = read_table(spark, f"{out}/forum/phrases")
@@ -85,11 +90,14 @@ def build(spark: SparkSession, inputs: Inputs, out: str, force: bool = False) ->
         write_table(_checked(done["scores"], master.score_checks(rows), "forum", out), f"{out}/forum/scores")
 
     if inputs.regions and inputs.listings and missing("listings/summary"):
+        steps = Accounting("listings")
         done = listings.listing_profile(
             read_snapshots(spark, inputs.listings, schemas.LISTINGS, quoted_newlines=inputs.quoted_newlines),
             read_snapshots(spark, inputs.reviews, schemas.REVIEWS, partitions=inputs.review_partitions),
             read_regions(spark, inputs.regions), lookup, inputs.valued_lexicon, words,
-            merged_words(words, hospitality), inputs.cell)
+            merged_words(words, hospitality), inputs.cell, *([steps.count] if inputs.reviews else []))
+        if inputs.reviews:  # rows of no file are nothing that a job could count
+            write_table(steps.table(spark), f"{out}/accounting/listings")
         summary = _checked(done["summary"], [row_count(rows)], "listings", out)
         write_bundle({"by_room_type": done["by_room_type"], "phrases": done["phrases"], "summary": summary},
                      f"{out}/listings")

@@ -74,7 +74,8 @@ def collected(landed: DataFrame, config: DataFrame, already: DataFrame | None =
     """``posts`` to store for keys not stored yet, their ``sources``, and the ``log`` over all keys.
 
     ``already`` holds slug, post_count and sources of stored keys, as ``stored_keys`` reads them.
-    Threshold and cap are those of the config unless given. The posts are written once."""
+    Threshold and cap are those of the config unless given. The config and the posts are written once."""
+    config = cut_lineage(config, "config")
     rules = rules_of(config)
     at_least, cap = rules["at_least"] if at_least is None else at_least, rules["cap"] if cap is None else cap
     todo = config if already is None else config.join(already.select("slug"), "slug", "left_anti")
@@ -101,7 +102,11 @@ def collection_documents(posts: DataFrame, sources: DataFrame, fields: list[str]
 
 def stored_keys(spark, path: str) -> DataFrame:
     """What a store of documents holds already: slug, name, post_count, sources (one string)."""
-    docs = spark.read.schema(schemas.POST_FILE).option("recursiveFileLookup", True).json(path)
+    return keys_in(spark.read.schema(schemas.POST_FILE).option("recursiveFileLookup", True).json(path))
+
+
+def keys_in(docs: DataFrame) -> DataFrame:
+    """The same of a frame of documents."""
     return docs.groupBy("slug").agg(
         F.first("name").alias("name"), F.sum(F.size("posts")).cast("long").alias("post_count"),
         F.first(F.array_join("sources", ",")).alias("sources"))

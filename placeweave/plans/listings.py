@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
@@ -84,12 +86,13 @@ def listing_summary(placed: DataFrame, lookup: DataFrame, sentiment: DataFrame,
 
 def listing_profile(listings: DataFrame, reviews: DataFrame, edges: DataFrame, lookup: DataFrame,
                     valued: DataFrame, stopwords: DataFrame | None, phrase_stopwords: DataFrame | None,
-                    cell: float = CELL) -> dict[str, DataFrame]:
+                    cell: float = CELL, count: Callable[[DataFrame, str], DataFrame] = lambda df, step: df) -> dict[str, DataFrame]:
     """``summary``: one row per lookup area; ``by_room_type``; ``phrases``. The hospitality words
     belong in ``phrase_stopwords`` only. Placed listings and cleaned reviews are each used
-    several times, so they are written once."""
-    placed = cut_lineage(place_listings(latest_listings(listings), edges, lookup, cell), "placed")
-    clean = cut_lineage(placed_reviews(reviews, placed), "reviews")
+    several times, so they are written once. ``count`` is told the rows of each step, as an ``Accounting`` takes them."""
+    unique = count(latest_listings(count(listings, "listings raw")), "listings unique")
+    placed = cut_lineage(count(place_listings(unique, edges, lookup, cell), "listings placed"), "placed")
+    clean = cut_lineage(count(placed_reviews(count(reviews, "reviews raw"), placed), "reviews kept"), "reviews")
     phrases = cut_lineage(visitor_phrases(clean, phrase_stopwords), "phrases")
     summary = listing_summary(placed, lookup, review_sentiment(clean, valued, stopwords), phrases)
     return {"summary": summary, "by_room_type": room_types(placed), "phrases": phrases}

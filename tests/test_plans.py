@@ -125,6 +125,15 @@ def test_stages_and_summaries(profile, spark, inputs, out):
     assert again.count() == 3
 
 
+def test_every_stage_accounts_for_its_rows(profile, spark, out):
+    found = {(r.stage, r.step): r.rows for r in read_table(spark, f"{out}/accounting/*").collect()}
+    assert found == {
+        ("business", "licences raw"): 9, ("business", "licences active"): 8,
+        ("forum", "files rejected"): 1, ("forum", "posts raw"): 4, ("forum", "posts kept"): 3,
+        ("listings", "listings raw"): 6, ("listings", "listings unique"): 5, ("listings", "listings placed"): 3,
+        ("listings", "reviews raw"): 5, ("listings", "reviews kept"): 2}
+
+
 def test_prompts(spark, out):
     prompts = {r.slug: r.prompt.split("\n") for r in read_table(spark, f"{out}/prompts").collect()}
     one, three = prompts["rogers_park"], prompts["riverdale"]
