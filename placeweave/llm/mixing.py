@@ -79,22 +79,62 @@ def _split(draws: DataFrame, seed: str, fanout: int, levels: int) -> DataFrame:
     return draws.withColumnRenamed("node", "shard")
 
 
+def _starts(blocks: DataFrame, amount: str) -> DataFrame:
+    """Adds ``start``: the amount in all earlier blocks of the source, summed over heaps of blocks first."""
+    blocks = blocks.withColumn("_heap", F.shiftright("block", _SUPER_BITS))
+    heaps = blocks.groupBy("number", "_heap").agg(F.sum(amount).alias("_w"))
+    heaps = heaps.select("number", "_heap", (F.sum("_w").over(Window.partitionBy("number").orderBy("_heap")) - F.col("_w")).alias("_ahead"))
+    inside = F.sum(amount).over(Window.partitionBy("number", "_heap").orderBy("block")) - F.col(amount)
+    return (blocks.withColumn("_in", inside).join(heaps, ["number", "_heap"])
+            .withColumn("start", F.col("_ahead") + F.col("_in")).drop("_heap", "_in", "_ahead"))
+
+
+def _fills(in_block: DataFrame, ends: DataFrame) -> DataFrame:
+    """Documents (number, block, key) that fill the gap between what the last pass took and its end: of those it did not
+    take the shortest, while they fit, and one more if that comes nearer. So no document that fits is left.
+
+    Lengths are counted before anything is ranked; of the documents of the last length, blocks are counted and
+    only those in which the end may lie are ranked."""
+    behind = (F.col("block") > F.col("last_block")) | ((F.col("block") == F.col("last_block")) & (F.col("key") > F.coalesce("last_key", F.lit(-1))))
+    left = (in_block.join(ends, "number").filter(behind & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
+            .groupBy("number", "block", "key").agg(F.sum("size").alias("words"), F.max("gap").alias("gap")))
+    left = cut_lineage(left, "left")
+    lengths = left.groupBy("number", "words").agg((F.col("words") * F.count("*")).alias("_all"), F.max("gap").alias("gap"))
+    lengths = lengths.withColumn("_upto", F.sum("_all").over(Window.partitionBy("number").orderBy("words")))
+    before, words = F.col("_upto") - F.col("_all"), F.col("words")
+    fit = F.floor((F.floor("gap") - before) / words)
+    one_more = (words < 2 * (F.col("gap") - before - fit * words)).cast("long")
+    marks = (lengths.filter((F.col("_upto") > F.col("gap")) & (before <= F.col("gap")))
+             .select("number", words.alias("_last"), (fit + one_more).alias("_take")))
+    marked = left.join(cut_lineage(marks, "marks"), "number", "left")
+    below = marked.filter(F.col("_last").isNull() | (F.col("words") < F.col("_last")))
+    equal = marked.filter(F.col("words") == F.col("_last"))
+    starts = _starts(equal.groupBy("number", "block").agg(F.count("*").alias("_n")), "_n").select("number", "block", "start")
+    rank = F.col("start") + F.row_number().over(Window.partitionBy("number", "block").orderBy("key"))
+    equal = (equal.join(starts, ["number", "block"]).filter(F.col("start") < F.col("_take"))
+             .withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_take")))
+    return below.select("number", "block", "key").unionByName(equal.select("number", "block", "key"))
+
+
 @dataclass(frozen=True)
 class MixPlan:
-    """``sizes``: a row per document; ``sources``: a row per source; ``blocks``: shards of each block's draws."""
+    """``sizes``: a row per document; ``sources``: a row per source; ``blocks``: shards of each block's draws;
+    ``fills``: documents the last pass takes out of turn."""
 
     sizes: DataFrame
     sources: DataFrame
     blocks: DataFrame
+    fills: DataFrame
     seed: str
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """Adds what the plan says to rows with ``source`` and ``key``: source_size, target, passes, shards."""
-        last = F.col("_block") == F.col("last_block")
-        chosen = (F.col("key") <= F.col("last_key")) | (F.col("key") == F.col("extra_key"))
-        partial = (F.col("_block") < F.col("last_block")) | (last & chosen)
-        rows = (joined(rows, self.sources, ["source"]).withColumn("_block", _block("key", "n_blocks"))
-                .withColumn("passes", F.col("full") + F.coalesce(partial, F.lit(False)).cast("int")))
+        fills = self.fills.select(F.col("number").alias("_fn"), F.col("key").alias("_fk"))
+        rows = joined(rows, self.sources, ["source"]).withColumn("_block", _block("key", "n_blocks"))
+        rows = rows.join(fills, (F.col("number") == F.col("_fn")) & (F.col("key") == F.col("_fk")), "left")
+        last = (F.col("_block") == F.col("last_block")) & (F.col("key") <= F.col("last_key"))
+        partial = (F.col("_block") < F.col("last_block")) | last | F.col("_fk").isNotNull()
+        rows = rows.withColumn("passes", F.col("full") + F.coalesce(partial, F.lit(False)).cast("int")).drop("_fn", "_fk")
         shards = self.blocks.select(F.col("number").alias("_n"), F.col("block").alias("_k"), "shards")
         placed = rows.join(shards, (F.col("number") == F.col("_n")) & (F.col("_block") == F.col("_k")), "left")
         drawn = F.slice(F.coalesce("shards", F.array().cast("array<long>")), F.lit(1), F.col("passes"))
@@ -106,8 +146,9 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
              seed: str = "mix") -> MixPlan:
     """Targets, passes and shards. Only ids, sources and sizes are kept while planning, no texts.
 
-    The last pass over a source takes whole documents in random order while they fit, and one more of the
-    same block, the one whose size is nearest to what is left, if that brings the sum nearer. Rows that repeat id and text lie side by side in the
+    The last pass over a source takes whole documents in random order up to the first that does not fit, then the
+    shortest of the others while they fit, from anywhere in the source, and one more if that brings the sum nearer: a
+    source ends less than its shortest document not taken from its target. Rows that repeat id and text lie side by side in the
     order and share their fate; a NULL id counts as an empty one. The tree has as many levels as shards of ``shard_words`` words need. NULL sources are one source, the
     last; documents without words take part with no words. An empty table gives an empty plan."""
     sizes = cut_lineage(docs.select(
@@ -125,12 +166,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     in_source = joined(sizes, sources.select("source", "number", "n_blocks"), ["source"])
     in_block = in_source.select("number", _block("key", "n_blocks").alias("block"), "key", "size")
     blocks = cut_lineage(in_block.groupBy("number", "block").agg(F.sum("size").alias("words")), "blocks")
-    above = F.shiftright("block", _SUPER_BITS)
-    heaps = blocks.groupBy("number", above.alias("heap")).agg(F.sum("words").alias("_w"))
-    heaps = heaps.select("number", "heap", (F.sum("_w").over(Window.partitionBy("number").orderBy("heap")) - F.col("_w")).alias("_ahead"))
-    inside = F.sum("words").over(Window.partitionBy("number", "heap").orderBy("block")) - F.col("words")
-    starts = (blocks.withColumn("heap", above).withColumn("_in", inside).join(heaps, ["number", "heap"])
-              .select("number", "block", "words", (F.col("_ahead") + F.col("_in")).alias("start")))
+    starts = _starts(blocks, "words")
     cut = (starts.join(sources.select("number", "rest"), "number")
            .filter((F.col("start") < F.col("rest")) & (F.col("rest") <= F.col("start") + F.col("words")))
            .select("number", "block", (F.col("rest") - F.col("start")).alias("room")))
@@ -139,16 +175,18 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     alike = (in_block.filter(F.col("size") > 0).join(cut, ["number", "block"])
              .groupBy("number", "block", "key", "room").agg(F.sum("size").alias("words")))
     alike = alike.withColumn("_upto", F.sum("words").over(upto)).withColumn("_fits", F.col("_upto") <= F.col("room"))
-    got = F.coalesce(F.max(F.when(F.col("_fits"), F.col("_upto"))).over(Window.partitionBy("number")), F.lit(0))
-    alike = alike.withColumn("_gap", F.col("room") - got).withColumn("_off", F.abs(F.col("words") - F.col("_gap")))
-    extra = F.min(F.when(~F.col("_fits") & (F.col("_off") < F.col("_gap")), F.struct("_off", "key")))["key"]
-    lasts = alike.groupBy("number").agg(F.max(F.when(F.col("_fits"), F.col("key"))).alias("last_key"), extra.alias("extra_key"))
-    lasts = cut.join(lasts, "number", "left").select("number", F.col("block").alias("last_block"), "last_key", "extra_key")
-    sources = cut_lineage(sources.join(lasts, "number", "left").drop("rest"), "sources")
-
-    own = sources.select("number", "full", "last_block", F.coalesce("last_key", "extra_key").alias("some"))
-    more = (F.col("block") < F.col("last_block")) | ((F.col("block") == F.col("last_block")) & F.col("some").isNotNull())
-    draws = (blocks.join(own, "number")
+    got = alike.filter("_fits").groupBy("number").agg(F.max("key").alias("last_key"), F.max("_upto").alias("_got"))
+    ends = cut.join(got, "number", "left").select(
+        "number", F.col("block").alias("last_block"), "last_key", (F.col("room") - F.coalesce("_got", F.lit(0))).alias("gap"))
+    ends = cut_lineage(ends, "ends")
+    fills = cut_lineage(_fills(in_block, ends), "fills")
+    sources = cut_lineage(sources.join(ends.drop("gap"), "number", "left").drop("rest"), "sources")
+
+    own = sources.select("number", "full", "last_block", "last_key")
+    filled = fills.select("number", "block").distinct().withColumn("_filled", F.lit(True))
+    more = ((F.col("block") < F.col("last_block")) | ((F.col("block") == F.col("last_block")) & F.col("last_key").isNotNull())
+            | F.col("_filled"))
+    draws = (blocks.join(own, "number").join(filled, ["number", "block"], "left")
              .withColumn("_draws", F.col("full") + F.coalesce(more, F.lit(False)).cast("int")).filter(F.col("_draws") > 0)
              .select("number", "block", F.explode(F.sequence(F.lit(0), F.col("_draws") - 1)).alias("pass")))
     words, levels = sources.agg(F.sum("source_size")).first()[0] or 0, LEAST_LEVELS
@@ -157,7 +195,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     dealt = _split(draws, seed, fanout, levels)
     in_turn = F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"])
     shards = cut_lineage(dealt.groupBy("number", "block").agg(in_turn.alias("shards")), "shards")
-    return MixPlan(sizes, sources, shards, seed)
+    return MixPlan(sizes, sources, shards, fills, seed)
 
 
 def mix_sizes(docs: DataFrame, **options) -> DataFrame:

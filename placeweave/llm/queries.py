@@ -107,18 +107,19 @@ gaps AS (
          rest - coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY number), 0) AS gap
   FROM running r JOIN edges e USING (number) WHERE rest > 0),
 lasts AS (
-  SELECT number, any_value(last_block) AS last_block, max(key) FILTER (WHERE block = last_block AND upto <= rest) AS last_key,
-         arg_min(key, [abs(words - gap), key::DOUBLE])
-           FILTER (WHERE block = last_block AND upto > rest AND abs(words - gap) < gap) AS extra_key
+  SELECT number, any_value(last_block) AS last_block, any_value(gap) AS gap,
+         max(key) FILTER (WHERE block = last_block AND upto <= rest) AS last_key
   FROM gaps GROUP BY number),
+behind AS (
+  SELECT a.*, gap, sum(words) OVER (PARTITION BY number ORDER BY words, key) AS filled
+  FROM alike a JOIN lasts l USING (number) WHERE block > last_block OR (block = last_block AND key > coalesce(last_key, -1))),
+fills AS (
+  SELECT number, block, key FROM behind WHERE filled <= gap OR (filled - words <= gap AND words < 2 * (gap - (filled - words)))),
 counted AS (
-  SELECT p.*, p.passes + CASE WHEN block < last_block OR (block = last_block AND (key <= last_key OR key = extra_key))
+  SELECT p.*, p.passes + CASE WHEN p.block < last_block OR (p.block = last_block AND p.key <= last_key) OR f.key IS NOT NULL
                               THEN 1 ELSE 0 END AS times
-  FROM placed p LEFT JOIN lasts l USING (number)),
-owned AS (
-  SELECT DISTINCT p.number, p.block,
-         p.passes + CASE WHEN block < last_block OR (block = last_block AND coalesce(last_key, extra_key) IS NOT NULL) THEN 1 ELSE 0 END AS draws
-  FROM placed p LEFT JOIN lasts l USING (number)),
+  FROM placed p LEFT JOIN lasts l USING (number) LEFT JOIN fills f ON f.number = p.number AND f.key = p.key),
+owned AS (SELECT number, block, max(times) AS draws FROM counted GROUP BY ALL),
 draws AS (SELECT number, block, unnest(range(0, draws)) AS pass FROM owned),
 bits AS (
   SELECT *, ('0x' || substr(md5(concat_ws(':', 'mix', 0, number, block, pass)), 1, 15))::BIGINT AS r0,

@@ -159,6 +159,34 @@ def test_rows_without_an_id_are_mixed(docs):
     assert len(taken) == 2 and all(abs(t - n) <= 100 for t, n in taken.items())
 
 
+@pytest.mark.parametrize("first", [0, 1000, 2000, 3000])
+@pytest.mark.parametrize("block_words", [700, 100_000])
+def test_long_documents_are_stepped_over(docs, first, block_words):
+    rows = [(first, "w " * 60_000, "a")] + [(first + i, "w " * 500, "a") for i in range(1, 41)]
+    rows += [(first + 100 + i, f"b{i} " * 300, "b") for i in range(50)]
+    sums = {}
+    for r in mixing.mix_sizes(docs(rows), block_words=block_words).collect():
+        assert r.taken <= 3 * r.size and len(r.shards) == r.taken // r.size
+        taken, _ = sums.get(r.source_size, (0, 0))
+        sums[r.source_size] = taken + r.taken, r.target
+    assert abs(sums[80_000][0] - sums[80_000][1]) < (500 if sums[80_000][1] % 60_000 <= 20_000 else 60_000)
+    assert abs(sums[15_000][0] - sums[15_000][1]) <= 150
+
+
+def test_what_is_left_does_not_fit(docs):
+    """With one id throughout, lengths far apart and small blocks, each source ends by its shortest document not taken."""
+    rng = np.random.default_rng(4)
+    rows = [(7, f"{i} " + "w " * int(rng.geometric(.01)), "abc"[i % 3]) for i in range(900)] + [(7, "0 " + "w " * 30_000, "b")]
+    found = mixing.mix_sizes(docs(rows), block_words=900).collect()
+    assert len(found) == len(rows)
+    for size in {r.source_size for r in found}:
+        own = [r for r in found if r.source_size == size]
+        most = max(r.taken // r.size for r in own)
+        left = min((r.size for r in own if r.taken // r.size < most), default=1)
+        assert abs(sum(r.taken for r in own) - own[0].target) < left
+        assert all(len(r.shards) == r.taken // r.size for r in own)
+
+
 def test_more_words_make_more_shards(docs):
     rows = [(i, "x " * 100, "a") for i in range(600)]
     few, many = (mixing.mix_sizes(docs(rows), block_words=200, shard_words=w) for w in (10_000, 100))
