@@ -9,15 +9,16 @@ from placeweave.llm.common import first_places, joined, later_occurrences, merge
 from placeweave.session import cut_lineage
 
 WINDOW = 3
+_SPACE = " \t\n\x0b\x0c\r"
 
 
 def line_windows(rows: DataFrame) -> DataFrame:
-    """One row per window: doc_id, mark, start, end (excluded), h1, h2. Windows of blank lines alone are left out."""
+    """One row per window: doc_id, mark, start, end (excluded), h1, h2. Windows of lines of ASCII white space alone are left out."""
     def window(i):
         lines = [F.col("lines")[i + k] for k in range(WINDOW)]
-        filled = F.trim(lines[0]) != ""
+        filled = F.btrim(lines[0], F.lit(_SPACE)) != ""
         for line in lines[1:]:
-            filled = filled | (F.trim(line) != "")
+            filled = filled | (F.btrim(line, F.lit(_SPACE)) != "")
         return F.struct(i.alias("start"), F.xxhash64(*lines).alias("h1"),
                         F.xxhash64(F.lit("second"), *lines).alias("h2"), filled.alias("filled"))
 

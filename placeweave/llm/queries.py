@@ -169,7 +169,8 @@ WITH rows AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(t
 spots AS (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS i FROM rows WHERE len(lines) >= 3),
 windows AS (
   SELECT doc_id, i, lines[i] AS a, lines[i + 1] AS b, lines[i + 2] AS c FROM spots
-  WHERE trim(lines[i]) <> '' OR trim(lines[i + 1]) <> '' OR trim(lines[i + 2]) <> ''),
+  WHERE regexp_matches(lines[i], '[^\x20\x09-\x0D]') OR regexp_matches(lines[i + 1], '[^\x20\x09-\x0D]')
+     OR regexp_matches(lines[i + 2], '[^\x20\x09-\x0D]')),
 later AS (
   SELECT doc_id, i FROM windows
   QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) > 1),

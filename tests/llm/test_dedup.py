@@ -166,11 +166,11 @@ def slow_lines(rows):
         lines = (text or "").split("\n")
         for at in range(len(lines) - 2):
             window = tuple(lines[at:at + 3])
-            if any(x.strip(" ") for x in window):
+            if any(x.strip(" \t\n\x0b\x0c\r") for x in window):
                 seen.setdefault(window, (i, text or "", at))
     for i, text in rows:
         lines = (text or "").split("\n")
-        gone = {k for at in range(len(lines) - 2) if any(x.strip(" ") for x in lines[at:at + 3])
+        gone = {k for at in range(len(lines) - 2) if any(x.strip(" \t\n\x0b\x0c\r") for x in lines[at:at + 3])
                 and seen[tuple(lines[at:at + 3])] != (i, text or "", at) for k in (at, at + 1, at + 2)}
         out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone)))
     return sorted(out, key=repr)
@@ -182,7 +182,8 @@ def xxh_signed(text):
 
 
 LINES = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc"), (3, "a\nb\nc\nd\n"), (3, "a\nb\nc\nd\n"), (4, "k\nk\nk\nk\nk\nk"), (5, None), (6, ""),
-         (7, "a\nb"), (8, "\n\n\n\n"), (9, "\n\n\n \n"), (None, "q\na\nb\nc\nr"), (10, "b\nc\nd\ny\na\nb\nc"), (3, "c\nb\na\nc\nb\na")]
+         (7, "a\nb"), (8, "\n\n\n\n"), (9, "\n\n\n \n"), (None, "q\na\nb\nc\nr"), (10, "b\nc\nd\ny\na\nb\nc"), (3, "c\nb\na\nc\nb\na"),
+         (11, "\t\n \t\n\r\n\t"), (12, "\t\n \t\n\r\n\t"), (13, "\t\n \t\nz\n\t"), (14, "\t\n \t\nz\n\t")]
 
 
 def test_lines(docs):
