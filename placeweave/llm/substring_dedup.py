@@ -16,8 +16,9 @@ from placeweave.session import cut_lineage
 
 #: Sentences of more words are cut after commas and after words chosen by their bytes, one in four.
 LONG = 12
-#: A span is the shortest run of this many sentences or more that has this many words or more.
-RUN_SENTENCES, RUN_WORDS = 2, 10
+#: A span is the shortest run of this many sentences or more that has this many words or more. A repeated passage of over
+#: fifty words holds such a run wherever it starts, as a sentence and the run's last one seldom pass twelve words each.
+RUN_SENTENCES, RUN_WORDS = 2, 25
 #: Bytes of text worked on at once.
 AT_ONCE = 1 << 20
 

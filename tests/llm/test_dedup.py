@@ -248,7 +248,8 @@ def test_sentence_ends():
     assert [text[i:j] for i, j in zip(starts, ends, strict=True)][:4] == [b"One two.", b"Three!", b"Four", b"five 3.5 six?"]
 
 
-def test_spans_are_the_shortest_long_enough_runs():
+def test_spans_are_the_shortest_long_enough_runs(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "RUN_WORDS", 10)
     text = b"a b c. d e f g. h i j k l. m n. o."
     texts, first, after, _ = substring_dedup.spans_of([b"x y.", text, b"", text])
     assert texts.tolist() == [1, 1, 3, 3]
