@@ -9,8 +9,9 @@ from placeweave.catalog.base import query, table
 from placeweave.operators.checks import Accounting
 from placeweave.operators.keys import drop_full_keys, full_keys, nest_by_key, replace_keys, todo_keys
 from placeweave.operators.ranking import latest_per_key
-from placeweave.plans.collection import collect_posts, collected, collection_documents, keys_in
+from placeweave.plans.collection import Collection, collect_posts, collected, collection_documents, keys_in
 from placeweave.session import scratch_path
+from placeweave.sources import schemas
 from placeweave.sources.documents import shred_listing
 from placeweave.sources.store import KeyedStore
 from placeweave.sources.tables import read_table, write_table
@@ -90,8 +91,18 @@ def _landed(spark, sf):
         F.date_format("ts", "yyyy-MM-dd").alias("id"))
 
 
-# a cap that most users reach, and a threshold below it
-CAP, AT_LEAST = 13, 12
+def _pages(spark, sf):
+    """The same as landed pages of listings, a block of events each."""
+    landed = _landed(spark, sf).withColumn("page", F.floor(col("position") / 500).cast("int"))
+    post = F.struct("id", col("source_name").alias("title"), col("position").alias("score"))
+    child = F.struct("position", F.struct(post.alias("data")).alias("child"))
+    pages = landed.groupBy(*schemas.PAGE_KEYS).agg(F.sort_array(F.collect_list(child)).alias("c"))
+    payload = F.to_json(F.struct(F.struct(F.transform("c", lambda x: x["child"]).alias("children")).alias("data")))
+    return pages.select(*schemas.PAGE_KEYS, payload.alias("payload"))
+
+
+# a cap that most users reach, a threshold below it, and the posts that make a key large
+CAP, AT_LEAST, RECOLLECT = 13, 12, 40
 
 _SQL_USED = f"""
 capped AS (SELECT * FROM events
@@ -173,6 +184,36 @@ def collection_store(spark, sf):
     return found.join(second["log"].select("slug", "status"), "slug").select("slug", "name", "post_count", "sources", "status")
 
 
+@query(f"""
+WITH {_SQL_USED},
+k AS (SELECT user_id, count(*) AS n FROM kept GROUP BY 1),
+p AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS p, bool_or(event_type = 'signup') AS s,
+             bool_or(event_type = 'click') AS c FROM events GROUP BY 1)
+SELECT CAST(user_id AS VARCHAR) AS slug, 'user ' || user_id AS name, n AS post_count,
+       concat_ws(',', CASE WHEN s THEN 'r/signup' END, CASE WHEN c THEN 'r/click' END, CASE WHEN p > 0 THEN 'r/purchase' END,
+                 CASE WHEN p < {AT_LEAST} THEN 'r/view' END) AS sources,
+       CASE WHEN user_id % 2 = 0 AND n < {RECOLLECT} THEN 'skipped' ELSE 'collected' END AS status
+FROM p JOIN k USING (user_id)
+""")
+def collection_stage(spark, sf):
+    """From landed pages to documents and log: half the keys first, then all, the large ones anew."""
+    pages, config = _pages(spark, sf), _key_config(spark, sf)
+    stage = Collection(spark, scratch_path(spark, "collection"), buckets=8, per_document=7)
+    stage.collect(pages, config.filter(col("slug").cast("long") % 2 == 0))
+    return stage.collect(pages, config, RECOLLECT)
+
+
+@query(f"""
+WITH {_SQL_USED}
+SELECT CAST(user_id AS VARCHAR) AS slug, id AS post_id, event_type AS title, CAST(event_id AS INTEGER) AS score FROM kept
+""")
+def stored_posts(spark, sf):
+    """The posts that the collection stores, read back from its documents."""
+    stage = Collection(spark, scratch_path(spark, "collection"), buckets=8, per_document=7)
+    stage.collect(_pages(spark, sf), _key_config(spark, sf))
+    return stage.posts().select("slug", "post_id", "title", "score")
+
+
 @query("""
 WITH valid AS (SELECT * FROM orders WHERE o_orderstatus <> 'P')
 SELECT 'raw' AS stage, count(*) AS n FROM orders UNION ALL SELECT 'valid', count(*) FROM valid

@@ -12,10 +12,11 @@ from placeweave.operators.checks import Accounting, Check, enforce, row_count, r
 from placeweave.operators.joins import keep_keys, merged_words, missing_keys
 from placeweave.operators.text import stopword_table
 from placeweave.plans import business, forum, listings, master
+from placeweave.plans.collection import Collection
 from placeweave.plans.listings import CELL
 from placeweave.session import cut_lineage
 from placeweave.sources import schemas
-from placeweave.sources.documents import read_posts, read_texts
+from placeweave.sources.documents import broken_pages, read_key_config, read_pages, read_posts, read_texts
 from placeweave.sources.regions import read_regions
 from placeweave.sources.tables import (
     read_csv, read_optional, read_snapshots, read_table, table_exists, write_bundle, write_table)
@@ -24,11 +25,14 @@ from placeweave.sources.tables import (
 @dataclass
 class Inputs:
     """Files and tables to build from. ``keys`` keeps some areas only; ``area_range`` None takes any
-    area number; ``quoted_newlines`` False lets large licence and listing files be read in splits."""
+    area number; ``quoted_newlines`` says whether licence and listing files hold any, None looks first.
+
+    Posts come from a folder of documents, or, where ``pages`` and ``key_config`` are given, from landed pages: these are
+    collected into a store under ``collection``, which later builds add to. ``recollect_at_least`` collects large keys anew."""
 
     lookup: str
     licences: str
-    posts: str
+    posts: str | None
     valued_lexicon: DataFrame
     polar_lexicon: DataFrame
     stopwords: DataFrame | None = None
@@ -37,11 +41,14 @@ class Inputs:
     reviews: dict[str, str] = field(default_factory=dict)
     summaries: str | None = None
     review_partitions: int | None = None
-    quoted_newlines: bool = True
+    quoted_newlines: bool | None = None
     area_range: tuple[int, int] | None = fixed.AREA_RANGE
     rules: list[tuple[str, str]] | None = None
     cell: float = CELL
     keys: list[str] | None = None
+    pages: str | None = None
+    key_config: str | None = None
+    recollect_at_least: int | None = None
 
 
 def _checked(df: DataFrame, checks: list[Check], stage: str, out: str) -> DataFrame:
@@ -78,7 +85,15 @@ def build(spark: SparkSession, inputs: Inputs, out: str, force: bool = False) ->
 
     if missing("forum/scores"):
         steps = Accounting("forum")
-        posts, rejects = read_posts(spark, inputs.posts)
+        if inputs.pages is None:
+            posts, rejects = read_posts(spark, inputs.posts)
+        else:
+            pages, config = read_pages(spark, inputs.pages), read_key_config(spark, inputs.key_config)
+            if inputs.keys is not None:
+                config = keep_keys(config, inputs.keys, "slug")
+            collection = Collection(spark, f"{out}/collection")
+            collection.collect(pages, config, inputs.recollect_at_least, steps.count)
+            posts, rejects = collection.posts(), broken_pages(pages)
         write_table(steps.count(rejects, "files rejected"), f"{out}/forum/rejects")
         kept = forum.clean_posts(steps.count(posts, "posts raw")).select(*forum.POST)
         write_table(steps.count(kept, "posts kept"), f"{out}/forum/posts")

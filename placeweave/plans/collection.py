@@ -7,15 +7,19 @@ term), feed_no, position, and the post.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave import fixed
 from placeweave.operators.joins import fallback_rows
-from placeweave.operators.keys import collection_log, nest_by_key
+from placeweave.operators.keys import collection_log, nest_by_key, todo_keys
 from placeweave.operators.ranking import cap_per_source, priority_dedup
 from placeweave.session import cut_lineage
 from placeweave.sources import schemas
+from placeweave.sources.documents import shred_listing
+from placeweave.sources.store import KeyedStore
 
 DEDICATED, PRIMARY, FALLBACK = "dedicated", "primary", "fallback"
 FEED = ["slug", "source_kind", "source_name", "feed"]
@@ -110,3 +114,56 @@ def keys_in(docs: DataFrame) -> DataFrame:
     return docs.groupBy("slug").agg(
         F.first("name").alias("name"), F.sum(F.size("posts")).cast("long").alias("post_count"),
         F.first(F.array_join("sources", ",")).alias("sources"))
+
+
+def landed_posts(pages: DataFrame) -> DataFrame:
+    """Posts of landed pages; a feed's posts are in the order of its pages and, in a page, as they came."""
+    posts = shred_listing(pages, "payload", schemas.PAGE_KEYS)
+    place = F.coalesce("page", F.lit(0)).cast("long") * F.lit(2**32) + F.col("position")
+    return posts.withColumn("position", place).drop("page")
+
+
+@dataclass(frozen=True)
+class Collection:
+    """The stored documents and the log of a collection, kept under one folder and changed by key."""
+
+    spark: SparkSession
+    root: str
+    buckets: int = 64
+    per_document: int = 10_000
+
+    def documents(self) -> KeyedStore:
+        return KeyedStore(self.spark, f"{self.root}/documents", schemas.STORED_POSTS, "slug", self.buckets, ["part"])
+
+    def log(self) -> KeyedStore:
+        return KeyedStore(self.spark, f"{self.root}/log", schemas.COLLECTION_LOG, "slug", self.buckets)
+
+    def posts(self) -> DataFrame:
+        """What is stored, one row per post, as ``read_posts`` gives those of files."""
+        rows = self.documents().read().select("slug", F.inline("posts"))
+        return rows.select("slug", F.col("id").alias("post_id"), *[c for c in rows.columns if c not in ("slug", "id")])
+
+    def collect(self, pages: DataFrame, config: DataFrame, recollect_at_least: int | None = None,
+                count=lambda df, step: df) -> DataFrame:
+        """Stores the posts of the keys in ``config`` that have no document yet and logs all its keys; the log.
+
+        Keys that hold ``recollect_at_least`` posts or more lose their documents first and are collected anew. Pages of stored
+        keys are not read into, the others once. Documents are committed before the log: a run that broke off
+        between the two finds its keys stored and logs them as skipped. Pages of unknown keys are left out. ``count``
+        sees the steps that run once."""
+        config, store = cut_lineage(config, "config"), self.documents()
+        if recollect_at_least is not None:
+            full = keys_in(store.read()).filter(F.col("post_count") >= recollect_at_least)
+            store.remove(full.join(config.select("slug"), "slug", "left_semi"))
+        already = cut_lineage(keys_in(store.read()), "already")
+        todo = todo_keys(config, already, "slug")
+        fresh = count(pages.join(todo, "slug", "left_semi"), "pages to read")
+        landed = cut_lineage(count(landed_posts(fresh), "posts landed"), "landed")
+        done = collected(landed, config, already)
+        fields = ["id", "title", "selftext", "score", "num_comments", "subreddit"]
+        # the order of the choice is the order of the documents
+        ranked = done["posts"].withColumn("_at", F.struct(
+            F.when(_kind(DEDICATED), 0).when(_kind(PRIMARY), 1).otherwise(2), "source_no", "feed_no", "position"))
+        store.replace(collection_documents(ranked, done["sources"], fields, "_at", self.per_document))
+        self.log().replace(done["log"])
+        return self.log().read()

@@ -42,6 +42,18 @@ def shred_listing(df: DataFrame, payload: str, keys: list[str] = ()) -> DataFram
         _count("num_comments"), "created_utc", "subreddit", "url", "permalink", "author")
 
 
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Landed pages, one JSON record per line."""
+    return spark.read.schema(schemas.PAGES).json(path)
+
+
+def broken_pages(pages: DataFrame) -> DataFrame:
+    """Pages whose payload is no listing, in the form of the rejects of ``read_posts``."""
+    parsed = F.from_json("payload", schemas.LISTING_PAYLOAD + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    name = F.concat_ws("/", "slug", "source_name", "feed", F.col("page").cast("string"))
+    return pages.filter(F.col("payload").isNull() | parsed["_bad"].isNotNull()).select(name.alias("file"), F.col("payload").alias("record"))
+
+
 def read_key_config(spark: SparkSession, path: str) -> DataFrame:
     """One row per key with its search terms and dedicated sources; a missing or empty list of
     terms falls back to the single term."""

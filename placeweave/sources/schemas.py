@@ -36,6 +36,14 @@ POST_FILE = ("slug string, name string, sources array<string>, posts array<struc
              "selftext: string, score: string, num_comments: string, subreddit: string>>")
 LISTING_PAYLOAD = f"data struct<children: array<struct<data: {POST_STRUCT}>>, after: string>"
 
+#: A page as it was landed: whose it is, the source and feed it came from, its place there, and what came.
+PAGE_KEYS = ["slug", "source_kind", "source_name", "source_no", "feed", "feed_no", "page"]
+PAGES = ("slug string, source_kind string, source_name string, source_no int, feed string, feed_no int, page int, "
+         "payload string")
+STORED_POSTS = ("slug string, name string, sources array<string>, part int, posts array<struct<id: string, title: string, "
+                "selftext: string, score: int, num_comments: int, subreddit: string>>")
+COLLECTION_LOG = "slug string, name string, post_count bigint, sources string, status string"
+
 KEY_CONFIG = ("request_delay_seconds double, min_posts_threshold int, fallback_subreddit string, "
               "primary_subreddit string, post_limit int, max_posts int, time_filter string, "
               "neighborhoods array<struct<slug: string, name: string, search_term: string, "

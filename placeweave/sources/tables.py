@@ -26,19 +26,31 @@ def _typed(name: str, kind: str):
     return c if kind == "string" else c.try_cast(kind)
 
 
+def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
+    """Whether a field may hold a line break. A field that goes over a line's end leaves an odd number of quotes in
+    the line it starts in, so lines with even numbers only are records of their own. Stray quotes count as odd too."""
+    if path.endswith(".gz"):
+        return True  # one task in any case
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: str | StructType,
-             quoted_newlines: bool = True, partitions: int | None = None) -> DataFrame:
+             quoted_newlines: bool | None = None, partitions: int | None = None) -> DataFrame:
     """Declared columns of a CSV with a header, matched by name; empty and ``NA`` are NULL,
     a value that does not fit its type is NULL, a column the file lacks is NULL.
 
     Each path has the header of its own files, so paths with other columns or another order go
     in a list. Files under one path must agree: a differing header there fails the read.
 
-    ``quoted_newlines`` and gzip both make a file one task: switch the former off where
-    fields hold no line breaks, and set ``partitions`` to spread the rows after the read."""
+    Line breaks inside fields and gzip both make a file one task. Unless ``quoted_newlines`` says whether
+    there are any, a first pass over the lines finds out, and files without them are read in splits. ``partitions``
+    spreads the rows after the read."""
     if not isinstance(path, str):
         parts = [read_csv(spark, p, schema, quoted_newlines, partitions) for p in path]
         return reduce(DataFrame.unionByName, parts) if parts else empty(spark, schema)
+    if quoted_newlines is None:
+        quoted_newlines = has_quoted_newlines(spark, path)
     raw = (spark.read.option("header", True).option("enforceSchema", False).option("nullValue", "NA").option("escape", '"')
            .option("multiLine", quoted_newlines).option("ignoreLeadingWhiteSpace", True)
            .option("ignoreTrailingWhiteSpace", True).csv(path))

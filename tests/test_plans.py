@@ -12,6 +12,7 @@ from placeweave import fixed
 from placeweave.operators.checks import CheckFailed
 from placeweave.plans import collection, feeds, master
 from placeweave.plans.build import Inputs, build
+from placeweave.sources.documents import read_key_config, read_pages
 from placeweave.sources.schemas import LICENCE_COLUMNS
 from placeweave.sources.tables import read_table
 
@@ -216,3 +217,89 @@ def test_collection_rules(spark):
     assert collection.collect_posts(many).count() == 1500
     ruled = config.withColumn("max_posts", F.lit(700)).withColumn("min_posts_threshold", F.lit(2))
     assert {r.slug: r.post_count for r in collection.collected(many, ruled)["log"].collect()}["b"] == 700
+
+
+# ---------------------------------------------------------------- collection as a stage
+
+def listing(*posts):
+    return json.dumps({"data": {"children": [{"data": p} for p in posts]}})
+
+
+def page(slug, kind, name, number, payload, feed="new"):
+    return {"slug": slug, "source_kind": kind, "source_name": name, "source_no": 0, "feed": feed, "feed_no": 0, "page": number,
+            "payload": payload}
+
+
+def said(id, text="some words of a post", score=1):
+    return {"id": id, "title": text, "selftext": "", "score": score, "num_comments": 1, "subreddit": "s"}
+
+
+@pytest.fixture
+def landed(tmp_path):
+    """Landed pages and a config of two keys, as files; more pages can be added."""
+    def add(name, pages):
+        (tmp_path / "pages").mkdir(exist_ok=True)
+        (tmp_path / "pages" / f"{name}.json").write_text("\n".join(map(json.dumps, pages)))
+    add("one", [page("rogers_park", "primary", "city", 2, listing(said("c"), said("a", score=9))),
+                page("rogers_park", "primary", "city", 1, listing(said("a"), said("b"), said(""))),
+                page("rogers_park", "dedicated", "RP", 1, listing(said("b", score=5))),
+                page("rogers_park", "fallback", "ask", 1, listing(said("z"))), page("rogers_park", "primary", "city", 3, '{"data": {"chi'),
+                page("rogers_park", "primary", "city", 4, "{}"), page("hyde_park", "fallback", "ask", 1, listing(said("z"))),
+                page("nowhere", "primary", "city", 1, listing(said("n")))])
+    (tmp_path / "config.json").write_text(json.dumps({
+        "min_posts_threshold": 4, "max_posts": 4, "primary_subreddit": "city", "fallback_subreddit": "ask", "neighborhoods": [
+            {"slug": s, "name": n, "search_term": "t", "subreddits": d} for s, n, d in
+            zip(SLUGS, NAMES, (["RP"], [], ["none"]))]}))
+    return add, str(tmp_path / "pages"), str(tmp_path / "config.json")
+
+
+def test_collection_stage(spark, landed, tmp_path):
+    add, where, config = landed
+    pages, config = read_pages(spark, where), read_key_config(spark, config)
+    stage = collection.Collection(spark, str(tmp_path / "c"), buckets=4)
+    first = {r.slug: tuple(r)[2:] for r in stage.collect(pages, config.filter("slug <> 'riverdale'")).collect()}
+    # five posts landed from the primary source count as its cap of four, so the fallback is left out
+    assert first == {"rogers_park": (3, "r/RP,r/city", "collected"), "hyde_park": (1, "r/ask", "collected")}
+    stored = {r.slug: r for r in stage.documents().read().collect()}
+    assert [(p.id, p.score) for p in stored["rogers_park"].posts] == [("b", 5), ("a", 1), ("c", 1)]
+    assert sorted(r.post_id for r in stage.posts().collect()) == ["a", "b", "c", "z"]
+    add("two", [page("hyde_park", "primary", "city", 1, listing(*[said(str(i)) for i in range(9)])),
+                page("rogers_park", "dedicated", "RP", 2, listing(said("new")))])
+    pages = read_pages(spark, where)
+    again = {r.slug: tuple(r)[2:] for r in stage.collect(pages, config, recollect_at_least=3).collect()}
+    # the large key is collected anew, the small one is left alone though more was landed, an empty one has its document
+    assert again == {"rogers_park": (4, "r/RP,r/city", "collected"), "hyde_park": (1, "r/ask", "skipped"),
+                     "riverdale": (0, "r/none", "collected")}
+    assert stage.documents().read(["riverdale"]).first().posts == []
+    assert {r.status for r in stage.collect(pages, config).collect()} == {"skipped"}
+    none = collection.Collection(spark, str(tmp_path / "n"), buckets=2)
+    assert none.collect(pages.limit(0), config.limit(0)).count() == 0 and none.posts().count() == 0
+
+
+def test_collection_that_broke_off(spark, landed, tmp_path, monkeypatch):
+    """Documents without their log: the next run logs the keys as it finds them."""
+    _, pages, config = landed
+    pages, config = read_pages(spark, pages), read_key_config(spark, config)
+    stage = collection.Collection(spark, str(tmp_path / "c"), buckets=2)
+
+    def lost(self):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        m.setattr(collection.Collection, "log", lost)
+        stage.collect(pages, config)
+    assert stage.log().read().count() == 0
+    log = {r.slug: (r.post_count, r.status) for r in stage.collect(pages, config).collect()}
+    assert log == {"rogers_park": (3, "skipped"), "hyde_park": (1, "skipped"), "riverdale": (0, "skipped")}
+
+
+def test_build_from_landed_pages(spark, inputs, landed, tmp_path):
+    _, pages, config = landed
+    chain = Inputs(**{**inputs.__dict__, "posts": None, "pages": pages, "key_config": config, "listings": {}, "reviews": {}})
+    out = str(tmp_path / "out")
+    rows = {r.slug: r.post_count for r in build(spark, chain, out).collect()}
+    assert rows == {"rogers_park": 3, "hyde_park": 1, "riverdale": 0}
+    rejects = read_table(spark, f"{out}/forum/rejects").collect()
+    assert [(r.file, r.record) for r in rejects] == [("rogers_park/city/new/3", '{"data": {"chi')]
+    steps = {r.step: r.rows for r in read_table(spark, f"{out}/accounting/forum").collect()}
+    assert steps == {"pages to read": 7, "posts landed": 8, "files rejected": 1, "posts raw": 4, "posts kept": 4}

@@ -11,7 +11,8 @@ from placeweave.sources import schemas
 from placeweave.sources.documents import (
     read_key_config, read_keyed_texts, read_posts, read_texts, shred_listing, write_documents, write_texts)
 from placeweave.sources.regions import read_regions
-from placeweave.sources.tables import read_csv, read_optional, read_snapshots, table_exists, write_csv, write_table
+from placeweave.sources.tables import (
+    has_quoted_newlines, read_csv, read_optional, read_snapshots, table_exists, write_csv, write_table)
 
 
 def rows(df):
@@ -156,3 +157,23 @@ def test_half_written_stage_is_not_there(spark, tmp_path):
 def test_no_snapshots_are_an_empty_table(spark):
     got = read_snapshots(spark, {}, schemas.REVIEWS)
     assert got.columns == ["listing_id", "date", "reviewer_id", "comments", "snapshot_date"] and got.count() == 0
+
+
+def test_files_without_line_breaks_in_fields_are_split(spark, tmp_path):
+    lines = ["a,b", *[f'{i},"say ""{i}"", then"' for i in range(2000)]]
+    whole, broken = tmp_path / "whole.csv", tmp_path / "broken.csv"
+    whole.write_text("\n".join(lines))
+    broken.write_text("\n".join([*lines, '7,"two', 'lines"', '8,"and', '', '""more"""']))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert not has_quoted_newlines(spark, str(whole)) and has_quoted_newlines(spark, str(broken))
+        split = read_csv(spark, str(whole), "a int, b string")
+        assert split.rdd.getNumPartitions() > 5
+        assert sorted(r.a for r in split.filter(F.col("b") == F.format_string('say "%d", then', "a")).collect()) == list(range(2000))
+        rows = read_csv(spark, str(broken), "a int, b string")
+        assert rows.count() == 2002 and {r.b for r in rows.collect()} >= {"two\nlines", 'and\n\n"more"'}
+        both = read_csv(spark, [str(whole), str(broken)], "a int, b string")
+        assert both.count() == 4002
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
