@@ -1,6 +1,7 @@
 """Quality, mixing, pseudonyms, top-k and the pipeline."""
 
 import datetime
+import hashlib
 import os
 import re
 import zlib
@@ -8,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from placeweave.llm import mixing, pseudonyms, quality, topk
@@ -308,6 +310,107 @@ def test_top_k_of_large_numbers_and_skewed_data(spark):
     assert ids.tolist() == [4999, 4998, 4997]
 
 
+def feistel(symbols, key):
+    """The network of the docstring in plain Python: (value, range) pairs to values."""
+    half = len(symbols) // 2
+    sides = [list(symbols[:half]), list(symbols[half:])]
+    for turn in range(pseudonyms.ROUNDS):
+        mine, other = sides[turn % 2], sides[1 - turn % 2]
+        told = ",".join([*(str(v) for v, _ in other), str(len(mine))])
+        for i, (v, n) in enumerate(mine):
+            digest = hashlib.sha256("|".join([key, str(turn), told, str(i), str(n)]).encode()).hexdigest()
+            mine[i] = ((v + int(digest[:12], 16)) % n, n)
+    return [v for side in sides for v, _ in side]
+
+
+def by_character(value, key, check=False):
+    solid = [c for c in value if c.isalnum()]
+    base = [48 if c.isdigit() else 97 if c.islower() else 65 for c in solid]
+    symbols = [(ord(c) - b, 10 if b == 48 else 26) for c, b in zip(solid, base)]
+    new = feistel(symbols[:-1] if check else symbols, key)
+    if check:
+        doubled = [d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(new))]
+        new.append(-sum(doubled) % 10)
+    put = iter(chr(v + b) for v, b in zip(new, base))
+    return "".join(next(put) if c.isalnum() else c for c in value)
+
+
+def plain_date(value, order, key):
+    mark, parts = re.search("[-/.]", value)[0], re.split("[-/.]", value)
+    try:
+        day = datetime.date(**{name: int(p) for name, p in zip(order, parts)})
+    except ValueError:
+        return None
+    if not 1900 <= day.year <= 2099:
+        return None
+    start, (one, two) = datetime.date(1900, 1, 1), pseudonyms._DAYS
+    high, low = divmod((day - start).days, two)
+    high, low = feistel([(high, one), (low, two)], f"{key}|date")
+    new = start + datetime.timedelta(days=high * two + low)
+    wide = {"year": 4, "month": 2, "day": 2}
+    return mark.join(str(getattr(new, name)).zfill(1 if len(p) == 1 else wide[name]) for name, p in zip(order, parts))
+
+
+def plain_pseudonym(value, key):
+    kind = next(k for k in ("email", "ip", "iso_date", "day_first", "ssn", "phone", "card")
+                if re.fullmatch(pseudonyms._KINDS[k], value, re.ASCII))
+    if kind == "email":
+        name, _, domain = value.partition("@")
+        return by_character(name, f"{key}|mail") + "@" + domain
+    if kind == "ip":
+        octets = [int(o) for o in value.split(".")]
+        return ".".join(map(str, feistel([(o, 256) for o in octets], f"{key}|ip"))) if max(octets) < 256 else None
+    if kind == "iso_date":
+        return plain_date(value, ("year", "month", "day"), key)
+    if kind == "day_first":
+        return plain_date(value, ("day", "month", "year"), key) or plain_date(value, ("month", "day", "year"), key)
+    if kind == "ssn":
+        area, group, serial = map(int, value.split("-"))
+        if area in (0, 666) or area >= 900 or not group or not serial:
+            return None
+        areas = [a for a in range(1, 900) if a != 666]
+        a, g, n = feistel([(areas.index(area), 898), (group - 1, 99), (serial - 1, 9999)], f"{key}|ssn")
+        return f"{areas[a]:03d}-{g + 1:02d}-{n + 1:04d}"
+    if kind == "phone":
+        code = re.match(r"(?:\+\d{1,3}(?=[-. (])|\+\d{1,2}|1(?=[-. (]))? ?", value)[0]
+        return code + by_character(value[len(code):], f"{key}|phone")
+    digits = [int(c) for c in value if c.isdigit()]
+    doubled = [sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(reversed(digits))]
+    return by_character(value, f"{key}|card", check=True) if sum(doubled) % 10 == 0 else None
+
+
+def plain_texts(rows, key):
+    out = []
+    for id_, text in rows:
+        found = 0
+
+        def put(m):
+            nonlocal found
+            new = plain_pseudonym(m[0], key)
+            found += new is not None
+            return m[0] if new is None else new
+        new = re.sub(pseudonyms._ANY, put, text or "", flags=re.ASCII)
+        out.append((id_, new, found))
+    return sorted(out, key=repr)
+
+
+def test_pseudonyms_against_plain_python(spark, docs, documents):
+    rng = np.random.default_rng(6)
+    made = ["4111 1111 1111 1111", "4111 1111 1111 1112", "378282246310005", "999.1.1.1", "10.0.255.1", "2021-02-30", "29.02.2000",
+            "12/31/1999", "3/5/2021", "1899-12-31", "078-05-1120", "666-05-1120", "665-99-9999", "+44 20 7946 0958", "1-212-555-0000",
+            "(212) 555-0000", "A.b-9@mail.example.org", "x@y.z"]
+    made += [f"{rng.integers(1, 13)}/{rng.integers(1, 32)}/{rng.integers(1890, 2110)}" for _ in range(40)]
+    made += [f"{a:03d}-{g:02d}-{n:04d}" for a, g, n in rng.integers((0, 0, 0), (1000, 100, 10000), (40, 3))]
+    rows = [(i, f"before {v}, after") for i, v in enumerate(made)]
+    rows += [(None, "id-less 10.0.0.1"), (900, None), (901, ""), (902, "none"), (903, "same 10.0.0.1"), (903, "same 10.0.0.1"),
+             (904, "mail a.b@c.de " * 3000 + "end 4111111111111111")]
+    rows += [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    got = sorted(map(tuple, pseudonyms.pseudonymised(docs(rows), "k").collect()), key=repr)
+    assert got == plain_texts(rows, "k")
+    assert sum(n for _, _, n in got) > 3000
+    assert pseudonyms.pseudonymised(docs([]), "k").collect() == []
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_against_its_stages(spark):
@@ -324,3 +427,30 @@ def test_pipeline_against_its_stages(spark):
     assert sizes[0] < spark.read.parquet(f"{sf_dir}/documents.parquet").count() and sizes[1] < sizes[0] and sizes[2] <= sizes[1]
     run = corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(repr, run.collect())) == sorted(map(repr, last))
+
+
+def test_pipeline_of_odd_rows(spark, docs, tmp_path, tokenizer_file):
+    """NULL and empty texts, NULL ids and sources, repeated rows, a long text and clashing columns; then empty tables."""
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()
+    rows = [(r.doc_id, r.text, r.source) for r in given]
+    rows += [rows[0], rows[0], (None, "words without an id", "s"), (None, "words without an id", "s"), (5001, None, "s"), (5002, "", None),
+             (5003, " \t\n", "s"), (5004, "long words " * 50_000, "s")]
+    full = docs(rows)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    for name, table in (("full", full), ("empty", full.limit(0))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        (labels if name == "full" else labels.limit(0)).write.parquet(str(tmp_path / name / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+    kept = full
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = kept
+        kept = spark.createDataFrame(stage(spark, kept, str(tmp_path / "full")).collect(), full.schema)
+        assert kept.columns == full.columns, name
+        assert kept.exceptAll(before).count() == 0 or name == "mix", name  # whole rows, none made up
+        assert kept.distinct().exceptAll(before.distinct()).count() == 0, name
+    out = corpus_pipeline.run(spark, str(tmp_path / "full")).collect()
+    known = Tokenizer.from_file(tokenizer_file)
+    texts = {r.doc_id: r.text or "" for r in kept.collect()}
+    assert len(out) == kept.count() and {r.doc_id for r in out} == set(texts)
+    for r in out[:40]:
+        assert r.n_tokens == len(r.ids) and list(r.ids) == known.encode(texts[r.doc_id], add_special_tokens=False).ids
