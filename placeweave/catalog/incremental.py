@@ -102,7 +102,7 @@ def _pages(spark, sf):
 
 
 # a cap that most users reach, a threshold below it, and the posts that make a key large
-CAP, AT_LEAST, RECOLLECT = 13, 12, 40
+CAP, AT_LEAST, RECOLLECT = 13, 12, 25
 
 _SQL_USED = f"""
 capped AS (SELECT * FROM events
