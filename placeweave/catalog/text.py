@@ -14,7 +14,7 @@ from placeweave.operators.compute import computed_once
 from placeweave.operators.joins import keep_keys, merged_words, union_layers
 from placeweave.operators.stats import mean_and_sd, polarity
 from placeweave.operators.text import (
-    distinctive_phrases, lexicon_hits, ngrams, phrase_counts, phrase_string, post_sentiment, stopword_table, tf_idf,
+    lexicon_hits, ngrams, phrase_counts, phrase_string, post_sentiment, stopword_table, tf_idf, top_phrases,
     two_lexicon_scores, word_rows)
 from placeweave.plans.feeds import phrase_bars
 from placeweave.plans.forum import clean_posts
@@ -245,7 +245,7 @@ SELECT g AS source, CAST(k AS INTEGER) AS rank, word, n, round(1e6 * tf, 6) AS t
        round(idf, 9) AS idf, round(1e6 * tf * idf, 6) AS score FROM kept WHERE k <= 10
 """, name="distinctive_phrases")
 def distinctive(spark, sf):
-    return distinctive_phrases(_counts(spark, sf), "source").select(
+    return top_phrases(_docs(spark, sf), "source", "text", _stop(spark)).select(
         "source", "rank", "word", "n", F.round(col("tf") * 1e6, 6).alias("tf_millionths"), F.round("idf", 9).alias("idf"),
         F.round(col("tf_idf") * 1e6, 6).alias("score"))
 
@@ -256,8 +256,7 @@ SELECT g AS role, string_agg(word, ', ' ORDER BY k) AS top_words FROM kept WHERE
 """, name="phrase_string")
 def phrase_strings(spark, sf):
     turns = heavy(spark, sf, "conversations", "conv_id").select("role", "text")
-    counts = phrase_counts(ngrams(turns, ["role"], "text", _stop(spark)), "role")
-    return phrase_string(distinctive_phrases(counts, "role"), "role")
+    return phrase_string(top_phrases(turns, "role", "text", _stop(spark)), "role")
 
 
 @query(f"""
@@ -269,7 +268,7 @@ WHERE k <= 10 AND g IN (SELECT lang FROM shown)
 """)
 def phrase_bar_feed(spark, sf):
     docs = heavy(spark, sf, "documents", "doc_id").select("lang", "text")
-    phrases = distinctive_phrases(phrase_counts(ngrams(docs, ["lang"], "text", _stop(spark)), "lang"), "lang")
+    phrases = top_phrases(docs, "lang", "text", _stop(spark))
     sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
     flags = sizes.withColumn("flag", F.when(col("n") == sizes.agg(F.min("n")).scalar(), fixed.FLAG_NO_POSTS)
                              .otherwise(fixed.FLAG_FULL))

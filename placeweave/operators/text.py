@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from placeweave import fixed
@@ -13,12 +14,26 @@ from placeweave.session import cut_lineage
 from placeweave.sources.tables import small_table
 
 RANK_DIGITS = 9
+#: Parts that phrases are dealt into by a hash, to bound their counts.
+PHRASE_PARTS = 65_536
+#: Parts looked into first, for each candidate phrase of a group.
+FIRST_PARTS = 32
 
 
 def stopword_table(spark, words: list[str], lexicon: str) -> DataFrame:
     return small_table(spark, word=words, lexicon=[lexicon] * len(words))
 
 
+def word_lists(df: DataFrame, keys: list[str], text: str, shape: str = fixed.WORD_SHAPE) -> DataFrame:
+    """The full word list of each text as column ``w``; a word of another shape is NULL and keeps its place.
+    ``ngrams`` and ``lexicon_hits`` take such a column in place of a text."""
+    return df.select(*keys, F.transform(tokens(text), lambda w: F.when(word_shaped(w, shape), w)).alias("w"))
+
+
+def _is_list(df: DataFrame, text: str) -> bool:
+    return isinstance(df.schema[text].dataType, ArrayType)
+
+
 def word_rows(df: DataFrame, keys: list[str], text: str, stopwords: DataFrame | None = None,
               shape: str = fixed.WORD_SHAPE) -> DataFrame:
     """One row per surviving word: shaped like a word and not a stopword."""
@@ -40,7 +55,7 @@ def live_lexicon(lexicon: DataFrame, stopwords: DataFrame | None, shape: str = f
 def lexicon_hits(df: DataFrame, keys: list[str], text: str, lexicon: DataFrame,
                  stopwords: DataFrame | None = None) -> DataFrame:
     """One row per word and lexicon row; a word listed twice counts twice."""
-    words = df.select(*keys, F.explode(tokens(text)).alias("word"))
+    words = df.select(*keys, F.explode(F.col(text) if _is_list(df, text) else tokens(text)).alias("word"))
     return words.join(live_lexicon(lexicon, stopwords), "word")
 
 
@@ -75,14 +90,14 @@ def two_lexicon_scores(df: DataFrame, group: str, post: list[str], text: str, va
         F.when(polar_seen, F.col("neg")).alias("bing_negative"))
 
 
-def ngrams(df: DataFrame, keys: list[str], text: str, stopwords: DataFrame | None = None,
-           shape: str = fixed.WORD_SHAPE) -> DataFrame:
-    """Two- and three-word phrases of neighbours in the full word list.
+def phrase_starts(df: DataFrame, keys: list[str], text: str, stopwords: DataFrame | None = None,
+                  shape: str = fixed.WORD_SHAPE) -> DataFrame:
+    """Each word that starts a phrase (``w1``) with its neighbour, and with the next one where that goes on (``w3``).
 
     A rejected word becomes NULL and keeps its place, so it breaks a phrase and joins
     nothing. The list is read next to itself shifted by one and two. Stopwords are joined, however
     many they are: a table of known small size is broadcast by Catalyst, and NULL words are ignored."""
-    listed = df.select(*keys, F.transform(tokens(text), lambda w: F.when(word_shaped(w, shape), w)).alias("w"))
+    listed = df.select(*keys, F.col(text).alias("w")) if _is_list(df, text) else word_lists(df, keys, text, shape)
     last = F.lit(2**31 - 1)
     rows = listed.select(*keys, F.inline(F.arrays_zip(
         F.col("w").alias("w1"), F.slice("w", 2, last).alias("w2"), F.slice("w", 3, last).alias("w3"))))
@@ -93,10 +108,21 @@ def ngrams(df: DataFrame, keys: list[str], text: str, stopwords: DataFrame | Non
             rows = rows.join(stop.select(F.col("word").alias(w)), w, "left_anti")
         flag = stop.select(F.col("word").alias("w3"), F.lit(True).alias("_stop"))
         rows = rows.join(flag, "w3", "left").withColumn("w3", F.when(F.col("_stop").isNull(), F.col("w3")))
+    return rows.select(*keys, "w1", "w2", "w3")
+
+
+def started_phrases(starts: DataFrame, keys: list[str]) -> DataFrame:
+    """The two- and three-word phrases of ``phrase_starts``."""
     space = F.lit(" ")
     two = F.struct(F.concat("w1", space, "w2").alias("word"), F.lit(2).alias("n_words"))
     three = F.struct(F.concat("w1", space, "w2", space, "w3").alias("word"), F.lit(3).alias("n_words"))
-    return rows.select(*keys, F.inline(F.array(two, three))).filter(F.col("word").isNotNull())
+    return starts.select(*keys, F.inline(F.array(two, three))).filter(F.col("word").isNotNull())
+
+
+def ngrams(df: DataFrame, keys: list[str], text: str, stopwords: DataFrame | None = None,
+           shape: str = fixed.WORD_SHAPE) -> DataFrame:
+    """Two- and three-word phrases of neighbours in the full word list."""
+    return started_phrases(phrase_starts(df, keys, text, stopwords, shape), keys)
 
 
 def phrase_counts(phrases: DataFrame, group: str) -> DataFrame:
@@ -110,14 +136,19 @@ def group_totals(counts: DataFrame, group: str) -> DataFrame:
     return counts.groupBy(group).agg(F.sum("n").alias("_total"))
 
 
-def _with_idf(counts: DataFrame, group: str) -> DataFrame:
+def _with_idf(counts: DataFrame, group: str, totals: DataFrame | None = None) -> DataFrame:
     """Groups holding the word come from a window on the word, which has at most one row per
     group; the number of groups is a scalar subquery over the group totals."""
-    groups = group_totals(counts, group).agg(F.count("_total")).scalar()
+    totals = group_totals(counts, group) if totals is None else totals
+    groups = totals.agg(F.count("_total")).scalar()
     df_ = F.count("*").over(Window.partitionBy("word"))
     return counts.withColumn("df", df_).withColumn("idf", F.ln(groups / F.col("df")))
 
 
+def _with_score(counts: DataFrame, group: str, totals: DataFrame | None = None) -> DataFrame:
+    return _with_idf(counts, group, totals).withColumn("_score", F.round(F.col("n") * F.col("idf"), RANK_DIGITS))
+
+
 def tf_idf(counts: DataFrame, group: str) -> DataFrame:
     """Every phrase of every group with tf, idf and their product. The counts are written once: totals and the
     number of groups come from the written table and the text is scanned for none of them. The totals, one row
@@ -132,26 +163,61 @@ def tf_idf(counts: DataFrame, group: str) -> DataFrame:
 
 
 def distinctive_phrases(counts: DataFrame, group: str, candidates: int = fixed.CANDIDATE_PHRASES,
-                        kept: int = fixed.KEPT_PHRASES) -> DataFrame:
+                        kept: int = fixed.KEPT_PHRASES, totals: DataFrame | None = None) -> DataFrame:
     """The top phrases of each group by tf-idf, without two-word phrases that occur inside a
-    three-word candidate.
+    three-word candidate. ``totals`` is for counts that lack phrases, as ``top_phrases`` leaves them.
 
     Within a group the total is the same for all rows, so n x idf ranks as tf-idf does and
     the totals meet only the rows that are left. Both cuts and the containment test share
     one partitioning on the group; the tested lists hold at most ``candidates`` phrases."""
-    scored = _with_idf(counts, group).withColumn("_score", F.round(F.col("n") * F.col("idf"), RANK_DIGITS))
+    scored = _with_score(counts, group, totals)
     order = [F.desc("_score"), F.asc("word")]
     best = top_n(scored, [group], order, candidates)
     longer = F.collect_list(F.when(F.col("n_words") == 3, F.col("word"))).over(Window.partitionBy(group))
     inside = F.exists("_longer", lambda t: t.contains(F.col("word")))
     apart = best.withColumn("_longer", longer).filter((F.col("n_words") == 3) | ~inside)
     final = top_n(apart, [group], order, kept, rank="rank")
-    totals = group_totals(counts, group)
+    totals = group_totals(counts, group) if totals is None else totals
     tf = F.col("n") / F.col("_total")
     return final.join(totals, group).select(
         group, "rank", "word", "n", tf.alias("tf"), "idf", (tf * F.col("idf")).alias("tf_idf"))
 
 
+def top_phrases(df: DataFrame, group: str, text: str, stopwords: DataFrame | None = None,
+                candidates: int = fixed.CANDIDATE_PHRASES, kept: int = fixed.KEPT_PHRASES,
+                parts: int = PHRASE_PARTS, first_parts: int = FIRST_PARTS) -> DataFrame:
+    """``distinctive_phrases`` of texts or word lists, counting one by one only phrases that can be candidates.
+
+    Phrases are dealt into parts by a hash of their first two words. How many two-word phrases a group has in a
+    part is counted first; no phrase there occurs more often, which bounds its score too. All phrases of the fullest
+    parts are counted in all groups, which gives each group a score that its last candidate reaches. Where another
+    part's bound reaches it as well, the phrases of all such parts are counted. What is left uncounted scores less
+    than every candidate, so the result is that of the whole counts, whatever the texts; at worst all are counted."""
+    lists = df if _is_list(df, text) else cut_lineage(word_lists(df, [group], text), "words")
+    starts = (phrase_starts(lists, [group], text if lists is df else "w", stopwords)
+              .filter(F.col(group).isNotNull())
+              .withColumn("_part", F.pmod(F.xxhash64("w1", "w2"), F.lit(parts)).cast("int")))
+    loads = cut_lineage(starts.groupBy(group, "_part").agg(
+        F.count("*").alias("_most"), (F.count("*") + F.count("w3")).alias("n")), "loads")
+    totals = cut_lineage(group_totals(loads, group), "totals")
+
+    def counted(among: DataFrame | None) -> DataFrame:
+        rows = starts if among is None else starts.join(among, "_part", "left_semi")
+        return cut_lineage(phrase_counts(started_phrases(rows, [group]), group), "counts")
+
+    fullest = top_n(loads, [group], [F.desc("_most"), F.asc("_part")], first_parts * candidates)
+    first = cut_lineage(fullest.select("_part").distinct(), "parts")
+    counts = counted(first)
+    last = (top_n(_with_score(counts, group, totals), [group], [F.desc("_score"), F.asc("word")], candidates, rank="_k")
+            .filter(F.col("_k") == candidates).select(group, F.col("_score").alias("_last")))
+    bound = F.round(F.col("_most") * F.ln(totals.agg(F.count("_total")).scalar()), RANK_DIGITS)
+    reach = cut_lineage(loads.join(last, group, "left").filter(F.col("_last").isNull() | (bound >= F.col("_last")))
+                        .select("_part").distinct(), "parts")
+    if not reach.join(first, "_part", "left_anti").isEmpty():
+        counts = counted(None if 2 * reach.count() > parts else reach)
+    return distinctive_phrases(counts, group, candidates, kept, totals)
+
+
 def phrase_string(phrases: DataFrame, group: str, out: str = "top_words",
                   separator: str = fixed.PHRASE_SEPARATOR) -> DataFrame:
     return ordered_join(phrases, [group], "word", "rank", out, separator)

@@ -11,8 +11,7 @@ from placeweave.functions.display import post_flag, sentiment_label
 from placeweave.operators.compute import computed_once
 from placeweave.operators.joins import chain_left
 from placeweave.operators.stats import engagement
-from placeweave.operators.text import (
-    distinctive_phrases, ngrams, phrase_counts, phrase_string, two_lexicon_scores)
+from placeweave.operators.text import phrase_string, top_phrases, two_lexicon_scores, word_lists
 from placeweave.session import cut_lineage
 
 
@@ -28,18 +27,21 @@ def clean_posts(posts: DataFrame, min_chars: int = fixed.MIN_CLEAN_CHARS) -> Dat
 
 
 def post_phrases(clean: DataFrame, stopwords: DataFrame | None) -> DataFrame:
-    return distinctive_phrases(phrase_counts(ngrams(clean, ["slug"], "full_text", stopwords), "slug"), "slug")
+    return top_phrases(clean, "slug", "full_text", stopwords)
 
 
 def forum_profile(clean: DataFrame, lookup: DataFrame, valued: DataFrame, polar: DataFrame,
                   stopwords: DataFrame | None, phrases: DataFrame | None = None) -> dict[str, DataFrame]:
     """``scores``: one row per lookup area; ``phrases``: top phrases per area, found here
-    unless a stored table of them is handed in."""
-    phrases = cut_lineage(post_phrases(clean, stopwords), "phrases") if phrases is None else phrases
-    scores = two_lexicon_scores(clean, "slug", ["post_id"], "full_text", valued, polar, stopwords)
-    posts = engagement(clean, ["slug"], ["score", "num_comments"])
+    unless a stored table of them is handed in. The word lists, which both need, are then written once."""
+    posts, text = clean, "full_text"
+    if phrases is None:
+        posts, text = cut_lineage(word_lists(clean, ["slug", "post_id"], text), "words"), "w"
+        phrases = cut_lineage(top_phrases(posts, "slug", text, stopwords), "phrases")
+    scores = two_lexicon_scores(posts, "slug", ["post_id"], text, valued, polar, stopwords)
+    engaged = engagement(clean, ["slug"], ["score", "num_comments"])
     joined = chain_left(lookup.select("community_area_number", "name", "slug"),
-                        [scores, posts, phrase_string(phrases, "slug")], "slug")
+                        [scores, engaged, phrase_string(phrases, "slug")], "slug")
     filled = (joined.withColumn("post_count", F.coalesce("post_count", F.lit(0)))
               .withColumn("mean_sentiment_score", F.coalesce("mean_sentiment_score", F.lit(0.0))))
     scored = (filled.withColumn("sentiment_label", sentiment_label("mean_sentiment_score", "post_count"))

@@ -16,8 +16,7 @@ from placeweave.operators.joins import chain_left, complete_spine
 from placeweave.operators.ranking import earliest_per_key, latest_per_key
 from placeweave.operators.spatial import points_in_areas
 from placeweave.operators.stats import with_median
-from placeweave.operators.text import (
-    distinctive_phrases, lexicon_hits, ngrams, phrase_counts, phrase_string, post_sentiment)
+from placeweave.operators.text import lexicon_hits, phrase_string, post_sentiment, top_phrases
 from placeweave.session import cut_lineage
 
 AREA = "community_area_number"
@@ -72,7 +71,7 @@ def room_types(placed: DataFrame) -> DataFrame:
 
 
 def visitor_phrases(reviews: DataFrame, stopwords: DataFrame | None) -> DataFrame:
-    return distinctive_phrases(phrase_counts(ngrams(reviews, ["slug"], "text_clean", stopwords), "slug"), "slug")
+    return top_phrases(reviews, "slug", "text_clean", stopwords)
 
 
 def listing_summary(placed: DataFrame, lookup: DataFrame, sentiment: DataFrame, phrases: DataFrame) -> DataFrame:

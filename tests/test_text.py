@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,51 @@ def test_tf_idf_reads_written_counts(spark, tmp_path):
     assert str(tmp_path) not in scored._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.slug, r.word, r.n) for r in scored.collect()) == [
         ("a", "one two", 1), ("a", "one two three", 1), ("a", "two three", 1), ("b", "one two", 1)]
+
+
+def _rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.mark.parametrize("parts,first_parts", [(1, 1), (7, 1), (200, 1), (100_000, 1), (100_000, 50)])
+def test_top_phrases_are_those_of_the_whole_counts(spark, parts, first_parts):
+    """However phrases are dealt and wherever the count begins, also with null groups and texts and ties."""
+    rng = random.Random(parts)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(25)]
+    rows = [(rng.choice(["a", "b", "c", "d", None]), " ".join(rng.choices(words, range(25, 0, -1), k=rng.randint(0, 40))))
+            for _ in range(120)]
+    docs = spark.createDataFrame([*rows, ("a", None), ("few", "lake view"), ("none", "x")], "slug string, t string")
+    stops = ops.stopword_table(spark, words[:2], "x")
+    want = ops.distinctive_phrases(ops.phrase_counts(ops.ngrams(docs, ["slug"], "t", stops), "slug"), "slug", 4, 3)
+    got = ops.top_phrases(docs, "slug", "t", stops, 4, 3, parts, first_parts)
+    assert _rows(got) == _rows(want) and len(_rows(want)) > 12
+
+
+def test_top_phrases_of_one_group_and_of_no_text(spark):
+    docs = spark.createDataFrame([("a", "one two three"), ("a", "four five")], "slug string, t string")
+    want = ops.distinctive_phrases(ops.phrase_counts(ops.ngrams(docs, ["slug"], "t"), "slug"), "slug")
+    assert _rows(ops.top_phrases(docs, "slug", "t")) == _rows(want) != []
+    assert _rows(ops.top_phrases(docs.filter("false"), "slug", "t")) == []
+
+
+def test_rare_phrases_are_not_counted_by_name(spark, monkeypatch):
+    """Of many phrases that occur once, only those that share a part with a frequent one are written as counts."""
+    once = [(g, f"{chr(97 + i)}{chr(97 + j)}{g * 3} {chr(97 + j)}{chr(97 + i)}{g * 3}")
+            for g in "abc" for i in range(26) for j in range(26)]
+    often = [(g, f"often{g * 3} {chr(97 + k) * 3}") for g in "abc" for k in range(25) for _ in range(9)]
+    docs = spark.createDataFrame(once + often, "slug string, t string")
+    written = {}
+    cut = ops.cut_lineage
+    monkeypatch.setattr(ops, "cut_lineage", lambda df, label: written.setdefault(label, []).append(cut(df, label)) or written[label][-1])
+    got = ops.top_phrases(docs, "slug", "t", candidates=5, kept=5, first_parts=5)
+    assert {r.n for r in got.collect()} == {9} and got.count() == 15
+    assert sum(df.count() for df in written["counts"]) < 200
+
+
+def test_word_lists_in_place_of_texts(spark, stop):
+    docs = spark.createDataFrame([("a", "Good coffee shop and x9 good the lake view"), ("b", None)], "slug string, t string")
+    lists = ops.word_lists(docs, ["slug"], "t")
+    lexicon = spark.createDataFrame([("good", 2), ("the", 1), ("x9", 1)], "word string, value int")
+    assert _rows(ops.ngrams(lists, ["slug"], "w", stop)) == _rows(ops.ngrams(docs, ["slug"], "t", stop))
+    assert (_rows(ops.lexicon_hits(lists, ["slug"], "w", lexicon, stop).select("slug", "word", "value"))
+            == _rows(ops.lexicon_hits(docs, ["slug"], "t", lexicon, stop).select("slug", "word", "value")))
