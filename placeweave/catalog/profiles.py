@@ -18,7 +18,6 @@ from placeweave.operators.checks import run_checks
 from placeweave.operators.joins import merged_words, union_layers
 from placeweave.operators.text import stopword_table
 from placeweave.plans import business, feeds, forum, listings, master
-from placeweave.session import cut_lineage
 
 # area number -> rectangle of part size (x) and price remainder (y)
 AREAS = {n: [[(10 * i, 900), (10 * i + 10, 900), (10 * i + 10, 1400), (10 * i, 1400), (10 * i, 900)]]
@@ -105,9 +104,8 @@ def _posts(spark, sf):
 
 
 def _forum(spark, sf):
-    clean = cut_lineage(forum.clean_posts(_posts(spark, sf)).select(*forum.POST), "posts")
-    return forum.forum_profile(clean, _lookup(spark, sf), _valued(spark),
-                               _polar(spark), _stop(spark))
+    clean = forum.clean_posts(_posts(spark, sf)).select(*forum.POST)
+    return forum.forum_profile(clean, _lookup(spark, sf), _valued(spark), _polar(spark), _stop(spark))
 
 
 _SQL_FORUM = f"""

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from placeweave import fixed
 from placeweave.functions.cleaning import _col
 
-_LETTER = r"\p{L}\p{M}"
-_WORD = rf"{_LETTER}\p{{Nd}}"
+# plain letters and digits stand first, as the matcher asks a class in that order
+_LETTER = r"a-z\p{L}\p{M}"
+_WORD = rf"0-9{_LETTER}\p{{Nd}}"
 # possessive quantifiers: a run never gives characters back
 TOKEN_PATTERN = (
     rf"_*+[{_WORD}][{_WORD}_]*+"
@@ -29,5 +30,17 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+#: A word of the usual shape in the group, or any other word and no group.
+_SHAPED = rf"([a-z]{{3,}}+)(?![{_WORD}_]|[.'‘’·]\p{{L}})|{TOKEN_PATTERN}"
+
+
+def shaped_tokens(c: Column | str, shape: str = fixed.WORD_SHAPE) -> Column:
+    """``tokens`` with an empty string or NULL in place of each word of another shape. The usual shape is tested by
+    the pattern that finds the words."""
+    if shape == fixed.WORD_SHAPE:
+        return F.regexp_extract_all(F.lower(_col(c)), F.lit(_SHAPED), F.lit(1))
+    return F.transform(tokens(c), lambda w: F.when(word_shaped(w, shape), w))
+
+
 def word_shaped(c: Column | str, shape: str = fixed.WORD_SHAPE) -> Column:
     return _col(c).rlike(shape)

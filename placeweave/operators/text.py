@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from placeweave import fixed
-from placeweave.functions.tokens import tokens, word_shaped
+from placeweave.functions.tokens import shaped_tokens, tokens, word_shaped
 from placeweave.operators.ranking import ordered_join, top_n
 from placeweave.session import cut_lineage
 from placeweave.sources.tables import small_table
@@ -25,22 +25,33 @@ def stopword_table(spark, words: list[str], lexicon: str) -> DataFrame:
 
 
 def word_lists(df: DataFrame, keys: list[str], text: str, shape: str = fixed.WORD_SHAPE) -> DataFrame:
-    """The full word list of each text as column ``w``; a word of another shape is NULL and keeps its place.
+    """The full word list of each text as column ``w``; a word of another shape is empty or NULL and keeps its place.
     ``ngrams`` and ``lexicon_hits`` take such a column in place of a text."""
-    return df.select(*keys, F.transform(tokens(text), lambda w: F.when(word_shaped(w, shape), w)).alias("w"))
+    return df.select(*keys, shaped_tokens(text, shape).alias("w"))
 
 
 def _is_list(df: DataFrame, text: str) -> bool:
     return isinstance(df.schema[text].dataType, ArrayType)
 
 
+def _hashed(words: DataFrame) -> DataFrame:
+    """A word table to look words up in with ``_same_word``."""
+    return words.withColumn("_hash", F.xxhash64("word")).withColumnRenamed("word", "_word")
+
+
+def _same_word(word: str) -> Column:
+    """Join condition of a word and a ``_hashed`` table. The key is a 64-bit hash, looked up in less than half the
+    time of a string; words of one hash are compared, by two bounds, as an equality would be a join key again."""
+    return (F.xxhash64(word) == F.col("_hash")) & (F.col(word) >= F.col("_word")) & (F.col(word) <= F.col("_word"))
+
+
 def word_rows(df: DataFrame, keys: list[str], text: str, stopwords: DataFrame | None = None,
               shape: str = fixed.WORD_SHAPE) -> DataFrame:
     """One row per surviving word: shaped like a word and not a stopword."""
-    rows = df.select(*keys, F.explode(tokens(text)).alias("word")).filter(word_shaped("word", shape))
+    rows = df.select(*keys, F.explode(shaped_tokens(text, shape)).alias("word")).filter(F.col("word") != "")
     if stopwords is None:
         return rows
-    return rows.join(stopwords.select("word"), "word", "left_anti").select(*keys, "word")
+    return rows.join(_hashed(stopwords.select("word")), _same_word("word"), "left_anti").select(*keys, "word")
 
 
 def live_lexicon(lexicon: DataFrame, stopwords: DataFrame | None, shape: str = fixed.WORD_SHAPE) -> DataFrame:
@@ -55,8 +66,9 @@ def live_lexicon(lexicon: DataFrame, stopwords: DataFrame | None, shape: str = f
 def lexicon_hits(df: DataFrame, keys: list[str], text: str, lexicon: DataFrame,
                  stopwords: DataFrame | None = None) -> DataFrame:
     """One row per word and lexicon row; a word listed twice counts twice."""
-    words = df.select(*keys, F.explode(F.col(text) if _is_list(df, text) else tokens(text)).alias("word"))
-    return words.join(live_lexicon(lexicon, stopwords), "word")
+    words = df.select(*keys, F.explode(F.col(text) if _is_list(df, text) else shaped_tokens(text)).alias("word"))
+    hits = words.filter(F.col("word") != "").join(_hashed(live_lexicon(lexicon, stopwords)), _same_word("word"))
+    return hits.select("word", *keys, *[c for c in lexicon.columns if c != "word"])
 
 
 def post_sentiment(hits: DataFrame, group: list[str], post: list[str], value: str = "value") -> DataFrame:
@@ -90,25 +102,36 @@ def two_lexicon_scores(df: DataFrame, group: str, post: list[str], text: str, va
         F.when(polar_seen, F.col("neg")).alias("bing_negative"))
 
 
-def phrase_starts(df: DataFrame, keys: list[str], text: str, stopwords: DataFrame | None = None,
-                  shape: str = fixed.WORD_SHAPE) -> DataFrame:
-    """Each word that starts a phrase (``w1``) with its neighbour, and with the next one where that goes on (``w3``).
+def neighbours(df: DataFrame, keys: list[str], text: str, shape: str = fixed.WORD_SHAPE) -> DataFrame:
+    """Each word (``w1``) with its neighbour, and with the next one (``w3``, NULL where that is no word).
 
-    A rejected word becomes NULL and keeps its place, so it breaks a phrase and joins
-    nothing. The list is read next to itself shifted by one and two. Stopwords are joined, however
-    many they are: a table of known small size is broadcast by Catalyst, and NULL words are ignored."""
+    A rejected word keeps its place, so it breaks a phrase and joins nothing. The list is read next to itself
+    shifted by one and two."""
     listed = df.select(*keys, F.col(text).alias("w")) if _is_list(df, text) else word_lists(df, keys, text, shape)
     last = F.lit(2**31 - 1)
     rows = listed.select(*keys, F.inline(F.arrays_zip(
         F.col("w").alias("w1"), F.slice("w", 2, last).alias("w2"), F.slice("w", 3, last).alias("w3"))))
-    rows = rows.filter(F.col("w1").isNotNull() & F.col("w2").isNotNull())
-    if stopwords is not None:
-        stop = stopwords.select("word").filter(F.col("word").isNotNull()).distinct()
-        for w in ("w1", "w2"):
-            rows = rows.join(stop.select(F.col("word").alias(w)), w, "left_anti")
-        flag = stop.select(F.col("word").alias("w3"), F.lit(True).alias("_stop"))
-        rows = rows.join(flag, "w3", "left").withColumn("w3", F.when(F.col("_stop").isNull(), F.col("w3")))
-    return rows.select(*keys, "w1", "w2", "w3")
+    rows = rows.filter((F.col("w1") != "") & (F.col("w2") != ""))
+    return rows.withColumn("w3", F.when(F.col("w3") != "", F.col("w3")))
+
+
+def without_stopwords(rows: DataFrame, stopwords: DataFrame | None) -> DataFrame:
+    """``neighbours`` of which neither is a stopword; one in the third place becomes NULL. Stopwords are joined, however
+    many they are: a table of known small size is broadcast by Catalyst, and NULL words are ignored."""
+    if stopwords is None:
+        return rows
+    columns = rows.columns
+    stop = _hashed(stopwords.select("word").filter(F.col("word").isNotNull()).distinct())
+    for w in ("w1", "w2"):
+        rows = rows.join(stop, _same_word(w), "left_anti")
+    return (rows.join(stop, _same_word("w3"), "left").withColumn("w3", F.when(F.col("_word").isNull(), F.col("w3")))
+            .select(*columns))
+
+
+def phrase_starts(df: DataFrame, keys: list[str], text: str, stopwords: DataFrame | None = None,
+                  shape: str = fixed.WORD_SHAPE) -> DataFrame:
+    """Each word that starts a phrase (``w1``) with its neighbour, and with the next one where that goes on (``w3``)."""
+    return without_stopwords(neighbours(df, keys, text, shape), stopwords).select(*keys, "w1", "w2", "w3")
 
 
 def started_phrases(starts: DataFrame, keys: list[str]) -> DataFrame:
@@ -170,14 +193,24 @@ def distinctive_phrases(counts: DataFrame, group: str, candidates: int = fixed.C
     Within a group the total is the same for all rows, so n x idf ranks as tf-idf does and
     the totals meet only the rows that are left. Both cuts and the containment test share
     one partitioning on the group; the tested lists hold at most ``candidates`` phrases."""
-    scored = _with_score(counts, group, totals)
-    order = [F.desc("_score"), F.asc("word")]
-    best = top_n(scored, [group], order, candidates)
+    best = _candidates(counts, group, candidates, totals)
+    return _apart(best, group, kept, group_totals(counts, group) if totals is None else totals)
+
+
+def _best_first() -> list[Column]:
+    return [F.desc("_score"), F.asc("word")]
+
+
+def _candidates(counts: DataFrame, group: str, candidates: int, totals: DataFrame | None) -> DataFrame:
+    return top_n(_with_score(counts, group, totals), [group], _best_first(), candidates, rank="_k")
+
+
+def _apart(best: DataFrame, group: str, kept: int, totals: DataFrame) -> DataFrame:
+    """Of the candidates, those that stay."""
     longer = F.collect_list(F.when(F.col("n_words") == 3, F.col("word"))).over(Window.partitionBy(group))
     inside = F.exists("_longer", lambda t: t.contains(F.col("word")))
     apart = best.withColumn("_longer", longer).filter((F.col("n_words") == 3) | ~inside)
-    final = top_n(apart, [group], order, kept, rank="rank")
-    totals = group_totals(counts, group) if totals is None else totals
+    final = top_n(apart, [group], _best_first(), kept, rank="rank")
     tf = F.col("n") / F.col("_total")
     return final.join(totals, group).select(
         group, "rank", "word", "n", tf.alias("tf"), "idf", (tf * F.col("idf")).alias("tf_idf"))
@@ -194,28 +227,28 @@ def top_phrases(df: DataFrame, group: str, text: str, stopwords: DataFrame | Non
     part's bound reaches it as well, the phrases of all such parts are counted. What is left uncounted scores less
     than every candidate, so the result is that of the whole counts, whatever the texts; at worst all are counted."""
     lists = df if _is_list(df, text) else cut_lineage(word_lists(df, [group], text), "words")
-    starts = (phrase_starts(lists, [group], text if lists is df else "w", stopwords)
-              .filter(F.col(group).isNotNull())
-              .withColumn("_part", F.pmod(F.xxhash64("w1", "w2"), F.lit(parts)).cast("int")))
-    loads = cut_lineage(starts.groupBy(group, "_part").agg(
+    pairs = (neighbours(lists, [group], text if lists is df else "w").filter(F.col(group).isNotNull())
+             .withColumn("_part", F.pmod(F.xxhash64("w1", "w2"), F.lit(parts)).cast("int")))
+    loads = cut_lineage(without_stopwords(pairs, stopwords).groupBy(group, "_part").agg(
         F.count("*").alias("_most"), (F.count("*") + F.count("w3")).alias("n")), "loads")
     totals = cut_lineage(group_totals(loads, group), "totals")
 
-    def counted(among: DataFrame | None) -> DataFrame:
-        rows = starts if among is None else starts.join(among, "_part", "left_semi")
-        return cut_lineage(phrase_counts(started_phrases(rows, [group]), group), "counts")
+    def best(among: DataFrame | None) -> DataFrame:
+        """Candidates of the parts; words of other parts go before any is held against the stopwords."""
+        rows = pairs if among is None else pairs.join(among, "_part", "left_semi")
+        counts = cut_lineage(phrase_counts(started_phrases(without_stopwords(rows, stopwords), [group]), group), "counts")
+        return cut_lineage(_candidates(counts, group, candidates, totals), "best")
 
     fullest = top_n(loads, [group], [F.desc("_most"), F.asc("_part")], first_parts * candidates)
     first = cut_lineage(fullest.select("_part").distinct(), "parts")
-    counts = counted(first)
-    last = (top_n(_with_score(counts, group, totals), [group], [F.desc("_score"), F.asc("word")], candidates, rank="_k")
-            .filter(F.col("_k") == candidates).select(group, F.col("_score").alias("_last")))
+    found = best(first)
+    last = found.filter(F.col("_k") == candidates).select(group, F.col("_score").alias("_last"))
     bound = F.round(F.col("_most") * F.ln(totals.agg(F.count("_total")).scalar()), RANK_DIGITS)
     reach = cut_lineage(loads.join(last, group, "left").filter(F.col("_last").isNull() | (bound >= F.col("_last")))
                         .select("_part").distinct(), "parts")
     if not reach.join(first, "_part", "left_anti").isEmpty():
-        counts = counted(None if 2 * reach.count() > parts else reach)
-    return distinctive_phrases(counts, group, candidates, kept, totals)
+        found = best(None if 2 * reach.count() > parts else reach)
+    return _apart(found, group, kept, totals)
 
 
 def phrase_string(phrases: DataFrame, group: str, out: str = "top_words",

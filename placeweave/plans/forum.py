@@ -33,13 +33,14 @@ def post_phrases(clean: DataFrame, stopwords: DataFrame | None) -> DataFrame:
 def forum_profile(clean: DataFrame, lookup: DataFrame, valued: DataFrame, polar: DataFrame,
                   stopwords: DataFrame | None, phrases: DataFrame | None = None) -> dict[str, DataFrame]:
     """``scores``: one row per lookup area; ``phrases``: top phrases per area, found here
-    unless a stored table of them is handed in. The word lists, which both need, are then written once."""
+    unless a stored table of them is handed in. The word lists, which both need, are then written once, with the
+    measures of the posts, so that the posts are cleaned once and their texts need not be written."""
     posts, text = clean, "full_text"
     if phrases is None:
-        posts, text = cut_lineage(word_lists(clean, ["slug", "post_id"], text), "words"), "w"
+        posts, text = cut_lineage(word_lists(clean, ["slug", "post_id", "score", "num_comments"], text), "words"), "w"
         phrases = cut_lineage(top_phrases(posts, "slug", text, stopwords), "phrases")
     scores = two_lexicon_scores(posts, "slug", ["post_id"], text, valued, polar, stopwords)
-    engaged = engagement(clean, ["slug"], ["score", "num_comments"])
+    engaged = engagement(posts, ["slug"], ["score", "num_comments"])
     joined = chain_left(lookup.select("community_area_number", "name", "slug"),
                         [scores, engaged, phrase_string(phrases, "slug")], "slug")
     filled = (joined.withColumn("post_count", F.coalesce("post_count", F.lit(0)))

@@ -1,10 +1,13 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from placeweave.functions.tokens import shaped_tokens, tokens
 from placeweave.operators import text as ops
 from placeweave.operators.joins import merged_words
+from placeweave.plans import forum
 
 
 @pytest.fixture(scope="module")
@@ -149,3 +152,61 @@ def test_word_lists_in_place_of_texts(spark, stop):
     assert _rows(ops.ngrams(lists, ["slug"], "w", stop)) == _rows(ops.ngrams(docs, ["slug"], "t", stop))
     assert (_rows(ops.lexicon_hits(lists, ["slug"], "w", lexicon, stop).select("slug", "word", "value"))
             == _rows(ops.lexicon_hits(docs, ["slug"], "t", lexicon, stop).select("slug", "word", "value")))
+
+
+def test_shaped_tokens_are_the_tokens_of_that_shape(spark):
+    """One pattern finds and tests words; also beside joining marks, other scripts, digits and underscores."""
+    rng = random.Random(3)
+    signs = [*"abzß09_.'’·,;: \n-é\u0301Жم中٣", "\U00010400", "İ", "\u212a", "the", "Shop", "abc"]
+    texts = ["shop. Shop.x abc_ _abc abc9 ab abc's abc' don’t abc\u0301 x", ""]
+    texts += ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select("t", tokens("t").alias("a"), shaped_tokens("t").alias("b"), shaped_tokens("t", "^[a-z]+$").alias("c")).collect():
+        assert [w or None for w in row.b] == [w if re.fullmatch("[a-z]{3,}", w) else None for w in row.a], row.t
+        assert [w or None for w in row.c] == [w if re.fullmatch("[a-z]+", w) else None for w in row.a], row.t
+    assert df.select(shaped_tokens(F.lit(None).cast("string")).alias("b")).first().b is None
+
+
+def test_words_are_looked_up_by_hash_and_compared(spark, stop, monkeypatch):
+    """Stopwords and lexicons are joined on a number; words that share it are told apart."""
+    docs = spark.createDataFrame([("a", "good coffee shop the lake view and best good tea great bars seen"), ("b", None)], "slug string, t string")
+    lexicon = spark.createDataFrame([("good", 2), ("lake", 1), ("the", 1), ("zzzz", 7)], "word string, value int")
+
+    def found():
+        hits = ops.lexicon_hits(docs, ["slug"], "t", lexicon, stop).select("slug", "word", "value")
+        return [_rows(ops.ngrams(docs, ["slug"], "t", stop)), _rows(hits), _rows(ops.word_rows(docs, ["slug"], "t", stop))]
+
+    want = found()
+    assert want[1] == [("a", "good", 2), ("a", "good", 2), ("a", "lake", 1)]
+    assert [r[1] for r in want[0]] == ["bars seen", "best good", "best good tea", "coffee shop", "good coffee", "good coffee shop",
+                                       "good tea", "lake view"]
+    plan = ops.ngrams(docs, ["slug"], "t", stop)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Join LeftAnti, .*xxhash64\(w[12]", plan)) == 2
+    monkeypatch.setattr(F, "xxhash64", lambda word, *more: F.length(word).cast("long"))
+    assert found() == want
+
+
+def test_parts_left_out_go_before_stopwords_are_looked_up(spark, stop, monkeypatch):
+    docs = spark.createDataFrame([("a", "one two three four"), ("b", "two three five")], "slug string, t string")
+    plans = []
+    cut = ops.cut_lineage
+    monkeypatch.setattr(ops, "cut_lineage", lambda df, label: plans.append((
+        label, df._jdf.queryExecution().optimizedPlan().toString())) or cut(df, label))
+    ops.top_phrases(docs, "slug", "t", stop).collect()
+    plan = next(p for label, p in plans if label == "counts")
+    assert plan.index("LeftAnti") < plan.index("LeftSemi")  # the tree's top comes first
+
+
+def test_posts_are_cleaned_once(spark, stop, monkeypatch):
+    """The profile takes measures and words from one written table, without the texts."""
+    raw = spark.createDataFrame([("a", "1", "good *tea* here", "", 3, 1), ("a", "2", "bad", "coffee and shop", None, 1), ("b", "3", "x", "", 9, 9)],
+                                "slug string, post_id string, title string, selftext string, score int, num_comments int")
+    lookup = spark.createDataFrame([(1, "A", "a"), (2, "B", "b")], "community_area_number int, name string, slug string")
+    valued = spark.createDataFrame([("good", 2), ("bad", -1)], "word string, value int")
+    polar = spark.createDataFrame([("good", "positive")], "word string, sentiment string")
+    clean = forum.clean_posts(raw).select(*forum.POST)
+    got = forum.forum_profile(clean, lookup, valued, polar, stop)["scores"]
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.slug: r for r in got.collect()}
+    assert (rows["a"].post_count, rows["a"].total_engagement, rows["a"].mean_sentiment_score) == (2, 4, 0.5)
+    assert rows["b"].post_count == 0
