@@ -28,9 +28,15 @@ def to_price(c: Column | str) -> Column:
     return to_number(F.regexp_replace(_col(c).cast("string"), "[$,]", ""))
 
 
+def _runs(one: str) -> str:
+    """Runs of a class of characters, spaces among them, except a space that stands alone: it would be replaced by itself,
+    and nearly all are such. One class is asked at each place, so that letters cost one test."""
+    return rf"(?U){one}(?:(?<! ){one}*+|{one}++)"
+
+
 def squish(c: Column | str) -> Column:
     """Every run of whitespace to one space, none at the ends."""
-    return F.trim(F.regexp_replace(_col(c), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(_col(c), _runs(r"\s"), " "))
 
 
 def strip_edges(c: Column | str) -> Column:
@@ -40,11 +46,14 @@ def strip_edges(c: Column | str) -> Column:
 
 def clean_text(c: Column | str) -> Column:
     """Drop URLs, unwrap links, drop markup marks, squish. The order matters: a link to a
-    web address loses its address first and keeps its bracket."""
-    c = F.regexp_replace(_col(c), r"(?U)https?://\S+", " ")
-    c = F.regexp_replace(c, r"\[([^\]]+)\]\([^)]+\)", "$1")
-    c = F.regexp_replace(c, r"[*_~`>|#]", " ")
-    return squish(c)
+    web address loses its address first and keeps its bracket.
+
+    Texts without ``://`` hold no URL, and texts without ``](`` no link: a URL leaves a space, which joins none. A mark
+    becomes a space and is squished, so marks and whitespace go in one pass."""
+    raw = _col(c)
+    c = F.when(raw.contains("://"), F.regexp_replace(raw, r"(?U)https?://\S+", " ")).otherwise(raw)
+    c = F.when(raw.contains("]("), F.regexp_replace(c, r"\[([^\]]+)\]\([^)]+\)", "$1")).otherwise(c)
+    return F.trim(F.regexp_replace(c, _runs(r"[*_~`>|#\s]"), " "))
 
 
 def make_slug(c: Column | str) -> Column:

@@ -30,8 +30,9 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-#: A word of the usual shape in the group, or any other word and no group.
-_SHAPED = rf"([a-z]{{3,}}+)(?![{_WORD}_]|[.'‘’·]\p{{L}})|{TOKEN_PATTERN}"
+#: A word of the usual shape in the group, or any other word and no group. A space ends any word and starts none, so it
+#: is tried first as the end and taken along; the rest is asked where another character follows.
+_SHAPED = rf"([a-z]{{3,}}+)(?:[ ]|(?![{_WORD}_]|[.'‘’·]\p{{L}}))|[a-z]{{1,2}}+[ ]|{TOKEN_PATTERN}"
 
 
 def shaped_tokens(c: Column | str, shape: str = fixed.WORD_SHAPE) -> Column:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from placeweave import fixed
 from placeweave.functions.cleaning import classify, not_blank, to_int, to_number
+from placeweave.operators.compute import computed_once
 from placeweave.operators.joins import complete_spine
 from placeweave.operators.ranking import ordered_join, top_n
-from placeweave.operators.stats import category_counts, diversity
+from placeweave.operators.stats import diversity
 from placeweave.sources.schemas import LICENCE_COLUMNS
 
 AREA = "community_area_number"
@@ -27,21 +28,23 @@ def in_known_area(df: DataFrame, column: str = "community_area", out: str = AREA
                   valid: tuple[int, int] | None = fixed.AREA_RANGE) -> DataFrame:
     """Rows whose area text is a number in range; spaces and leading zeros are fine. Without a
     range any number will do."""
-    numbered = df.filter(not_blank(column)).withColumn(out, to_int(column))
+    numbered = computed_once(df.filter(not_blank(column)), **{out: to_int(column)})
     return numbered.filter(F.col(out).isNotNull() if valid is None else F.col(out).between(*valid))
 
 
-def licence_categories(licences: DataFrame, rules=None, valid: tuple[int, int] | None = fixed.AREA_RANGE) -> DataFrame:
-    """Licences in a known area with description default and category."""
-    described = in_known_area(licences, valid=valid).withColumn("license_description", F.coalesce(
-        "license_description", "business_activity", F.lit(fixed.DESCRIPTION_DEFAULT)))
-    return described.withColumn("category", classify("license_description", rules))
+def licence_counts(licences: DataFrame, rules=None, valid: tuple[int, int] | None = fixed.AREA_RANGE) -> DataFrame:
+    """Licences per known area and category. Equal texts of area and description (or its default) are counted first, in the
+    map tasks already, so that numbers are read and patterns asked once per pair of texts and not once per licence."""
+    described = F.coalesce("license_description", "business_activity", F.lit(fixed.DESCRIPTION_DEFAULT))
+    texts = licences.groupBy("community_area", described.alias("license_description")).agg(F.count("*").alias("_n"))
+    known = in_known_area(texts, valid=valid).withColumn("category", classify("license_description", rules))
+    return known.groupBy(AREA, "category").agg(F.sum("_n").alias("n"))
 
 
 def business_profile(licences: DataFrame, lookup: DataFrame, rules=None,
                      valid: tuple[int, int] | None = fixed.AREA_RANGE) -> dict[str, DataFrame]:
     """``summary``: one row per lookup area; ``by_category``: counts per area and category."""
-    counts = category_counts(licence_categories(licences, rules, valid), [AREA], "category")
+    counts = licence_counts(licences, rules, valid)
     leaders = top_n(counts, [AREA], [F.desc("n"), "category"], fixed.TOP_CATEGORIES, rank="rank")
     leaders = ordered_join(leaders, [AREA], "category", "rank", "top_3_categories", fixed.CATEGORY_SEPARATOR)
     index = diversity(counts, [AREA], "n", "total_active_businesses", "business_diversity_index")

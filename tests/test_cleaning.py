@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,26 @@ def test_large_numbers_are_printed_in_full(value):
 
     assert [value(plain_number(F.lit(x))) for x in (12345678.9, 1e9, 1.25, 0.0, -3.10, 100.0)] == [
         "12345678.9", "1000000000", "1.25", "0", "-3.1", "100"]
+
+
+def test_cleaning_is_that_of_its_single_steps(spark):
+    """One pass for marks and whitespace, none for URLs and links where there are none; also with spaces of other scripts."""
+    rng = random.Random(5)
+    signs = ["http://", "https://x", "://", "](", "[", "]", "(", ")", "*", "_", "#", "|", " ", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85",
+             "\u00a0", "\u1680", "\u200b", "\u2028", "\u3000", "a", "bc", "é", "\U00010400", "."]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 25))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    steps = F.regexp_replace("t", r"(?U)https?://\S+", " ")
+    steps = F.regexp_replace(F.regexp_replace(steps, r"\[([^\]]+)\]\([^)]+\)", "$1"), r"[*_~`>|#]", " ")
+    plain = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    both = df.select("t", clean_text("t").alias("a"), plain(steps).alias("b"), squish("t").alias("c"), plain("t").alias("d"))
+    assert both.filter(~F.col("a").eqNullSafe(F.col("b")) | ~F.col("c").eqNullSafe(F.col("d"))).collect() == []
+
+
+def test_single_spaces_are_not_replaced(spark, monkeypatch):
+    """Nearly all whitespace of a text is spaces that stay; none of them is written anew."""
+    replaced = F.regexp_replace
+    monkeypatch.setattr(F, "regexp_replace", lambda c, pattern, text: replaced(c, pattern, "+" if text == " " else text))
+    df = spark.createDataFrame([("one two  three\nfour five *six* seven",)], "t string")
+    assert df.select(squish("t"), clean_text("t")).first()[:] == (
+        "one two+three+four five *six* seven", "one two+three+four five+six+seven")

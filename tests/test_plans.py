@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from placeweave import fixed
 from placeweave.operators.checks import CheckFailed
-from placeweave.plans import collection, feeds, master
+from placeweave.plans import business, collection, feeds, master
 from placeweave.plans.build import Inputs, build
 from placeweave.sources.documents import read_key_config, read_pages
 from placeweave.sources.schemas import LICENCE_COLUMNS
@@ -303,3 +303,17 @@ def test_build_from_landed_pages(spark, inputs, landed, tmp_path):
     assert [(r.file, r.record) for r in rejects] == [("rogers_park/city/new/3", '{"data": {"chi')]
     steps = {r.step: r.rows for r in read_table(spark, f"{out}/accounting/forum").collect()}
     assert steps == {"pages to read": 7, "posts landed": 8, "files rejected": 1, "posts raw": 4, "posts kept": 4}
+
+
+def test_licences_are_counted_before_their_texts_are_read(spark):
+    """Patterns and numbers meet each pair of area and description once, not each licence."""
+    rows = [(" 07", "Barber Shop", None), ("7", "Barber Shop", "x"), ("7", None, "Barber Shop"), ("7", None, None), ("8", "Dental", None),
+            ("8", "Clinic", None), ("99", "Dental", None), ("x", "Dental", None), ("", "Dental", None), (None, "Dental", None)]
+    licences = spark.createDataFrame(rows, "community_area string, license_description string, business_activity string")
+    lookup = spark.createDataFrame([(7, "A", "a"), (8, "B", "b"), (9, "C", "c")], "community_area_number int, name string, slug string")
+    got = business.business_profile(licences, lookup)
+    assert {(r.slug, r.category, r.n) for r in got["by_category"].collect()} == {
+        ("a", "Food & Beverage", 3), ("a", "Other", 1), ("b", "Health & Personal Care", 2)}
+    assert {r.slug: r.total_active_businesses for r in got["summary"].collect()} == {"a": 4, "b": 2, "c": 0}
+    plan = got["by_category"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE(") > 0 and plan.rindex("RLIKE(") < plan.rindex("Aggregate [community_area#")  # the tree's top comes first

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from placeweave.functions.tokens import shaped_tokens, tokens
+from placeweave.functions.tokens import _SHAPED, shaped_tokens, tokens
 from placeweave.operators import text as ops
 from placeweave.operators.joins import merged_words
 from placeweave.plans import forum
@@ -210,3 +210,15 @@ def test_posts_are_cleaned_once(spark, stop, monkeypatch):
     rows = {r.slug: r for r in got.collect()}
     assert (rows["a"].post_count, rows["a"].total_engagement, rows["a"].mean_sentiment_score) == (2, 4, 0.5)
     assert rows["b"].post_count == 0
+
+
+def test_the_space_after_a_word_goes_with_it(spark):
+    """Words are those of ``tokens`` whatever follows them, and a space is no place to look for one."""
+    rng = random.Random(4)
+    signs = ["the", "of", "a", "shop", " ", " ", " ", "  ", ".", ",", "'", "_", "9", "\u00e9", "\n", "-", "E"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select("t", tokens("t").alias("a"), shaped_tokens("t").alias("b")).collect():
+        assert [w or None for w in row.b] == [w if re.fullmatch("[a-z]{3,}", w) else None for w in row.a], row.t
+    whole = F.regexp_extract_all(F.lit("shops of the 9th. end"), F.lit(_SHAPED), F.lit(0))
+    assert spark.range(1).select(whole.alias("w")).first().w == ["shops ", "of ", "the ", "9th", "end"]
